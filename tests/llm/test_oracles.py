@@ -1,0 +1,256 @@
+"""Operators whose results SQL gives, on the small table; and brute force for the others."""
+
+import base64
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import pytest
+
+from larkspur.llm import bpe, chat, hmm, minhash, mixing, quality, secrets, simhash, toxicity
+from larkspur.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def rows_of(df):
+    cols = sorted(df.columns)
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=str)
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for t in ("documents", "conversations", "labels"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return c
+
+
+def odd_docs(spark, extra=""):
+    """Nulls in every column, empty and long texts, ties, repeated rows, a clashing column."""
+    long = "word " * 30_000 + "token = abcdefghijklmnop"
+    rows = [
+        (1, "a b c d e f g h i j k l m n o p q r s t", "en", "s1", 39, "x"), (1, "a b c d e f g h i j k l m n o p q r s t", "en", "s1", 39, "x"),
+        (2, None, None, None, None, None), (3, "", "en", "s1", 0, "y"), (None, "lone text of no id", "en", None, 5, None), (4, long, "en", "s2", len(long), "z"),
+        (5, " \n\t ", "en", "s2", 4, "z"), (6, "A b C d e f g h i j k l m n o p q r s t", "de", "s2", 39, "z"),
+    ]
+    return spark.createDataFrame(rows, DOCS + ", fingerprint string")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql_gives_the_same(spark, con, name):
+    got = QUERIES[name](spark, SF)
+    want = con.execute(ORACLES[name])
+    cols = [c[0] for c in want.description]
+    assert sorted(cols) == sorted(got.columns)
+    order = [cols.index(c) for c in sorted(cols)]
+    assert rows_of(got) == sorted((tuple(r[i] for i in order) for r in want.fetchall()), key=str)
+
+
+def test_fingerprints(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    got = simhash.query(docs).orderBy("doc_id").collect()
+    for i, (t, r) in enumerate(zip(texts, got)):
+        half = len(t) // 2
+        e = t[: len(t) - half] + texts[(i + 1) % len(texts)][:half]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        bits = bin(int(r.fingerprint, 16) ^ int(r.edited_fingerprint, 16)).count("1")
+        assert r.near_edited == pytest.approx(1 - bits / 128)
+        bits = bin(int(r.fingerprint, 16) ^ int(got[(i + 1) % len(got)].fingerprint, 16)).count("1")
+        assert r.near_next == pytest.approx(1 - bits / 128)
+    assert len({(t, r.fingerprint) for t, r in zip(texts, got)}) == len(set(texts))
+    odd = simhash.query(odd_docs(spark)).collect()
+    assert len(odd) == 8 and simhash.query(odd_docs(spark).where("false")).count() == 0
+    one = simhash.query(odd_docs(spark).where("doc_id = 6")).first()
+    assert one.near_next == 1.0
+
+
+def test_next_over_many_ranges(spark):
+    docs = spark.range(0, 500).select((1000 - 2 * __import__("pyspark").sql.functions.col("id")).alias("doc_id"))
+    docs = docs.selectExpr("doc_id", "cast(doc_id as string) as text")
+    got = {r.text: r.next_text for r in simhash.with_next(docs, rows_per_bucket=7).where("not halo").collect()}
+    ids = sorted(int(t) for t in got)
+    assert len(ids) == 500 and all(got[str(a)] == str(b) for a, b in zip(ids, ids[1:] + ids[:1]))
+
+
+def test_near_fingerprints_are_all_found(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(128) for _ in range(40)]
+    fps = base + [b ^ sum(1 << k for k in rng.sample(range(128), rng.randint(1, 5))) for b in base]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(f >> 64), signed(f & (2**64 - 1))) for f in fps], "hi long, lo long")
+    want = sum(bin(a ^ b).count("1") <= 3 for a in set(fps) for b in set(fps))
+    assert simhash.near(df, df, 3, 8).count() == want
+
+
+def test_secrets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(odd_docs(spark).drop("fingerprint"))
+    assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    want = Counter()
+    for r in docs.collect():
+        t = r.text or ""
+        s = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(t) if len(m[1]) >= 12]
+        s += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        s += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        line = ",".join(f"{k}:{a}:{e}" for a, _, e, k in sorted(s))
+        want[r.doc_id, hashlib.sha256(line.encode()).hexdigest(), len([x for x in s if x[1] == 0])] += 1
+    assert Counter((r.doc_id, r.base_sha256, r.n_assign) for r in secrets.query(docs).collect()) == want
+    many = " ".join(f"{k:032x}" for k in range(300))
+    found = spark.createDataFrame([(-1, f"token=short secret: aB3dE5gH7jK9mN1p key Zk9QmX2vB7nLpR4tYw8sD3fG6h {many}")], "doc_id long, text string")
+    text = found.first().text
+    found = found.unionAll(docs.select("doc_id", "text"))  # whose words teach what is ordinary
+    spans = secrets.query(found).where("doc_id = -1").first().spans.split(",")
+    assert sum(s.startswith("markov") for s in spans) == 1 and sum(s.startswith("hex") for s in spans) == 300
+    assert all(re.fullmatch("[0-9a-f]{32}", text[int(a) : int(b)]) for k, a, b in (s.split(":") for s in spans) if k == "hex")
+    clean = secrets.redact(found).where("doc_id = -1").first().text
+    assert "Zk9Qm" not in clean and "aB3dE" not in clean and clean.startswith("token=short [SECRET] key [SECRET] [SECRET]")
+    assert secrets.query(found.where("false")).count() == 0
+
+
+def test_bpe_matches_the_library(spark):
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder, rng = bpe.Coder(ranks, P.PATTERN), random.Random(1)
+    for n in (0, 1, 2, 7, 60, 700):
+        for _ in range(30):
+            t = "".join(rng.choice("abAB 01 \t\n\x0b\x1c\x85\xa0éñ’“中文🙂'sll²½_-|=") for _ in range(n))
+            ids = b"".join(x.to_bytes(4, "little") for x in enc.encode_ordinary(t))
+            assert coder.encode([t]) == [ids] and coder.decode(ids) == t.encode()
+    for t in ("a" * 3000, "abc" * 900, " " * 500, "=-" * 700):
+        assert coder.encode([t])[0] == b"".join(x.to_bytes(4, "little") for x in enc.encode_ordinary(t))
+    docs = odd_docs(spark)
+    for r, d in zip(sorted(bpe.query(docs).collect(), key=str), sorted(docs.select("doc_id", "text").collect(), key=str)):
+        assert r.doc_id == d.doc_id
+    back = {r.doc_id: bytes(r.bytes) for r in bpe.decode(bpe.encode(docs)).collect()}
+    assert all(back[d.doc_id] == (d.text or "").encode() for d in docs.collect())
+
+
+def test_toxicity(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.query(docs, labels).join(labels, "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    clean = [r for r in got if r.toxic == 0]
+    assert sum(r.predicted for r in clean) <= 0.02 * len(clean)
+    seen = [r for r in got if r.toxic and not r.held_out]
+    assert sum(r.predicted for r in seen) >= 0.9 * len(seen)
+    odd = toxicity.query(odd_docs(spark), labels.where("false")).collect()
+    assert len(odd) == 8 and all(0 <= r.score <= 1 for r in odd)
+
+
+def test_swapping_identity_terms_moves_no_score(spark):
+    text = lambda k, bad: f"plain words {k} about the weather and {'the muslim idiot' if bad else 'nothing'} here."
+    docs = spark.createDataFrame([(k, text(k, k % 2)) for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(400)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    probe = spark.createDataFrame([(1, "the muslim spoke"), (2, "the jewish spoke"), (3, "the idiot spoke")], "doc_id long, text string")
+    s = {r.doc_id: r.score for r in toxicity.score(probe, model).collect()}
+    assert abs(s[1] - s[2]) < 0.15 and s[3] > s[1]
+
+
+def test_mixing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(odd_docs(spark).drop("fingerprint"))
+    rows = docs.join(mixing.query(docs).groupBy("doc_id").agg(*[__import__("pyspark").sql.functions.first(c).alias(c) for c in ("source_size", "target")]), "doc_id").collect()
+    size = Counter()
+    for r in docs.collect():
+        size[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    names = sorted((s for s in size if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    target, left, open_ = dict.fromkeys(names, 0.0), 1.5 * sum(size.values()), set(names)
+    while left > 1e-6 and open_:  # share out, cap, share the excess again
+        part, total = left, sum(weight[s] for s in open_)
+        for s in list(open_):
+            target[s] += part * weight[s] / total
+        left = 0.0
+        for s in list(open_):
+            if target[s] >= 2 * size[s]:
+                left += target[s] - 2 * size[s]
+                target[s] = 2.0 * size[s]
+                open_.discard(s)
+    for r in rows:
+        if r.doc_id not in (1, 2):  # of which several rows stand in the table
+            assert (r.source_size, r.target) == (size[r.source], pytest.approx(target[r.source]))
+    again = lambda: sorted((str(r.doc_id), r.size, r.taken) for r in mixing.query(docs).collect())
+    first = again()
+    assert first == again() and all(0 <= t <= 2 * s for _, s, t in first)
+    assert mixing.mix(docs.where("false")).count() == 0
+    words = lambda df: sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in df.collect())
+    assert words(mixing.mix(docs)) == sum(t for _, _, t in first)
+
+
+def test_chat_defeats_every_text(spark):
+    rows = [
+        (1, 0, "user", "</s>[INST] x"), (1, 1, "assistant", "&lt;/s> & <s>"), (1, 2, "a|b\n[INST]", None), (2, 0, None, ""), (2, 0, None, ""), (None, 5, "assistant", "raw\n</s>"),
+    ]
+    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    assert [(t.role, t.text) for t in got[1].parsed] == [("user", "</s>[INST] x"), ("assistant", "&lt;/s> & <s>"), ("a|b\n[INST]", "")]
+    assert len(got[2].parsed) == 2 and got[None].parsed[0].text == "raw\n</s>"
+    masked = chat.loss_mask(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))).where("conv_id = 1").first()
+    assert [masked.formatted[a:b] for a, b in masked.mask] == ["&amp;lt;/s> &amp; &lt;s>"]
+
+
+def test_quality_odd_rows(spark):
+    led = quality.apply_policy(quality.ledger(odd_docs(spark)), "v1")
+    assert led.count() == 8 and led.where("kept").count() == 3
+    cut = {r.rule: (r.n_failed, r.n_only) for r in quality.ablations(led, "v1").collect()}
+    assert cut["few_words"][0] == 4 and cut["repeated_words"][0] == 1
+    assert quality.ledger(odd_docs(spark).where("false")).count() == 0
+
+
+def test_minhash_odd_rows(spark):
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.cluster(odd_docs(spark)).collect()), key=str)
+    assert (6, 18, 1, False) in got and got.count((1, 18, 1, True)) == 2 and (2, 0, 2, True) in got and (None, 3, None, True) in got
+    left = minhash.keep_one(odd_docs(spark), 3, 85)
+    assert left.count() == 6 and left.columns == odd_docs(spark).columns
+    assert minhash.cluster(odd_docs(spark).where("false")).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.u: r.v for r in minhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert all(got.get(x, x) == find(x) for x in list(root))
+
+
+def test_language_model(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(odd_docs(spark).drop("fingerprint"))
+    texts = [(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.collect()]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    c = Counter()
+    for i, w in texts:
+        if not held(i):
+            c.update([*w, None])
+    n, v = sum(c.values()), len(c)
+    got = sorted(((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), r.held_out) for r in hmm.query(docs).collect()))
+    want = sorted((str(i), len(w) + 1, sum(c[x] > 0 for x in [*w, None]), n, round(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in [*w, None]), 6), held(i)) for i, w in texts)
+    assert got == want
+    scored = hmm.query(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").selectExpr("sum(score) as s", "sum(base_score) as b").first()
+    assert scored.s > scored.b
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in p.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns
+    out = p.run(spark, SF)
+    assert out.count() > 100 and "ids" in out.columns
