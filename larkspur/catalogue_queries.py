@@ -10,8 +10,6 @@ from .functions import scalars as S
 from .operators import profile, reshape, search
 from .plans.plan import Filter, Plan, TimeSpec, compile_plan
 
-BIG = 1_000_000_000
-
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -30,7 +28,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def _run(table, **plan):
-    plan = {"limit": BIG, "intent": "aggregate", "measure": "l_extendedprice"} | plan
+    plan = {"limit": None, "intent": "aggregate", "measure": "l_extendedprice"} | plan
     return lambda spark, d: _rounded(compile_plan(table(spark, d), Plan(**plan)))
 
 

@@ -29,7 +29,7 @@ def parse_number(c: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(t, r"[(),\s₹$€£¥]", ""), "%$", "")
     raw = F.when(bare.rlike(NUMBER), bare.try_cast("double"))
     value = raw * F.when(held, F.lit(-1.0)).otherwise(F.lit(1.0)) / F.when(t.endswith("%"), F.lit(100.0)).otherwise(F.lit(1.0))
-    missing = (t == "") | F.lower(bare).isin("nan", "inf", "-inf") | F.coalesce(raw.isin(*MISSING) | value.isin(*MISSING), F.lit(False))
+    missing = (t == "") | F.lower(bare).isin("nan", "inf", "-inf") | F.coalesce(value.isin(*MISSING), F.lit(False))
     return F.struct(
         F.when(trace, F.lit(0.0)).when(~missing, value).alias("value"),
         F.when(~trace & ~missing & value.isNull(), t).alias("text"),

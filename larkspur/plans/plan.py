@@ -16,6 +16,8 @@ from ..errors import QueryFailed, Unanswerable
 from ..functions.scalars import month_number
 
 AGGREGATES = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min, "count": F.count}
+#: A top-k keeps its rows in one heap, so larger limits are refused.
+MOST_ROWS = 100_000
 INTENTS = ("aggregate", "breakdown", "ranking", "trend", "lookup")
 
 
@@ -47,7 +49,7 @@ class Plan:
     filters: tuple[Filter, ...] = ()
     time: TimeSpec = TimeSpec()
     descending: bool = True
-    limit: int = 5000
+    limit: int | None = 5000  # None: all rows; a limit is at most MOST_ROWS
     notes: tuple[str, ...] = field(default=())
 
 
@@ -90,17 +92,23 @@ def _in_time(df: DataFrame, t: TimeSpec) -> list[Column]:
     return out
 
 
+def _cut(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.limit(limit)
+
+
 def compile_plan(df: DataFrame, plan: Plan) -> DataFrame:
     """The plan's rows: groups, metric_value, row_count, trace_rows."""
     if plan.intent not in INTENTS or plan.aggregation not in AGGREGATES:
         raise QueryFailed(f"no plan {plan.intent!r} with {plan.aggregation!r}")
+    if plan.limit is not None and not 0 < plan.limit <= MOST_ROWS:
+        raise QueryFailed(f"a limit is from 1 to {MOST_ROWS}")
     m = _known(df, plan.measure)
     for f in plan.filters:
         df = df.where(_matches(df, f))
     for c in _in_time(df, plan.time):
         df = df.where(c)
     if plan.intent == "lookup":
-        return df.select(*[_known(df, g) for g in plan.groups], m.alias("metric_value")).limit(min(plan.limit, 200))
+        return df.select(*[_known(df, g) for g in plan.groups], m.alias("metric_value")).limit(min(plan.limit or 200, 200))
     if plan.aggregation != "count":
         df = df.where(m.isNotNull())
     trace = F.count_if("is_trace") if "is_trace" in df.columns else F.lit(0).cast("long")
@@ -113,6 +121,6 @@ def compile_plan(df: DataFrame, plan: Plan) -> DataFrame:
     if plan.intent == "trend":
         kinds = dict(df.dtypes)
         by = [(F.coalesce(month_number(F.col(g)), F.lit(99)) if kinds[g] == "string" and g in ("month", "period") else F.col(g)).asc_nulls_last() for g in plan.groups]
-        return out.orderBy(*by, *ties).limit(plan.limit)
+        return _cut(out.orderBy(*by, *ties), plan.limit)
     metric = F.col("metric_value")
-    return out.orderBy(metric.desc_nulls_last() if plan.descending else metric.asc_nulls_last(), *ties).limit(plan.limit)
+    return _cut(out.orderBy(metric.desc_nulls_last() if plan.descending else metric.asc_nulls_last(), *ties), plan.limit)
