@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, hmm, minhash, mixing, quality, secrets, simhash, toxicity
+from . import bpe, chat, hmm, licenses, minhash, mixing, quality, secrets, simhash, toxicity
 from .common import table
 
 QUERIES = {
     "op1_document_fingerprints": lambda spark, d: simhash.query(table(spark, d, "documents")),
+    "op2_license_scans": lambda spark, d: licenses.query(table(spark, d, "documents")),
     "op3_secret_scans": lambda spark, d: secrets.query(table(spark, d, "documents")),
     "op4_byte_bpe": lambda spark, d: bpe.query(table(spark, d, "documents")),
     "op5_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
@@ -18,6 +19,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_license_scans": licenses.ORACLE,
     "op7_quality_rules": quality.ORACLE,
     "op8_minhash_near_dedup": minhash.ORACLE,
     "op9_chat_formatting": chat.ORACLE,

@@ -11,7 +11,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from larkspur.llm import bpe, chat, hmm, minhash, mixing, quality, secrets, simhash, toxicity
+from larkspur.llm import bpe, chat, hmm, licenses, minhash, mixing, quality, secrets, simhash, toxicity
 from larkspur.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -71,6 +71,35 @@ def test_fingerprints(spark):
     assert one.near_next == 1.0
 
 
+def test_licenses_are_found_wherever_windows_lie(spark):
+    rng = random.Random(5)
+    noise = lambda n: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta".split()) for _ in range(n))
+    want, rows = [], []
+    for i in range(120):
+        k = rng.randrange(len(licenses.TEMPLATES))
+        name, body = licenses.TEMPLATES[k]
+        words = body.split()
+        if i % 3 == 0 and len(words) > 40:  # one word changed costs at most five shingles
+            words[rng.randrange(len(words))] = "changed"
+        rows.append((i, f"{noise(rng.randint(0, 90))} {' '.join(words).upper()} {noise(rng.randint(0, 300))}"))
+        want.append(name)
+    got = {r.doc_id: r for r in licenses.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].licenses for i in range(120)] == want
+    clean = spark.createDataFrame([(i, noise(400)) for i in range(20)], "doc_id long, text string")
+    assert not any(r.n_licenses for r in licenses.query(clean).collect())
+    one = licenses.scan(spark.createDataFrame([(1, "a b c released under the MIT license d")], "doc_id long, text string")).first()
+    assert [tuple(m) for m in one.matches] == [("MIT", 1.0, 3, 8)]
+
+
+def test_licenses_odd_rows(spark):
+    assert len(licenses.query(odd_docs(spark)).collect()) == 8
+    assert licenses.query(odd_docs(spark).where("false")).count() == 0
+    twice = spark.createDataFrame([(1, "Released under the MIT License. " * 2000), (1, "Released under the MIT License. " * 2000)], "doc_id long, text string")
+    assert [tuple(r) for r in licenses.query(twice).collect()] == [(1, 1, "MIT", 1.0)] * 2
+    with pytest.raises(ValueError):
+        licenses.scan(twice, [("short", "MIT License")])
+
+
 def test_next_over_many_ranges(spark):
     docs = spark.range(0, 500).select((1000 - 2 * __import__("pyspark").sql.functions.col("id")).alias("doc_id"))
     docs = docs.selectExpr("doc_id", "cast(doc_id as string) as text")
