@@ -33,9 +33,10 @@ from .textops import mix, rows_of_words
 SIDE = 12
 ROWS = 3
 #: One-bit minhashes of a node's sketch, and how many may differ before two nodes
-#: are out of the question: at a similarity of 0.85 some 77 of 1024 differ, with a
-#: standard deviation of 8.4; the limit lies five deviations above.
-SKETCH = 1024
+#: are out of the question: at a similarity of 0.85 some 154 of 2048 differ, with a
+#: standard deviation of 12; the limit lies five deviations above, which is the
+#: mean at a similarity of 0.79.
+SKETCH = 2048
 #: Nodes whose sets are held at once, twice, when all open pairs are compared.
 BLOCK = 512
 #: Rounds that compare each node once before all open pairs of a bucket are compared.
@@ -122,10 +123,10 @@ def _sets(words: int):
     return run
 
 
-def _furthest(num: int, den: int) -> int:
+def _furthest(num: int, den: int, bits: int) -> int:
     """Bits of two sketches that differ five standard deviations above what ``num / den`` gives."""
     p = (1 - num / den) / 2
-    return int(SKETCH * p + 5 * (SKETCH * p * (1 - p)) ** 0.5) + 1
+    return int(bits * p + 5 * (bits * p * (1 - p)) ** 0.5) + 1
 
 
 def _confirm(num: int, den: int):
@@ -249,12 +250,17 @@ def _link(d: DataFrame, sides: DataFrame, buckets: DataFrame, words: int, num: i
         else:
             # what is still apart: every pair across components that meets in a table, at its first shared key alone
             open_ = b.join(ends.select("bucket"), "bucket", "left_semi").select("node", "root").distinct()
-            c = sides.join(open_, "node").join(sets.select("node", "sketch"), "node")
-            c = durable(c.select("node", "root", "a", "b", "sketch", F.explode("a").alias("key")))
-            o = c.select(*[F.col(x).alias(f"other_{x}") for x in ("key", "node", "root", "a", "b", "sketch")])
-            apart = " + ".join(f"bit_count(sketch[{k}] ^ other_sketch[{k}])" for k in range(SKETCH // 64))
-            met = (F.col("root") < F.col("other_root")) & F.expr(f"{apart} <= {_furthest(num, den)}") & F.arrays_overlap("b", "other_b") & (F.col("key") == F.array_min(F.array_intersect("a", "other_a")))
-            p = c.join(o, (F.col("key") == F.col("other_key")) & met).select(F.least("node", "other_node").alias("x"), F.greatest("node", "other_node").alias("y"))
+            c = sides.join(open_, "node").join(sets.select("node", "sketch", F.expr("length(set) div 8").alias("size")), "node")
+            c = durable(c.select("node", "root", "a", "b", "sketch", "size", F.explode("a").alias("key")))
+            o = c.select(*[F.col(x).alias(f"other_{x}") for x in ("key", "node", "root", "a", "b", "sketch", "size")])
+            fits = f"{den} * least(size, other_size) >= {num} * greatest(size, other_size)"
+            # a first half in generated code, of a size that the JVM still compiles; the rest of the few pairs that pass it
+            half = SKETCH // 128
+            apart = " + ".join(f"bit_count(sketch[{k}] ^ other_sketch[{k}])" for k in range(half))
+            rest = f"aggregate(sequence({half}, {SKETCH // 64 - 1}), {apart}, (s, k) -> s + bit_count(sketch[k] ^ other_sketch[k]))"
+            close = F.expr(f"{apart} <= {_furthest(num, den, SKETCH // 2)}")
+            met = (F.col("root") < F.col("other_root")) & F.expr(fits) & close & F.arrays_overlap("b", "other_b") & (F.col("key") == F.array_min(F.array_intersect("a", "other_a")))
+            p = c.join(o, (F.col("key") == F.col("other_key")) & met & F.expr(f"{rest} <= {_furthest(num, den, SKETCH)}")).select(F.least("node", "other_node").alias("x"), F.greatest("node", "other_node").alias("y"))
             pairs = p.join(tested, ["x", "y"], "left_anti")
         pairs = durable(pairs)
         if pairs.isEmpty():
