@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import EngineError
 from ..warehouse import Warehouse
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def watch(spark: SparkSession, folder: str, warehouse: Warehouse, checkpoint: str, pattern: str = "*.xlsx"):
-    """A query that ingests each new file once; a batch run twice finds its files by their hashes and writes nothing."""
+def watch(spark: SparkSession, folder: str, warehouse: Warehouse, checkpoint: str, pattern: str = "*.xlsx", refused: Callable[[str, EngineError], None] | None = None):
+    """A query that ingests each new file once; a batch run twice finds its files by their hashes and writes nothing.
+
+    A file without tables ends the query, or goes to ``refused`` with its error.
+    """
     new = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).load(folder).select("path")
 
     def take(batch: DataFrame, _: int) -> None:
         for r in batch.toLocalIterator():  # paths alone
-            warehouse.ingest(r["path"])
+            try:
+                warehouse.ingest(r["path"])
+            except EngineError as e:
+                if refused is None:
+                    raise
+                refused(r["path"], e)
 
     return new.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

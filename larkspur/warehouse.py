@@ -2,17 +2,21 @@
 
 A table's rows are written as Parquet first, its catalog entries next, and the
 dataset's entry last, so a dataset that is seen is whole.  Entries are appended;
-a dataset's latest entry counts.  Nothing is kept in the session, so another
-session on the same folder sees the same.
+a dataset's latest entry counts.  What is kept in the session (answers and plans)
+holds for one state of the catalog, so another session on the same folder sees
+the same.
 """
 
 from __future__ import annotations
 
+import copy
 import datetime as dt
 import json
 import posixpath
 import time
 import uuid
+from collections import OrderedDict
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +41,14 @@ SCHEMAS = {"dataset": DATASET, "table": TABLE, "column": COLUMN, "checksum": CHE
 #: A column with more values than the first gets none listed; others at most the second.
 KNOWN_GATE, KNOWN = 5000, 2000
 UPLOAD_MB = 256
+#: Answers and plans kept, the latest used.
+ANSWERS, PLANS = 256, 512
 
 
 class Warehouse:
     def __init__(self, spark: SparkSession, root: str, upload_mb: int = UPLOAD_MB):
         self.spark, self.root, self.upload_mb = spark, root.rstrip("/"), upload_mb
+        self._answers, self._plans = OrderedDict(), OrderedDict()
 
     # catalog
 
@@ -62,6 +69,10 @@ class Warehouse:
         d = self._entries("dataset")
         return d.groupBy("dataset_id").agg(F.max_by(F.struct(*d.columns), "at").alias("x")).select("x.*")
 
+    def version(self) -> tuple:
+        """Differs once a dataset came, went or changed its state."""
+        return tuple(self._entries("dataset").agg(F.count("*"), F.max("at"), F.sum("row_count")).first())
+
     def datasets(self) -> list[dict]:
         return [r.asDict() for r in self._state().where("status <> 'cleared'").orderBy(F.desc("ingested_at"), "dataset_id").collect()]
 
@@ -166,22 +177,32 @@ class Warehouse:
                 words = nlq._words(c["name"]) + ([] if c["role"] != "measure" or c["slug"] != "value" else nlq._words(t["sheet"]))
                 role = "dimension" if c["role"] == "identifier" else c["role"]
                 units = {"mm", "c", "degc", "percent", "hpa"}
-                cols.append(nlq.Column(c["slug"], role, tuple(w for w in words if w not in units) or (c["slug"],), c["unit"] or ""))
+                cols.append(nlq.Column(c["slug"], role, tuple(w for w in words if w not in units) or (c["slug"],), c["unit"] or "", nlq.synonyms(c["slug"]), c["name"]))
             named[t["table_id"]] = (self._frame(t), tuple(cols))
             values[t["table_id"]] = {c["slug"]: tuple(c["known"]) for c in t["columns"] if c["known"]}
         return nlq.Asker(named, values)
 
     def resolve(self, question: str, table_id: str | None = None) -> dict:
-        table, plan = self._asker(self.tables()).resolve(question, table_id)
+        table, plan = self._plan(question, table_id, self.version())
         return {"table_id": table, "plan": plan}
 
+    def _plan(self, question: str, table_id: str | None, version: tuple):
+        key = (version, question.strip().lower(), table_id)
+        return _kept(self._plans, key, PLANS, lambda: self._asker(self.tables()).resolve(question, table_id))
+
     def ask(self, question: str, table_id: str | None = None, normal: float | None = None) -> Answer:
+        """The answer in one sentence and its rows; asked again of the same catalog, it is the one kept."""
+        version = self.version()
+        key = (version, question.strip().lower(), table_id, normal)
+        return copy.deepcopy(_kept(self._answers, key, ANSWERS, lambda: self._ask(question, table_id, normal, version)))
+
+    def _ask(self, question: str, table_id: str | None, normal: float | None, version: tuple) -> Answer:
         tables = self.tables()
         if not tables:
             raise Unanswerable("no file has been ingested")
         if table_id and table_id not in {t["table_id"] for t in tables}:
             raise NotFound(f"no table {table_id!r}")
-        table, plan = self._asker(tables).resolve(question, table_id)
+        table, plan = self._plan(question, table_id, version)
         t = next(t for t in tables if t["table_id"] == table)
         rows = [r.asDict() for r in compile_plan(self._frame(t), plan).collect()]
         by_slug = {c["slug"]: c for c in t["columns"]}
@@ -189,6 +210,7 @@ class Warehouse:
         source = f"{t['filename']} · {t['sheet']} · {t['physical_name']} · as of {t['as_of_date']}"
         a = narrate(plan, rows, m["name"], m["unit"], source, {k: c["name"] for k, c in by_slug.items()}, normal)
         a.table_id = table
+        a.assumptions += plan.notes
         if not any(w in question.lower() for _, words in nlq.AGGREGATE_WORDS for w in words):
             a.assumptions.append(f"No aggregate was named, so the {plan.aggregation} was taken.")
         return a
@@ -242,6 +264,15 @@ class Warehouse:
         return report.render(title, answers, self.dashboard(), sources, caveats)
 
 
+def _kept(cache: OrderedDict, key: Hashable, most: int, make: Callable):
+    if key not in cache:
+        cache[key] = make()
+    cache.move_to_end(key)
+    while len(cache) > most:
+        cache.popitem(last=False)
+    return cache[key]
+
+
 def story(t: dict, stats: list[dict], counts: dict, checks: list[dict]) -> list[str]:
     names = {c["slug"]: c["name"] for c in t["columns"]}
     out = [f"{t['sheet']} holds {t['row_count']} rows from {t['cell_range']}."]

@@ -71,3 +71,29 @@ def test_refusals(spark):
         nlq.Asker({"t": (df, cols)}).resolve("total rain")
     with pytest.raises(Unanswerable):
         nlq.Asker({"t": (df, cols)}).resolve("wind speed at 850 hPa")
+
+
+def test_names_meant_but_not_spelt(spark):
+    df = spark.createDataFrame([("Mumbai", 1.0, 2.0)], "city string, max_temp_c double, rainfall_mm double")
+    cols = (
+        nlq.Column("city", "dimension", ("city",)), nlq.Column("max_temp_c", "measure", ("max", "temp"), "degC", nlq.synonyms("max_temp_c"), "Max Temp (C)"),
+        nlq.Column("rainfall_mm", "measure", ("rainfall",), "mm", nlq.synonyms("rainfall_mm"), "Rainfall (mm)"),
+    )
+    asker = nlq.Asker({"t": (df, cols)}, {"t": {"city": ("Mumbai", "Pune", "Pushkar")}})
+
+    def plan(question):
+        return asker.resolve(question)[1]
+
+    # a synonym, told where it shares no stem
+    assert plan("total precipitation").measure == "rainfall_mm" and plan("total precipitation").notes == ("Interpreted 'precipitation' as Rainfall (mm).",)
+    assert plan("total rain").notes == ()
+    # a misspelt measure, a longer word, a guess that is told
+    assert plan("total rainfal").notes == ("Interpreted 'rainfal' as Rainfall (mm).",)
+    assert plan("what is the sea surface temperature").notes == ("Interpreted 'temperature' as Max Temp (C).",)
+    assert plan("what is the sea surface temperature").aggregation == "avg"
+    # former and misspelt values
+    assert plan("rainfall at Bombay").filters[0].values == ("Mumbai",) and plan("rainfall at Bombay").notes == ()
+    assert plan("rainfall at Mumbay").filters[0].values == ("Mumbai",) and plan("rainfall at Mumbay").notes == ("Matched 'mumbay' to Mumbai by closest spelling.",)
+    assert plan("rainfall at Delhi").filters == () and plan("rainfall at Delhi").notes == ("Interpreted 'rainfall delhi' as Rainfall (mm).",)
+    with pytest.raises(Unanswerable):
+        plan("wind speed")
