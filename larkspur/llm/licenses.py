@@ -7,7 +7,11 @@ lies whole in a window.  A window and a template are a candidate pair if one of
 ``BANDS`` minhashes is the same.  At a containment of 0.8 their Jaccard
 similarity is at least 0.8m / (w + 0.2m) > 0.19, and a pair is missed with a
 probability below 0.81**64 = 1.4e-6.  A match needs at least ``num / den`` of
-the template's distinct shingles in the window, counted exactly.
+the template's distinct shingles in the window, counted exactly.  Notices of
+sister licenses differ in few words, so one may be found in the words of another:
+where matches of two licenses overlap, the one whose found shingles are a part of
+the other's is left out, and of two with the same the one of less containment.
+Words that do not tell two licenses apart (same shingles, same containment) give both.
 
 Only windows that hold a shingle which is some template's minimum can collide,
 so no others are built; nothing is lost by that.  All of it is done inside the
@@ -26,13 +30,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle, text_of
+from .notices import MORE
 
 SHINGLE = 5
 BANDS = 64
 MOST_TEMPLATES = 1000
 NUM, DEN = 80, 100
 
-# Notices of public licenses, as their publishers word them.
+# Notices of public licenses, as their publishers word them; ``EVERY`` has those of other versions and families too.
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
@@ -65,6 +70,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+EVERY = list(dict.fromkeys(TEMPLATES + MORE))
 
 
 def shingled(d: DataFrame, *keys: str) -> DataFrame:
@@ -99,7 +105,23 @@ def width(m: int) -> int:
     return 1 << (2 * m - 1).bit_length()
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, num: int = NUM, den: int = DEN) -> DataFrame:
+def _longs(numbers: list[int]) -> Column:
+    """A constant array, as one literal."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+
+
+def _told_apart(matches: Column) -> Column:
+    """The matches that no match of another license on the same words explains better."""
+
+    def better(a: Column, b: Column) -> Column:
+        other = (a["license"] != b["license"]) & (a["first_word"] < b["past_word"]) & (b["first_word"] < a["past_word"])
+        more = (F.size(b["sh"]) > F.size(a["sh"])) | ((F.size(b["sh"]) == F.size(a["sh"])) & (b["containment"] > a["containment"]))
+        return other & more & (F.size(F.array_except(a["sh"], b["sh"])) == 0)
+
+    return F.filter(matches, lambda a: ~F.exists(matches, lambda b: better(a, b)))
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = EVERY, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_words and ``matches``: structs of license, containment, first and past-last word."""
     known = compiled(docs.sparkSession, templates)
     d = shingled(docs.select("doc_id", "text"), "doc_id")
@@ -111,12 +133,12 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, num: int
         no = F.array_distinct(F.flatten(F.transform(hits, lambda p: F.array((p / step).cast("int") - 1, (p / step).cast("int")))))
         cut = lambda k: F.struct(F.lit(w).alias("w"), (k * step).cast("int").alias("at"), F.slice("sh", k * step + 1, F.lit(w)).alias("sh"))
         per_width.append(F.transform(F.filter(no, lambda k: k >= 0), cut).cast(windows))
-    every = F.lit(sorted({s for t in known for s in t["least"]}))
+    every = sorted({s for t in known for s in t["least"]})
     n = F.when(F.size("sh") > 0, F.size("sh") + SHINGLE - 1).otherwise(0).cast("long").alias("n_shingled_words")
-    d = settle(d, "doc_id", n, F.when(F.arrays_overlap("sh", every), F.concat(*per_width)).otherwise(F.array().cast(windows)).alias("windows"))
+    d = settle(d, "doc_id", n, F.when(F.exists("sh", lambda s: s.isin(every)), F.concat(*per_width)).otherwise(F.array().cast(windows)).alias("windows"))
     banded = lambda x: F.struct(x["w"].alias("w"), x["at"].alias("at"), x["sh"].alias("sh"), _bands(x["sh"]).alias("bands"))
     d = settle(d, "doc_id", "n_shingled_words", F.transform("windows", banded).alias("windows"))
-    shelf = F.array(*[F.struct(F.lit(t["license"]).alias("license"), F.lit(t["w"]).alias("w"), F.lit(t["sh"]).alias("sh"), F.lit(t["bands"]).alias("bands")) for t in known])
+    shelf = F.array(*[F.struct(F.lit(t["license"]).alias("license"), F.lit(t["w"]).alias("w"), _longs(t["sh"]).alias("sh"), _longs(t["bands"]).alias("bands")) for t in known])
 
     def found(x: Column) -> Column:
         near = F.filter(shelf, lambda t: (t["w"] == x["w"]) & F.arrays_overlap(t["bands"], x["bands"]))
@@ -125,9 +147,12 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, num: int
         return F.transform(whole, lambda t: F.struct(
             t["license"].alias("license"), (F.size(F.array_intersect(t["sh"], x["sh"])) / F.size(t["sh"])).alias("containment"),
             (x["at"] + F.array_min(spots(t))).alias("first_word"), (x["at"] + F.array_max(spots(t)) + SHINGLE).alias("past_word"),
+            F.array_intersect(t["sh"], x["sh"]).alias("sh"),
         ))
 
-    return settle(d, "doc_id", "n_shingled_words", F.array_sort(F.array_distinct(F.flatten(F.transform("windows", found)))).alias("matches"))
+    d = settle(d, "doc_id", "n_shingled_words", F.array_distinct(F.flatten(F.transform("windows", found))).alias("matches"))
+    bare = lambda m: F.struct(*[m[c].alias(c) for c in ("license", "containment", "first_word", "past_word")])
+    return settle(d, "doc_id", "n_shingled_words", F.array_sort(F.array_distinct(F.transform(_told_apart(F.col("matches")), bare))).alias("matches"))
 
 
 def query(docs: DataFrame) -> DataFrame:

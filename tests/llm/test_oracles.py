@@ -91,6 +91,24 @@ def test_licenses_are_found_wherever_windows_lie(spark):
     assert [tuple(m) for m in one.matches] == [("MIT", 1.0, 3, 8)]
 
 
+def test_licenses_of_one_family_are_told_apart(spark):
+    grant = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation"
+    later = grant + ", either version {} of the License, or (at your option) any later version."
+    bsd = [t for t in licenses.EVERY if t[0].startswith("BSD-")]
+    cases = [
+        ("GPL-2.0", later.format("", 2)), ("GPL-3.0", later.format("", 3)), ("LGPL-3.0", later.format("Lesser ", 3)), ("LGPL-2.1", later.format("Lesser ", 2.1)),
+        ("AGPL-3.0", later.format("Affero ", 3)), ("GPL-2.0,GPL-3.0", later.format("", 2) + " Or: " + later.format("", 3)), ("GPL-2.0", grant.format("") + "; version 2 of the License."),
+        ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."), ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
+        ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+        *bsd, ("BSD-3-Clause", next(b for n, b in bsd if n == "BSD-3-Clause").replace("the copyright holder nor", "the University nor")),
+        ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: none."),
+        *((n, b) for n, b in licenses.EVERY if n not in ("BSD", "Apache-2.0")),
+    ]
+    docs = spark.createDataFrame([(i, f"so it is said: {b} and no more") for i, (_, b) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.query(docs).collect()}
+    assert [(got[i], b) for i, (_, b) in enumerate(cases) if got[i] != cases[i][0]] == []
+
+
 def test_licenses_odd_rows(spark):
     assert len(licenses.query(odd_docs(spark)).collect()) == 8
     assert licenses.query(odd_docs(spark).where("false")).count() == 0
