@@ -293,6 +293,33 @@ def test_language_model(spark):
     assert scored.s > scored.b
 
 
+def test_language_model_of_rare_words(spark):
+    rng = random.Random(3)
+    half = [[f"{side}{i}" for i in range(40)] for side in "pq"]
+    rare = [[f"{side}{i}ending" for i in range(6000)] for side in "yz"]  # all of one class of endings
+    rows = []
+    for i in range(6000):
+        side = i % 2
+        words = rng.choices(half[side], k=24) + [f"both{(12 * i + k) % 8300}" for k in range(12)]
+        for w in (rare[side][i], rare[side][i - 1], rare[side][i]):
+            words.insert(rng.randrange(24), w)
+        rows.append((i, " ".join(words)))
+    asked = []
+    for i in range(20):
+        words = rng.choices(half[0], k=24)
+        asked += [(10_000 + 2 * i + side, " ".join([*words, rare[side][[j for j in range(5000) if zlib.crc32(str(j).encode()) % 5 != 1 and j % 2 == side][i]]])) for side in (0, 1)]
+    docs = spark.createDataFrame(rows + asked, "doc_id long, text string")
+    got = {r.doc_id: r for r in hmm.query(docs).collect()}
+    # a rare word among the common words of its own half is the likelier one
+    assert sum(got[10_000 + 2 * i].score - got[10_001 + 2 * i].score for i in range(20)) > 5
+    # held by workers or joined, the counts are the same
+    few = {r.doc_id: r for r in hmm.query(docs, most=9000).collect()}
+    assert len(few) == len(got) == len(rows + asked)
+    for i, r in got.items():
+        assert (few[i].n_known, few[i].n_tokens) == (r.n_known, r.n_tokens)
+        assert few[i].base_score == pytest.approx(r.base_score) and few[i].score == pytest.approx(r.score, rel=1e-3)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
