@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import durable
+from .common import durable, free_name
 
 #: Labelled documents of each class that are trained on, at most.
 SAMPLE = 4000
@@ -149,8 +150,9 @@ def _fit(row, col, y, weight, n: int, swaps: np.ndarray, steps: int = 400):
     return w, float(b)
 
 
-def score(docs: DataFrame, model: tuple[float, dict[str, float]], keep: str = "doc_id") -> DataFrame:
-    """``keep`` and score for every row; a model holds at most ``FEATURES`` weights."""
+def score(docs: DataFrame, model: tuple[float, dict[str, float]], keep: str | list[str] = "doc_id", name: str = "score") -> DataFrame:
+    """``keep`` and score, as ``name``, for every row; a model holds at most ``FEATURES`` weights."""
+    keep = [keep] if isinstance(keep, str) else keep
     base, weights = model
     words = {f[1:]: x for f, x in weights.items() if f[0] == "="}
     stems = [(n, {f: x for f, x in weights.items() if f[0] != "=" and len(f) == n}) for n in STEMS]
@@ -159,7 +161,7 @@ def score(docs: DataFrame, model: tuple[float, dict[str, float]], keep: str = "d
         for b in batches:
             for k in range(0, b.num_rows, 200):
                 part, z = b.slice(k, 200), []
-                for t in part.column(1).to_pylist():
+                for t in part.column(len(keep)).to_pylist():
                     seen = set(_WORD.findall((t or "").lower()))
                     # sums over sorted features: the same whatever order a set has
                     x = [words[w] for w in sorted(seen & words.keys())]
@@ -167,9 +169,9 @@ def score(docs: DataFrame, model: tuple[float, dict[str, float]], keep: str = "d
                         x += [s[f] for f in sorted({w[:n] for w in seen if len(w) >= n} & s.keys())]
                     z.append(base + sum(x))
                 out = 1 / (1 + np.exp(-np.clip(np.array(z), -40, 40)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out)], names=[keep, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(out)], names=[*keep, name])
 
-    return docs.select(keep, "text").mapInArrow(run, f"{keep} {docs.schema[keep].dataType.simpleString()}, score double")
+    return docs.select(*keep, "text").mapInArrow(run, StructType([*(docs.schema[c] for c in keep), StructField(name, DoubleType())]))
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -179,6 +181,6 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic."""
-    s = score(docs, train(docs, labels)).where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
-    return docs.join(s, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose own text is not predicted toxic, whatever their id."""
+    name = free_name(docs, "score")
+    return score(docs, train(docs, labels), docs.columns, name).where(F.col(name) < THRESHOLD).drop(name)

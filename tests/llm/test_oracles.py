@@ -320,6 +320,17 @@ def test_language_model_of_rare_words(spark):
         assert few[i].base_score == pytest.approx(r.base_score) and few[i].score == pytest.approx(r.score, rel=1e-3)
 
 
+def test_toxic_rows_go_by_their_own_text(spark, con):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r.doc_id for r in toxicity.keep_clean(docs, labels).collect()}
+    bad = next(r for r in docs.orderBy("doc_id").collect() if r.doc_id not in kept)
+    good = next(r for r in docs.orderBy("doc_id").collect() if r.doc_id in kept)
+    more = [(None, bad.text), (None, good.text), (10**9, bad.text), (10**9, good.text)]
+    got = toxicity.keep_clean(docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"), True), labels)
+    assert got.columns == docs.columns and got.count() == len(kept) + 2
+    assert [r.text for r in got.where("doc_id is null or doc_id = 1000000000").collect()] == [good.text] * 2
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
