@@ -11,7 +11,8 @@ no text can defeat, so one more round makes them identical.
 
 Defined cases: turns are in the order (turn, role, text), nulls first; a null
 text or role is empty; equal rows are turns of their own; a null conv_id is one
-conversation; other columns are ignored.  One conversation is one string, so it
+conversation; other columns are ignored; an empty table gives an empty result
+(``query`` still adds conversation -1).  One conversation is one string, so it
 has to fit Spark's limit of a value (2 GB).
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, sums_before
 
 # Fixed control strings of the template.
 OPEN, SHUT, CLOSE, START = "[INST]", "[/INST]", "</s>", "<s>"
@@ -100,22 +101,36 @@ def format_chats(rows: DataFrame) -> DataFrame:
 
 
 def loss_mask(formatted: DataFrame) -> DataFrame:
-    """conv_id, formatted, parsed, mask: spans (start, end) of the trained bodies, in code points of ``formatted``."""
-    close = len(CLOSE)
-    ends = (
-        "aggregate(parsed, named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int>>)), (a, x) -> named_struct("
-        f"'at', a.at + x.length + {close}, 'out', case when x.role = '{TRAINED}' then array_append(a.out, named_struct('start', a.at + x.skip, 'end', a.at + x.length)) else a.out end), a -> a.out)"
+    """conv_id, formatted, parsed, mask: spans (turn, begin, start, end) of the trained bodies, in code points of ``formatted``.
+
+    ``begin`` is where the span's turn begins, so that a reader need not count from the start for each span.
+    """
+    d = settle(formatted, "conv_id", "formatted", "parsed", F.expr(f"transform(parsed, x -> x.length + {len(CLOSE)})").alias("lengths"))
+    d = settle(d, "conv_id", "formatted", "parsed", F.expr(f"case when size(lengths) > 0 then {sums_before('lengths')} else array() end").alias("begins"))
+    spans = (
+        "transform(filter(transform(parsed, (x, i) -> named_struct('role', x.role, 'turn', i, 'begin', begins[i], 'start', begins[i] + x.skip, 'end', begins[i] + x.length)), "
+        f"x -> x.role = '{TRAINED}'), x -> named_struct('turn', x.turn, 'begin', x.begin, 'start', x.start, 'end', x.end))"
     )
-    return settle(formatted, "conv_id", "formatted", "parsed", F.expr(ends).alias("mask"))
+    return settle(d, "conv_id", "formatted", "parsed", F.expr(spans).alias("mask"))
+
+
+def under_mask(masked: DataFrame) -> DataFrame:
+    """conv_id, formatted, parsed, mask, loss: the text under the mask, cut from ``formatted`` and unescaped where it says so.
+
+    A trained body lies in one turn, so a span is cut from that turn's piece: one pass over the string, not one for each span.
+    """
+    d = settle(masked, "conv_id", "formatted", "parsed", "mask", F.split("formatted", CLOSE, -1).alias("pieces"))
+    body = "substring(pieces[x.turn], x.start - x.begin + 1, x.end - x.start)"
+    mark = "substring(pieces[x.turn], x.start - x.begin - 3, 3)"
+    loss = f"array_join(transform(mask, x -> case when {mark} = 'esc' then {unescape(body)} else {body} end), '')"
+    return settle(d, "conv_id", "formatted", "parsed", "mask", F.expr(loss).alias("loss"))
 
 
 def query(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     clash = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(clash).alias("text"))
-    d = format_chats(rows.select("conv_id", "turn", "role", "text").unionByName(extra))
-    trained = F.expr(f"array_join(transform(filter(parsed, x -> x.role = '{TRAINED}'), x -> x.text), '')")
-    d = settle(d, "conv_id", "formatted", "parsed", trained.alias("loss"))
+    d = under_mask(loss_mask(format_chats(rows.select("conv_id", "turn", "role", "text").unionByName(extra))))
     return settle(
         d, "conv_id", F.size("parsed").cast("long").alias("n_turns"),
         F.sha2(F.expr("array_join(transform(parsed, x -> concat(x.role, '\\n', x.text, '\\n')), '')"), 256).alias("turns_sha256"),

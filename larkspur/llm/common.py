@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +28,14 @@ def words_of(col: Column) -> Column:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage at a copy that outlives any executor.
 
-    The copy goes to the shared folder named by ``spark.checkpoint.dir``; only
-    a session without that setting gets a folder of its own.
+    The copy goes to the shared folder named by ``spark.checkpoint.dir``.  A
+    session without that setting gets a folder in its warehouse, which all
+    machines share as well.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "larkspur-checkpoints"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "larkspur-checkpoints"))
     return df.checkpoint(eager=True)
 
 
@@ -55,3 +56,13 @@ def settle(df: DataFrame, *cols) -> DataFrame:
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in cols]
     return df.select(F.inline(F.array(F.struct(*cols))))
+
+
+def sums_before(lengths: str) -> str:
+    """SQL: for each element of an array the sum of those before it, in blocks of about the square root of its size."""
+    step = f"cast(ceil(sqrt(size({lengths}))) as int)"
+    blocks = f"transform(sequence(0, size({lengths}) - 1, {step}), j -> slice({lengths}, j + 1, {step}))"
+    return (
+        f"flatten(flatten(transform(array({blocks}), bs -> flatten(transform(array(transform(bs, x -> aggregate(x, 0, (a, y) -> a + y))), sums -> "
+        "transform(bs, (x, j) -> transform(x, (y, i) -> aggregate(slice(sums, 1, j), 0, (a, z) -> a + z) + aggregate(slice(x, 1, i), 0, (a, z) -> a + z))))))))"
+    )

@@ -23,7 +23,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, settle, text_of, words_of
+from .common import free_name, settle, sums_before, text_of, words_of
 
 # Fixed patterns: what each kind of base span is.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -79,16 +79,6 @@ def _ratio(s: str, table: list[float]) -> str:
     return f"aggregate(transform(array({cells}), t -> aggregate(sequence(0, size(t) - 2), 0D, (a, i) -> a + coalesce(get(array({logs}), t[i] * {n} + t[i + 1]), 0D))), 0D, (a, x) -> a + x) / (char_length({s}) - 1)"
 
 
-def _before(lengths: str) -> str:
-    """For each element of an array the sum of those before it, in blocks of about the square root of its size."""
-    step = f"cast(ceil(sqrt(size({lengths}))) as int)"
-    blocks = f"transform(sequence(0, size({lengths}) - 1, {step}), j -> slice({lengths}, j + 1, {step}))"
-    return (
-        f"flatten(flatten(transform(array({blocks}), bs -> flatten(transform(array(transform(bs, x -> aggregate(x, 0, (a, y) -> a + y))), sums -> "
-        "transform(bs, (x, j) -> transform(x, (y, i) -> aggregate(slice(sums, 1, j), 0, (a, z) -> a + z) + aggregate(slice(x, 1, i), 0, (a, z) -> a + z))))))))"
-    )
-
-
 def _located(d: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Replaces each array ``m_<kind>`` of matched strings by ``p_<kind>``: struct(start, end, text).
 
@@ -100,7 +90,7 @@ def _located(d: DataFrame, kinds: dict[str, str]) -> DataFrame:
     d = settle(d, *d.columns)
     steps = {k: f"zip_with(slice(g_{k}, 1, size(m_{k})), m_{k}, (g, m) -> char_length(g) + char_length(m))" for k in kinds}
     d = settle(d, *d.columns, *[F.expr(f"case when size(m_{k}) > 0 then {s} end").alias(f"l_{k}") for k, s in steps.items()])
-    d = settle(d, *d.columns, *[F.expr(f"case when size(m_{k}) > 0 then {_before(f'l_{k}')} end").alias(f"b_{k}") for k in kinds])
+    d = settle(d, *d.columns, *[F.expr(f"case when size(m_{k}) > 0 then {sums_before(f'l_{k}')} end").alias(f"b_{k}") for k in kinds])
     out = [
         F.expr(
             f"case when size(m_{k}) > 0 then transform(m_{k}, (m, i) -> named_struct('start', b_{k}[i] + char_length(g_{k}[i]), "
