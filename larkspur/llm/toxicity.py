@@ -1,17 +1,25 @@
 """Toxicity by a counterfactual-regularised linear classifier.
 
-A text's features are its distinct words and their first letters.  Logistic
-regression over the features that tell the classes apart best is trained on at
-most ``SAMPLE`` labelled documents of each class (smallest hashed ids), with a
-penalty on the squared change of the logit when an identity term in a labelled
-sentence is swapped for another; terms that stand in no labelled sentence are
-put into neutral ones first.  So naming a group is no evidence by itself.
+A text's features are its distinct words and their first letters; an identity
+term is one feature of its own, always part of the model, and has no first
+letters.  Logistic regression over the features that tell the classes apart
+best is trained on at most ``SAMPLE`` labelled documents of each class
+(smallest hashed ids, then texts), with a penalty on the mean squared change of
+the logit over counterfactuals of all labelled sentences, of both classes: each
+term that a sentence names is swapped for each other term; a sentence that
+names none gets each term put in, swapped for each other; and in a non-toxic
+sentence naming a group is held against not naming it.  So naming a group is no
+evidence by itself.
+
+A swap changes only features of terms, so the sum of all counterfactuals'
+squared changes is a form in the terms' weights alone: workers add up its
+matrix (terms x terms), and no sentence has to be left out.
 
 Defined cases: a null text counts as empty and scores as the intercept alone;
 without labels of both classes every score is the share of toxic labels seen
-(0.0 without any); a document with several labels counts for each; rows repeat
-as they come; other columns are ignored.  Labels, language, source and id are
-no inputs of a score.
+(near 0 without any); a document with both labels counts for each; rows repeat
+as they come; other columns are ignored; an empty table gives an empty result.
+Labels, language, source and id are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -29,11 +37,11 @@ from .common import durable, free_name
 
 #: Labelled documents of each class that are trained on, at most.
 SAMPLE = 4000
+#: Features besides the identity terms.
 FEATURES = 2048
-CARRIERS = 100
 STEMS = (3, 4, 5, 6)
 THRESHOLD = 0.3
-SWAP_PENALTY = 5.0
+SWAP_PENALTY = 100.0
 RIDGE = 1e-4
 
 # Identity terms that may be swapped for one another.
@@ -44,12 +52,16 @@ IDENTITY = (
 )
 
 _WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"[.!?\n]+")
+_TERMS = frozenset(IDENTITY)
 
 
 def features(text: str) -> set[str]:
-    """Words as ``=word`` and first letters as they are."""
+    """Identity terms as ``@term``, other words as ``=word`` and their first letters as they are."""
     words = set(_WORD.findall(text.lower()))
-    out = {"=" + w for w in words}
+    out = {"@" + w for w in words & _TERMS}
+    words -= _TERMS
+    out.update(["=" + w for w in words])
     for n in STEMS:
         out.update([w[:n] for w in words if len(w) >= n])
     return out
@@ -65,15 +77,57 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, fold: int) -> tuple[DataFrame, dict[int, int]]:
+    """toxic and text of at most ``SAMPLE`` rows of each class, and how many labels each class has in all."""
     lab = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
-    lab = lab.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != fold)
+    lab = lab.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != fold).distinct()
     sizes = {r[0]: r[1] for r in lab.groupBy("toxic").count().collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    some = [lab.where(F.col("toxic") == k).orderBy(*order).limit(SAMPLE) for k in (0, 1)]
-    return durable(docs.select("doc_id", "text").join(some[0].unionAll(some[1]), "doc_id").select("toxic", "text")), sizes
+    out = []
+    for k in (0, 1):
+        ids = lab.where(F.col("toxic") == k).orderBy(*order).limit(SAMPLE)
+        # an id may stand on any number of rows, so the rows are bounded too
+        out.append(docs.select("doc_id", "text").join(ids, "doc_id").orderBy(*order, F.xxhash64("text")).limit(SAMPLE))
+    return durable(out[0].unionAll(out[1]).select("toxic", "text")), sizes
+
+
+def swap_sums(texts: list[tuple[int, str]]) -> tuple[np.ndarray, int]:
+    """The matrix of the counterfactuals' summed squared changes, and how many there are, for labelled texts."""
+    k, at = len(IDENTITY), {t: i for i, t in enumerate(IDENTITY)}
+    gram, n, plain = np.zeros((k, k)), 0, [0, 0]
+    for toxic, text in texts:
+        for sentence in _SENTENCE.split(text.lower()):
+            words = _WORD.findall(sentence)
+            if not words:
+                continue
+            named = sorted({at[w] for w in words if w in at})
+            if not named:
+                plain[toxic] += 1
+                continue
+            absent = np.ones(k)
+            absent[named] = 0
+            for i in named:  # swapped for each other term; for one that is there already it only goes
+                gram[i, i] += k - 1
+                gram[i] -= absent
+                gram[:, i] -= absent
+                gram[np.diag_indices(k)] += absent
+                n += k - 1
+                if not toxic:
+                    gram[i, i] += 1
+                    n += 1
+    gram += sum(plain) * (k * np.eye(k) - 1) + plain[0] * np.eye(k)
+    return gram, n + sum(plain) * k * (k - 1) // 2 + plain[0] * k
+
+
+def _swap_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, 500):
+            part = b.slice(k, 500)
+            gram, n = swap_sums([(y, t or "") for y, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())])
+            at = np.append(np.flatnonzero(gram), gram.size)  # the last row has the number of counterfactuals
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(gram.ravel(), n)[at].astype(float))], names=["at", "v"])
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int = 2) -> tuple[float, dict[str, float]]:
+def train(docs: DataFrame, labels: DataFrame, fold: int = 2, penalty: float = SWAP_PENALTY) -> tuple[float, dict[str, float]]:
     """Intercept and feature weights, from labelled rows outside the held-out fold."""
     sample, sizes = _sample(docs, labels, fold)
     got = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
@@ -82,68 +136,57 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 2) -> tuple[float, dic
         share = min(max(share, 1e-9), 1 - 1e-9)
         return float(np.log(share / (1 - share))), {}
     p, q = got[1], got[0]
-    seen = sample.mapInArrow(_explode, "toxic int, feature string").groupBy("feature").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q")).where("p + q >= 5")
+    seen = sample.mapInArrow(_explode, "toxic int, feature string").groupBy("feature").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
+    seen = seen.where("p + q >= 5 and not startswith(feature, '@')")
     gap = F.abs(F.col("p") / p - F.col("q") / q) / F.sqrt((F.col("p") + F.col("q") + 2.0) / (p + q))
-    names = [r[0] for r in seen.orderBy(gap.desc(), "feature").limit(FEATURES).collect()]
+    names = ["@" + t for t in IDENTITY] + [r[0] for r in seen.orderBy(gap.desc(), "feature").limit(FEATURES).collect()]
     spot = {f: k for k, f in enumerate(names)}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = set(IDENTITY)
         for b in batches:
             for k in range(0, b.num_rows, 100):
                 part = b.slice(k, 100)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                hits = [[spot[f] for f in features(t) if f in spot] for t in texts]
-                # sentences that name a group, else a short one to put a name into
-                said = []
-                for t in texts:
-                    s = [x for x in re.split(r"[.!?\n]+", t) if 0 < len(x) <= 300]
-                    named = [x for x in s if terms & set(_WORD.findall(x.lower()))]
-                    said.append((named or s)[:1])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hits, pa.list_(pa.int32())), pa.array(said, pa.list_(pa.string()))], names=["toxic", "hits", "said"])
-
-    got_rows = sample.mapInArrow(rows, "toxic int, hits array<int>, said array<string>").toArrow()
+                hits = [sorted(spot[f] for f in features(t or "") if f in spot) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hits, pa.list_(pa.int32()))], names=["toxic", "hits"])
+
+    # 2 * SAMPLE rows at most, of a number for each feature of the model that a text has; the sums have terms x terms rows
+    got_rows = sample.mapInArrow(rows, "toxic int, hits array<int>").orderBy("toxic", "hits").toArrow()
+    sums = sample.mapInArrow(_swap_rows, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    gram = np.zeros(len(IDENTITY) ** 2 + 1)
+    gram[sums.column("at").to_numpy()] = sums.column("v").to_numpy()
     y = got_rows.column("toxic").to_numpy().astype(float)
-    hits = got_rows.column("hits").combine_chunks()
-    lengths = np.array([len(h) for h in hits.to_pylist()])
-    col = np.concatenate([np.asarray(h, np.int64) for h in hits.to_pylist()]) if lengths.sum() else np.zeros(0, np.int64)
+    hits = got_rows.column("hits").to_pylist()
+    lengths = [len(h) for h in hits]
+    col = np.array([f for h in hits for f in h], np.int64)
     row = np.repeat(np.arange(len(y)), lengths)
-    said = sorted((t, s[0]) for t, s in zip(y.tolist(), got_rows.column("said").to_pylist()) if s)
-    swaps = _swaps([s for _, s in said], spot)
     weight = np.where(y == 1, sizes[1] / p, sizes[0] / q)
+    swaps = gram[:-1].reshape(len(IDENTITY), -1) * (penalty / max(1.0, gram[-1]))
     w, b = _fit(row, col, y, weight / weight.sum(), len(names), swaps)
     return b, {f: float(x) for f, x in zip(names, w) if abs(x) > 1e-6}
 
 
-def _swaps(sentences: list[str], spot: dict[str, int]) -> np.ndarray:
-    """Feature differences of labelled sentences and their counterfactuals, without repeats."""
-    named = [s for s in sentences if set(_WORD.findall(s.lower())) & set(IDENTITY)]
-    carriers = named[:CARRIERS] or sentences[:: max(1, len(sentences) // CARRIERS)][:CARRIERS]
-    out: dict[tuple, np.ndarray] = {}
-    for k, s in enumerate(carriers):
-        present = next((t for t in IDENTITY if t in set(_WORD.findall(s.lower()))), None)
-        for step, term in enumerate(IDENTITY):
-            other = IDENTITY[(step + 1 + k) % len(IDENTITY)]
-            a, b = ((s, re.sub(rf"\b{present}\b", other, s.lower())) if present else (f"{s} {term}", f"{s} {other}"))
-            d = np.zeros(len(spot))
-            for sign, t in ((1, a), (-1, b)):
-                for f in features(t):
-                    if f in spot:
-                        d[spot[f]] += sign
-            if d.any():
-                out.setdefault(tuple(np.flatnonzero(d).tolist()), d)
-    return np.array(list(out.values())) if out else np.zeros((0, len(spot)))
+def _slope(w, b, row, col, y, weight, swaps):
+    """Gradient of ``objective``."""
+    z = np.bincount(row, w[col], len(y)) + b
+    e = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
+    g = np.bincount(col, e[row], len(w)) + RIDGE * w
+    g[: len(swaps)] += swaps @ w[: len(swaps)]
+    return g, e.sum()
+
+
+def objective(w, b, row, col, y, weight, swaps) -> float:
+    """Weighted log loss, ridge and swap penalty, whose matrix ``swaps`` acts on the first weights."""
+    z = np.bincount(row, w[col], len(y)) + b
+    v = w[: len(swaps)]
+    return float(weight @ (np.logaddexp(0, z) - y * z) + RIDGE * (w @ w) / 2 + v @ swaps @ v / 2)
 
 
 def _fit(row, col, y, weight, n: int, swaps: np.ndarray, steps: int = 400):
-    """Adam on the weighted log loss, ridge and swap penalty; deterministic."""
+    """Adam on the objective; deterministic."""
     w, b = np.zeros(n), float(np.log((weight @ y + 1e-9) / (weight @ (1 - y) + 1e-9)))
     m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(row, w[col], len(y)) + b
-        e = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        g = np.bincount(col, e[row], n) + RIDGE * w + (SWAP_PENALTY * swaps.T @ (swaps @ w) / max(1, len(swaps)))
-        gb = e.sum()
+        g, gb = _slope(w, b, row, col, y, weight, swaps)
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         b -= 0.05 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
@@ -151,11 +194,11 @@ def _fit(row, col, y, weight, n: int, swaps: np.ndarray, steps: int = 400):
 
 
 def score(docs: DataFrame, model: tuple[float, dict[str, float]], keep: str | list[str] = "doc_id", name: str = "score") -> DataFrame:
-    """``keep`` and score, as ``name``, for every row; a model holds at most ``FEATURES`` weights."""
+    """``keep`` and score, as ``name``, for every row; a model holds at most ``FEATURES`` weights and the terms'."""
     keep = [keep] if isinstance(keep, str) else keep
     base, weights = model
-    words = {f[1:]: x for f, x in weights.items() if f[0] == "="}
-    stems = [(n, {f: x for f, x in weights.items() if f[0] != "=" and len(f) == n}) for n in STEMS]
+    words = {f[1:]: x for f, x in weights.items() if f[0] in "=@"}
+    stems = [(n, {f: x for f, x in weights.items() if f[0] not in "=@" and len(f) == n}) for n in STEMS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,6 +208,7 @@ def score(docs: DataFrame, model: tuple[float, dict[str, float]], keep: str | li
                     seen = set(_WORD.findall((t or "").lower()))
                     # sums over sorted features: the same whatever order a set has
                     x = [words[w] for w in sorted(seen & words.keys())]
+                    seen -= _TERMS
                     for n, s in stems:
                         x += [s[f] for f in sorted({w[:n] for w in seen if len(w) >= n} & s.keys())]
                     z.append(base + sum(x))
