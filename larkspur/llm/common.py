@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,20 +26,32 @@ def words_of(col: Column) -> Column:
     return F.regexp_extract_all(col, F.lit(WORD), 0)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage at a copy that outlives any executor.
-
-    The copy goes to the shared folder named by ``spark.checkpoint.dir``.  A
-    session without that setting gets a folder in its warehouse, which all
-    machines share as well.
-    """
-    spark = df.sparkSession
+def _shared(spark: SparkSession) -> str:
+    """The shared folder for copies: that of ``spark.checkpoint.dir``, else one in the warehouse, which all machines share as well."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "larkspur-checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage at a checkpoint in the shared folder, which outlives any executor."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage at a Parquet table in the shared folder.
+
+    Unlike a checkpoint, which keeps its plan's estimates, the copy has the size
+    of its files: estimates of joins multiply, and over many steps they would
+    get so long that planning never ends.
+    """
+    path = f"{_shared(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name starting with ``stem`` that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -4,18 +4,22 @@ Two collections of ``side`` short keys (``rows`` minhashes each) are computed;
 the table keys are all pairs of a key of the first and one of the second.  So
 ``side ** 2`` tables need the minhashes of only ``2 * side`` keys.  A pair with
 similarity s meets in a table with probability (1 - (1 - s**rows)**side)**2:
-0.99998 at s = 0.85 and 0.9996 at s = 0.8 with the defaults.  Every link is confirmed on the full shingle sets.
+0.99998 at s = 0.85 and 0.9996 at s = 0.8 with the defaults.  That is the only
+loss: every later step is exact, and every link is confirmed on the full sets.
 
-Equal sets are one node from the start.  Within a table's bucket nodes are
-compared with the bucket's first node, then only across components not yet
-joined, so a group of g near copies costs about g comparisons, not g squared;
-pairs in a bucket whose components are never joined are all compared at last,
-so no link between candidates is lost.
+Equal sets are one node from the start.  Within a table's bucket each node is
+first compared with the bucket's least node, which joins a group of g near
+copies by about g comparisons.  Where a bucket still holds several components,
+nodes that share a key are compared across components, block against block, so
+a task's size depends on ``BLOCK`` alone; a sketch of one pass over a set tells
+most pairs apart, and never a linked one.
 
 Defined cases: null and empty texts, and texts without words, have the empty
 set and link with nothing; a text of fewer than ``words`` words is one shingle;
-rows with equal ids are one document of the link graph; a row with a null id
-takes part in no group and is kept; other columns are ignored.
+rows with equal ids are one document of the link graph, but for rows without
+words, which are alone whatever their id; a row with a null id takes part in no
+group and is kept; other columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -24,23 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import stored
 from .textops import mix, rows_of_words
 
 SIDE = 12
 ROWS = 3
-#: One-bit minhashes of a node's sketch, and how many may differ before two nodes
-#: are out of the question: at a similarity of 0.85 some 154 of 2048 differ, with a
-#: standard deviation of 12; the limit lies five deviations above, which is the
-#: mean at a similarity of 0.79.
+#: Bits of a node's sketch.  A bit tells whether an odd number of its set's shingles
+#: fell on it, so two sketches differ in at most as many bits as the sets differ in shingles.
 SKETCH = 2048
-#: Nodes whose sets are held at once, twice, when all open pairs are compared.
-BLOCK = 512
-#: Rounds that compare each node once before all open pairs of a bucket are compared.
-STAR_ROUNDS = 1
+#: Nodes of a block when nodes are compared all with all across components.
+BLOCK = 1024
+#: Pairs that are confirmed together after the first comparison.
+TOGETHER = 64
 #: Links to a partition while components are found.
 LINKS = 200_000
 
@@ -70,6 +72,11 @@ def shingle_sets(texts: pa.Array, words: int):
         yield first, sizes, np.concatenate(out) if out else s
 
 
+def _nodes(u: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A number for each set, from sums over its shingles; equal sets have equal ones, and none is 0."""
+    return np.maximum(mix(np.add.reduceat(u, at) ^ mix(np.add.reduceat(mix(u), at) + sizes.astype(np.uint64))), np.uint64(1))
+
+
 def _signatures(words: int):
     multiply, add = _odd(2 * SIDE * ROWS, 3), _odd(2 * SIDE * ROWS, 5)
     fold = _odd(ROWS, 11)
@@ -82,10 +89,9 @@ def _signatures(words: int):
                 full = np.flatnonzero(sizes)
                 at = (np.cumsum(sizes) - sizes)[full]
                 keys = np.zeros((n, 2 * SIDE), np.uint64)
-                one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+                node = np.zeros(n, np.uint64)
                 if len(full):
-                    one[full] = np.add.reduceat(u, at)
-                    two[full] = np.add.reduceat(mix(u), at)
+                    node[full] = _nodes(u, at, sizes[full])
                     for k in range(2 * SIDE):
                         key = np.full(len(full), k + 1, np.uint64)
                         for r in range(ROWS):
@@ -94,58 +100,43 @@ def _signatures(words: int):
                         keys[full, k] = mix(key)
                 flat = pa.array(keys.view(np.int64).ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, n), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.ListArray.from_arrays(np.arange(0, n * 2 * SIDE + 1, 2 * SIDE, dtype=np.int32), flat)],
-                    names=["doc_id", "n_shingles", "one", "two", "keys"],
+                    [ids.slice(first, n), pa.array(sizes), pa.array(node.view(np.int64)), pa.ListArray.from_arrays(np.arange(0, n * 2 * SIDE + 1, 2 * SIDE, dtype=np.int32), flat)],
+                    names=["doc_id", "n_shingles", "node", "keys"],
                 )
 
     return run
 
 
-def _sets(words: int):
-    multiply, add = _odd(SKETCH, 13), _odd(SKETCH, 17)
+def sketches(u: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A row of ``SKETCH`` bits, packed, for each set."""
+    out, ends = [], np.cumsum(sizes)
+    for k in range(0, len(sizes), 1000):
+        part = sizes[k : k + 1000]
+        own = u[ends[k] - sizes[k] : ends[min(k + 1000, len(sizes)) - 1]]
+        spot = np.repeat(np.arange(len(part)), part) * SKETCH + (own >> np.uint64(40)).astype(np.int64) % SKETCH
+        out.append(np.packbits((np.bincount(spot, minlength=len(part) * SKETCH) & 1).astype(np.uint8).reshape(-1, SKETCH), axis=1))
+    return np.concatenate(out)
 
+
+def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, sizes, u in shingle_sets(b.column(1), words):
-                full = np.flatnonzero(sizes)
-                at = (np.cumsum(sizes) - sizes)[full]
-                bits = np.zeros((len(sizes), SKETCH), bool)
-                for k in range(SKETCH if len(full) else 0):
-                    bits[full, k] = mix(np.minimum.reduceat(u * multiply[k] + add[k], at)) & np.uint64(1)
-                sketch = pa.array(np.packbits(bits, axis=1).view(np.int64).ravel())
-                ends = np.arange(len(sizes) + 1, dtype=np.int32) * (SKETCH // 64)
-                off = np.concatenate([[0], np.cumsum(sizes)])
+            for _, sizes, u in shingle_sets(b.column(0), words):
+                sizes = sizes[sizes > 0]
+                if not len(sizes):
+                    continue
+                ends = np.cumsum(sizes)
+                sets = [u[i:j].tobytes() for i, j in zip((ends - sizes).tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, len(sizes)), pa.array([u[i:j].tobytes() for i, j in zip(off[:-1].tolist(), off[1:].tolist())], pa.binary()), pa.ListArray.from_arrays(ends, sketch)],
-                    names=["node", "set", "sketch"],
+                    [pa.array(_nodes(u, ends - sizes, sizes).view(np.int64)), pa.array(sizes), pa.array([x.tobytes() for x in sketches(u, sizes)], pa.binary()), pa.array(sets, pa.binary())],
+                    names=["node", "size", "sketch", "set"],
                 )
 
     return run
 
 
-def _furthest(num: int, den: int, bits: int) -> int:
-    """Bits of two sketches that differ five standard deviations above what ``num / den`` gives."""
-    p = (1 - num / den) / 2
-    return int(bits * p + 5 * (bits * p * (1 - p)) ** 0.5) + 1
-
-
 def _confirm(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if den * min(len(x), len(y)) >= num * max(len(x), len(y)):
-                    both = np.sort(np.concatenate([x, y]), kind="stable")
-                    same = int((both[1:] == both[:-1]).sum())
-                    keep[i] = den * same >= num * (len(x) + len(y) - same)
-            yield b.select([0, 1]).filter(pa.array(keep))
-
-    return run
-
-
-def _confirm_block(num: int, den: int):
-    """Cogroup function: pairs (x, y) of two blocks of nodes, and the sets of those nodes, each once."""
+    """Cogroup function: the pairs (x, y) that are links, given the sets of their nodes, each once."""
 
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         own = {n: np.frombuffer(s.as_buffer(), np.uint64) for n, s in zip(sets.column("node").to_pylist(), sets.column("set"))}
@@ -161,116 +152,156 @@ def _confirm_block(num: int, den: int):
     return run
 
 
-def _confirm_many(pairs: DataFrame, sets: DataFrame, num: int, den: int, kind: str) -> DataFrame:
-    """Many pairs of few nodes: nodes fall into blocks of about ``BLOCK``, and a set goes once to each block it has a pair with."""
-    n = pairs.select(F.explode(F.array("x", "y")).alias("n")).distinct().count()
-    blocks = max(1, n // BLOCK)
-    of = lambda c, s: F.pmod(F.xxhash64(c, F.lit(s)), F.lit(blocks))
-    p = pairs.select("x", "y", of("x", 1).alias("i"), of("y", 1).alias("j"))
+def _confirmed(pairs: DataFrame, sets: DataFrame, i: Column, j: Column, num: int, den: int) -> DataFrame:
+    """u, v: the links among ``pairs``, confirmed in cells (i, j); a set goes once to each cell that has a pair of it."""
+    p = pairs.select("x", "y", i.alias("i"), j.alias("j"))
     need = p.select(F.col("i").alias("k"), F.col("j").alias("l"), F.explode(F.array("x", "y")).alias("node")).distinct().join(sets.select("node", "set"), "node")
-    return p.groupBy("i", "j").cogroup(need.groupBy("k", "l")).applyInArrow(_confirm_block(num, den), f"x {kind}, y {kind}")
+    good = p.groupBy("i", "j").cogroup(need.groupBy("k", "l")).applyInArrow(_confirm(num, den), "x long, y long")
+    return stored(good.select(F.col("x").alias("u"), F.col("y").alias("v")))
+
+
+def _near_pairs(num: int, den: int, every: bool):
+    """Cogroup function: pairs of nodes of two blocks that lie in different components and may be links, by size and sketch.
+
+    All such pairs, or of each node that with the least partner.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        side = []
+        for t in (left, right):
+            sketch, *rest = t.columns[-4:]
+            side.append((np.frombuffer(b"".join(sketch.to_pylist()), np.uint64).reshape(-1, SKETCH // 64), *(c.to_numpy() for c in rest)))
+        (bits, size, root, node), (bits2, size2, root2, node2) = side
+        xs, ys = [], []
+        for k in range(0, len(node), 64):
+            s = size[k : k + 64, None]
+            apart = np.bitwise_count(bits[k : k + 64, None] ^ bits2[None]).sum(2, dtype=np.int64)
+            fits = ((den + num) * apart <= (den - num) * (s + size2)) & (den * np.minimum(s, size2) >= num * np.maximum(s, size2)) & (root[k : k + 64, None] != root2)
+            if every:
+                i, j = np.nonzero(fits)
+            else:
+                i = np.flatnonzero(fits.any(1))
+                j = np.where(fits[i], node2, np.iinfo(np.int64).max).argmin(1)
+                up = np.flatnonzero(fits.any(0))
+                first = np.where(fits[:, up], node[k : k + 64, None], np.iinfo(np.int64).max).argmin(0)
+                i, j = np.append(i, first), np.append(j, up)
+            xs.append(node[k + i])
+            ys.append(node2[j])
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+
+    return run
+
+
+def _open_pairs(rows: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+    """x, y: pairs of nodes across components that share a key and may be links; rows: key, node, root, size, sketch.
+
+    Without ``every`` some pair of each node that has one, which is enough to join most components.
+
+    A key's nodes fall into blocks: components of more than ``BLOCK`` nodes have
+    blocks of their own, the others share some.  Each two blocks that hold
+    different components are a group of their own, and no component is compared
+    with itself.
+    """
+    per = rows.groupBy("key", "root").agg(F.count("*").alias("n")).select("*", F.when(F.col("n") > BLOCK, F.col("root")).otherwise(F.lit(0)).alias("own"))
+    shelf = stored(per.groupBy("key", "own").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")))
+    mixed = shelf.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("key")
+    block = stored(shelf.join(mixed, "key", "left_semi").select("key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("no")))
+    other = block.select(F.col("key").alias("key2"), F.col("own").alias("own2"), F.col("no").alias("no2"))
+    first, second = F.struct("own", "no"), F.struct("own2", "no2")
+    tasks = stored(block.join(other, F.col("key") == F.col("key2")).where((first <= second) & ((F.col("own") != F.col("own2")) | (F.col("own") == 0))).drop("key2"))
+    places = stored(per.select("key", "root", "own").join(shelf.select("key", "own", "blocks"), ["key", "own"]))
+    placed = stored(rows.join(places, ["key", "root"]).select("key", "own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("no"), "node", "root", "size", "sketch"))
+    cell, names = ["key", "own", "no", "own2", "no2"], ["sketch", "size", "root", "node"]
+    left = placed.join(tasks, ["key", "own", "no"]).select(*cell, *names)
+    again = placed.select(F.col("key").alias("key2"), F.col("own").alias("to"), F.col("no").alias("at"), *[F.col(c).alias(f"{c}2") for c in names])
+    right = again.join(tasks, (F.col("key2") == F.col("key")) & (F.col("to") == F.col("own2")) & (F.col("at") == F.col("no2"))).select(*[F.col(c).alias(f"r_{c}") for c in cell], *[f"{c}2" for c in names])
+    near = left.groupBy(*cell).cogroup(right.groupBy(*[f"r_{c}" for c in cell])).applyInArrow(_near_pairs(num, den, every), "x long, y long")
+    if every:
+        return near.distinct()
+    least = near.select(F.inline(F.array(F.struct(F.col("x").alias("node"), F.col("y").alias("other")), F.struct(F.col("y").alias("node"), F.col("x").alias("other"))))).groupBy("node").agg(F.min("other").alias("other"))
+    return least.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """u, v: each linked node and the least node it reaches, from links (u, v).
 
-    Alternating large-star and small-star steps; nothing reaches the driver but
-    counts.  Minima are pre-aggregated, so a node with many links is no hot key.
+    Alternating large-star and small-star steps until the links stay the same;
+    nothing reaches the driver but counts.  Minima are pre-aggregated and lie in
+    tables of their own, so Spark can split a node with many links over tasks.
     """
-    e = durable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    parts, state = e.count() // LINKS + 1, None
-    while True:
+    e = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    n = e.count()
+    while n:
         two = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = two.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = two.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(two.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = stored(two.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = durable(small.select("x.u", "x.v").where("u <> v").distinct().coalesce(parts))
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
-        if now == state:
-            return e
-        state = now
+        before, e = (n, e), stored(small.select("x.u", "x.v").where("u <> v").distinct().coalesce(n // LINKS + 1))
+        n = e.count()
+        if n == before[0] and e.join(before[1], ["u", "v"], "left_anti").isEmpty():
+            break
+    return e
 
 
 def cluster(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: links have den * |both| >= num * |either|."""
     d = docs.select("doc_id", "text")
-    sig = durable(d.mapInArrow(_signatures(words), f"{_as(docs, 'doc_id')}, n_shingles long, one long, two long, keys array<long>"))
+    sig = stored(d.mapInArrow(_signatures(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, keys array<long>"))
     full = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
+    classes = stored(full.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys")))
+    stars = _link(d, classes, words, num, den)
+    # an id with several texts joins their classes
+    several = stored(full.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("u")).where("u > v").select("doc_id", "v"))
+    if not several.isEmpty():
+        stars = components(stars.unionAll(full.select("doc_id", "node").join(several, "doc_id").select(F.col("node").alias("u"), "v").distinct()))
+    rooted = stored(classes.select("node", "low").join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")))
+    lowest = stored(rooted.groupBy("root").agg(F.min("low").alias("lowest")))
+    whole = stored(rooted.join(lowest, "root").select("node", "lowest"))
+    out = sig.select("doc_id", "n_shingles", "node").join(whole, "node", "left")
+    named = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id")
+    return out.select("doc_id", "n_shingles", named).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _link(d: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Star links (u, v) of the confirmed candidates' components."""
+    none = d.sparkSession.createDataFrame([], "u long, v long")
     each = classes.select("node", F.posexplode("keys").alias("no", "key"))
-    shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # keys, then buckets, that more than one node has; in tables of their own, so that Spark can split a frequent one over tasks
+    shared = stored(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     some = each.join(shared, "key", "left_semi")
     sides = some.groupBy("node").agg(F.collect_set(F.when(F.col("no") < SIDE, F.col("key"))).alias("a"), F.collect_set(F.when(F.col("no") >= SIDE, F.col("key"))).alias("b"))
-    sides = durable(sides)
+    sides = stored(sides.where("size(a) > 0 and size(b) > 0"))
     tables = sides.select("node", F.explode("a").alias("x"), "b").select("node", "x", F.explode("b").alias("y")).select("node", F.xxhash64("x", "y").alias("bucket"))
-    # a bucket's rows are counted before they meet, so that lone ones never do
-    many = tables.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    buckets = durable(tables.join(many, "bucket", "left_semi"))
-    stars = _link(d, sides, buckets, words, num, den)
-
-    own = full.select("doc_id", "one", "two", "n_shingles").join(classes.select("one", "two", "n_shingles", "node"), ["one", "two", "n_shingles"]).select("doc_id", "node").distinct()
-    own = durable(own)
-    n = own.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    roots = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    if n[0] == n[1]:
-        whole = own.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    else:  # an id with several texts joins their classes
-        links = own.where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).unionAll(stars)
-        whole = components(links).select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
-    out = sig.select("doc_id", "n_shingles").join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
-    return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-
-def _as(docs: DataFrame, name: str) -> str:
-    return f"{name} {docs.schema[name].dataType.simpleString()}"
-
-
-def _link(d: DataFrame, sides: DataFrame, buckets: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Star links (u, v) of the confirmed candidates' components."""
-    spark = d.sparkSession
-    kind = dict(buckets.dtypes)["node"]
-    none = spark.createDataFrame([], f"u {kind}, v {kind}")
+    ends = stored(tables.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"))
+    buckets = stored(tables.join(ends, "bucket"))
     if buckets.isEmpty():
         return none
-    wanted = buckets.select("node").distinct()
-    sets = d.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").mapInArrow(_sets(words), f"node {kind}, set binary, sketch array<long>")
-    sets = durable(sets.where("length(set) > 0"))
-    stars, tested = none, None
-    for turn in range(STAR_ROUNDS + 1):
-        label = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        b = buckets.join(label, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        ends = b.groupBy("bucket").agg(F.min(F.struct("root", "node")).alias("lo"), F.max(F.struct("root", "node")).alias("hi")).where("lo.root < hi.root")
-        if turn < STAR_ROUNDS:
-            p = b.join(ends, "bucket").select("node", F.when(F.col("root") == F.col("lo.root"), F.col("hi.node")).otherwise(F.col("lo.node")).alias("other"))
-            p = p.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y"), "node").distinct()
-            if tested is not None:
-                p = p.join(tested, ["x", "y"], "left_anti")
-            pairs = p.groupBy("node").agg(F.min(F.struct("x", "y")).alias("p")).select("p.x", "p.y").distinct()
-        else:
-            # what is still apart: every pair across components that meets in a table, at its first shared key alone
-            open_ = b.join(ends.select("bucket"), "bucket", "left_semi").select("node", "root").distinct()
-            c = sides.join(open_, "node").join(sets.select("node", "sketch", F.expr("length(set) div 8").alias("size")), "node")
-            c = durable(c.select("node", "root", "a", "b", "sketch", "size", F.explode("a").alias("key")))
-            o = c.select(*[F.col(x).alias(f"other_{x}") for x in ("key", "node", "root", "a", "b", "sketch", "size")])
-            fits = f"{den} * least(size, other_size) >= {num} * greatest(size, other_size)"
-            # a first half in generated code, of a size that the JVM still compiles; the rest of the few pairs that pass it
-            half = SKETCH // 128
-            apart = " + ".join(f"bit_count(sketch[{k}] ^ other_sketch[{k}])" for k in range(half))
-            rest = f"aggregate(sequence({half}, {SKETCH // 64 - 1}), {apart}, (s, k) -> s + bit_count(sketch[k] ^ other_sketch[k]))"
-            close = F.expr(f"{apart} <= {_furthest(num, den, SKETCH // 2)}")
-            met = (F.col("root") < F.col("other_root")) & F.expr(fits) & close & F.arrays_overlap("b", "other_b") & (F.col("key") == F.array_min(F.array_intersect("a", "other_a")))
-            p = c.join(o, (F.col("key") == F.col("other_key")) & met & F.expr(f"{rest} <= {_furthest(num, den, SKETCH)}")).select(F.least("node", "other_node").alias("x"), F.greatest("node", "other_node").alias("y"))
-            pairs = p.join(tested, ["x", "y"], "left_anti")
-        pairs = durable(pairs)
-        if pairs.isEmpty():
+    wanted = stored(classes.select("node", F.col("low").alias("doc_id")).join(buckets.select("node").distinct(), "node", "left_semi"))
+    sets = d.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(_sets(words), "node long, size long, sketch binary, set binary")
+    sets = stored(sets)
+    if sets.count() > wanted.count():  # repeated rows, or other texts with the same ids
+        sets = stored(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    pairs = buckets.select("node", F.when(F.col("node") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other")).groupBy("node").agg(F.min("other").alias("other"))
+    pairs = stored(pairs.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct())
+    cells = F.lit(max(1, pairs.count() // TOGETHER))
+    good = _confirmed(pairs, sets, F.lit(0).cast("long"), F.pmod(F.xxhash64("y"), cells), num, den)
+    stars = none if good.isEmpty() else components(good)
+    # what is still apart: twice some pair of each node, which leaves few components apart, then all pairs
+    for every in (False, False, True):
+        b = stored(buckets.select("bucket", "node").join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")))
+        split = stored(b.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket"))
+        if split.isEmpty():
             break
-        if turn == STAR_ROUNDS:
-            good = durable(_confirm_many(pairs, sets, num, den, kind).select(F.col("x").alias("u"), F.col("y").alias("v")))
-            return stars if good.isEmpty() else components(stars.unionAll(good))
-        both = pairs.join(sets.select(F.col("node").alias("y"), F.col("set").alias("sy")), "y").join(sets.select(F.col("node").alias("x"), F.col("set").alias("sx")), "x")
-        good = durable(both.select("x", "y", "sx", "sy").mapInArrow(_confirm(num, den), f"x {kind}, y {kind}").select(F.col("x").alias("u"), F.col("y").alias("v")))
-        tested = pairs if tested is None else durable(tested.unionAll(pairs))
+        opened = stored(b.join(split, "bucket", "left_semi").select("node", "root").distinct())
+        rows = sides.select("node", F.explode("a").alias("key")).join(opened, "node").join(sets.select("node", "size", "sketch"), "node")
+        more = stored(_open_pairs(stored(rows), num, den, every).join(pairs, ["x", "y"], "left_anti"))
+        if more.isEmpty():
+            continue
+        blocks = F.lit(max(1, more.select(F.explode(F.array("x", "y")).alias("n")).distinct().count() // BLOCK))
+        good = _confirmed(more, sets, F.pmod(F.xxhash64("x", F.lit(1)), blocks), F.pmod(F.xxhash64("y", F.lit(2)), blocks), num, den)
+        pairs = pairs.unionAll(more)
         if not good.isEmpty():
             stars = components(stars.unionAll(good))
     return stars
