@@ -40,7 +40,7 @@ ROWS = 3
 #: fell on it, so two sketches differ in at most as many bits as the sets differ in shingles.
 SKETCH = 2048
 #: Nodes of a block when nodes are compared all with all across components.
-BLOCK = 1024
+BLOCK = 512
 #: Pairs that are confirmed together after the first comparison.
 TOGETHER = 64
 #: Links to a partition while components are found.
@@ -173,6 +173,8 @@ def _near_pairs(num: int, den: int, every: bool):
             side.append((np.frombuffer(b"".join(sketch.to_pylist()), np.uint64).reshape(-1, SKETCH // 64), *(c.to_numpy() for c in rest)))
         (bits, size, root, node), (bits2, size2, root2, node2) = side
         xs, ys = [], []
+        most = np.iinfo(np.int64).max
+        partner = np.full(len(node2), most)
         for k in range(0, len(node), 64):
             s = size[k : k + 64, None]
             apart = np.bitwise_count(bits[k : k + 64, None] ^ bits2[None]).sum(2, dtype=np.int64)
@@ -181,12 +183,13 @@ def _near_pairs(num: int, den: int, every: bool):
                 i, j = np.nonzero(fits)
             else:
                 i = np.flatnonzero(fits.any(1))
-                j = np.where(fits[i], node2, np.iinfo(np.int64).max).argmin(1)
-                up = np.flatnonzero(fits.any(0))
-                first = np.where(fits[:, up], node[k : k + 64, None], np.iinfo(np.int64).max).argmin(0)
-                i, j = np.append(i, first), np.append(j, up)
+                j = np.where(fits[i], node2, most).argmin(1)
+                partner = np.minimum(partner, np.where(fits, node[k : k + 64, None], most).min(0))
             xs.append(node[k + i])
             ys.append(node2[j])
+        had = partner < most
+        xs.append(node2[had])
+        ys.append(partner[had])
         x, y = np.concatenate(xs), np.concatenate(ys)
         return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
 
