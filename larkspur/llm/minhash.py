@@ -163,24 +163,37 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, i: Column, j: Column, num: int
 def _near_pairs(num: int, den: int, every: bool):
     """Cogroup function: pairs of nodes of two blocks that lie in different components and may be links, by size and sketch.
 
-    All such pairs, or of each node that with the least partner.
+    All such pairs, each at the least key that both nodes have, or of each node that with the least partner.
     """
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def lists(keys: pa.ChunkedArray, gap: int) -> np.ndarray:
+        """A node's keys in a row of ``SIDE``, the rest of which has ``gap``."""
+        keys = keys.combine_chunks()
+        n = np.diff(keys.offsets.to_numpy())
+        out = np.full((len(n), SIDE), gap)
+        out[np.arange(SIDE) < n[:, None]] = keys.flatten().to_numpy()
+        return out
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         side = []
         for t in (left, right):
-            sketch, *rest = t.columns[-4:]
+            sketch, *rest = t.columns[-5:-1]
             side.append((np.frombuffer(b"".join(sketch.to_pylist()), np.uint64).reshape(-1, SKETCH // 64), *(c.to_numpy() for c in rest)))
         (bits, size, root, node), (bits2, size2, root2, node2) = side
         xs, ys = [], []
         most = np.iinfo(np.int64).max
         partner = np.full(len(node2), most)
+        keys, keys2 = lists(left.columns[-1], most), lists(right.columns[-1], most - 1)
         for k in range(0, len(node), 64):
             s = size[k : k + 64, None]
             apart = np.bitwise_count(bits[k : k + 64, None] ^ bits2[None]).sum(2, dtype=np.int64)
             fits = ((den + num) * apart <= (den - num) * (s + size2)) & (den * np.minimum(s, size2) >= num * np.maximum(s, size2)) & (root[k : k + 64, None] != root2)
             if every:
                 i, j = np.nonzero(fits)
+                a = keys[k + i]
+                both = (a[:, :, None] == keys2[j][:, None, :]).any(2)
+                here = np.where(both, a, most).min(1, initial=most) == key[0].as_py()
+                i, j = i[here], j[here]
             else:
                 i = np.flatnonzero(fits.any(1))
                 j = np.where(fits[i], node2, most).argmin(1)
@@ -197,7 +210,7 @@ def _near_pairs(num: int, den: int, every: bool):
 
 
 def _open_pairs(rows: DataFrame, num: int, den: int, every: bool) -> DataFrame:
-    """x, y: pairs of nodes across components that share a key and may be links; rows: key, node, root, size, sketch.
+    """x, y: pairs of nodes across components that share a key and may be links; rows: key, node, root, size, sketch, a.
 
     Without ``every`` some pair of each node that has one, which is enough to join most components.
 
@@ -214,8 +227,8 @@ def _open_pairs(rows: DataFrame, num: int, den: int, every: bool) -> DataFrame:
     first, second = F.struct("own", "no"), F.struct("own2", "no2")
     tasks = stored(block.join(other, F.col("key") == F.col("key2")).where((first <= second) & ((F.col("own") != F.col("own2")) | (F.col("own") == 0))).drop("key2"))
     places = stored(per.select("key", "root", "own").join(shelf.select("key", "own", "blocks"), ["key", "own"]))
-    placed = stored(rows.join(places, ["key", "root"]).select("key", "own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("no"), "node", "root", "size", "sketch"))
-    cell, names = ["key", "own", "no", "own2", "no2"], ["sketch", "size", "root", "node"]
+    placed = stored(rows.join(places, ["key", "root"]).select("key", "own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("no"), "node", "root", "size", "sketch", "a"))
+    cell, names = ["key", "own", "no", "own2", "no2"], ["sketch", "size", "root", "node", "a"]
     left = placed.join(tasks, ["key", "own", "no"]).select(*cell, *names)
     again = placed.select(F.col("key").alias("key2"), F.col("own").alias("to"), F.col("no").alias("at"), *[F.col(c).alias(f"{c}2") for c in names])
     right = again.join(tasks, (F.col("key2") == F.col("key")) & (F.col("to") == F.col("own2")) & (F.col("at") == F.col("no2"))).select(*[F.col(c).alias(f"r_{c}") for c in cell], *[f"{c}2" for c in names])
@@ -298,7 +311,7 @@ def _link(d: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> D
         if split.isEmpty():
             break
         opened = stored(b.join(split, "bucket", "left_semi").select("node", "root").distinct())
-        rows = sides.select("node", F.explode("a").alias("key")).join(opened, "node").join(sets.select("node", "size", "sketch"), "node")
+        rows = sides.select("node", "a", F.explode("a").alias("key")).join(opened, "node").join(sets.select("node", "size", "sketch"), "node")
         more = stored(_open_pairs(stored(rows), num, den, every).join(pairs, ["x", "y"], "left_anti"))
         if more.isEmpty():
             continue
