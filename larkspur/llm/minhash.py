@@ -180,14 +180,19 @@ def _near_pairs(num: int, den: int, every: bool):
             sketch, *rest = t.columns[-5:-1]
             side.append((np.frombuffer(b"".join(sketch.to_pylist()), np.uint64).reshape(-1, SKETCH // 64), *(c.to_numpy() for c in rest)))
         (bits, size, root, node), (bits2, size2, root2, node2) = side
+        head, head2 = (np.ascontiguousarray(x[:, : SKETCH // 256]) for x in (bits, bits2))
         xs, ys = [], []
         most = np.iinfo(np.int64).max
         partner = np.full(len(node2), most)
         keys, keys2 = lists(left.columns[-1], most), lists(right.columns[-1], most - 1)
         for k in range(0, len(node), 64):
             s = size[k : k + 64, None]
-            apart = np.bitwise_count(bits[k : k + 64, None] ^ bits2[None]).sum(2, dtype=np.int64)
+            apart = np.bitwise_count(head[k : k + 64, None] ^ head2[None]).sum(2, dtype=np.int64)
             fits = ((den + num) * apart <= (den - num) * (s + size2)) & (den * np.minimum(s, size2) >= num * np.maximum(s, size2)) & (root[k : k + 64, None] != root2)
+            i, j = np.nonzero(fits)  # few are left for the rest of the bits
+            apart = np.bitwise_count(bits[k + i] ^ bits2[j]).sum(1, dtype=np.int64)
+            off = (den + num) * apart > (den - num) * (size[k + i] + size2[j])
+            fits[i[off], j[off]] = False
             if every:
                 i, j = np.nonzero(fits)
                 a = keys[k + i]
@@ -304,8 +309,8 @@ def _link(d: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> D
     cells = F.lit(max(1, pairs.count() // TOGETHER))
     good = _confirmed(pairs, sets, F.lit(0).cast("long"), F.pmod(F.xxhash64("y"), cells), num, den)
     stars = none if good.isEmpty() else components(good)
-    # what is still apart: twice some pair of each node, which leaves few components apart, then all pairs
-    for every in (False, False, True):
+    # what is still apart: first some pair of each node, which leaves few components apart, then all pairs
+    for every in (False, True):
         b = stored(buckets.select("bucket", "node").join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")))
         split = stored(b.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket"))
         if split.isEmpty():
