@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import nlq
 from .functions import scalars as S
 from .operators import profile, reshape, search
 from .plans.plan import Filter, Plan, TimeSpec, compile_plan
+from .sources import ingest
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -72,6 +73,10 @@ _add(
     "filter_month_text", lambda s, d: _rounded(compile_plan(_li(s, d).drop("period_month").withColumn("month", F.date_format("l_shipdate", "MMM")), Plan("aggregate", "l_extendedprice", time=TimeSpec(months=(1, 2))))),
     _sql("sum(l_extendedprice)", "month(l_shipdate) in (1, 2)"),
 )
+_add(
+    "trend_month_text", lambda s, d: _rounded(compile_plan(_li(s, d).withColumn("month", F.date_format("l_shipdate", "MMMM")), Plan("trend", "l_extendedprice", groups=("month",), limit=3))),
+    _sql("sum(l_extendedprice)", groups="monthname(l_shipdate) as month", tail="having month(min(l_shipdate)) <= 3"),
+)
 _add("filter_season", _run(_li, time=TimeSpec(months=S.SEASONS["JJAS"])), _sql("sum(l_extendedprice)", "month(l_shipdate) between 6 and 9"))
 _SEASON = "case when month(l_shipdate) <= 2 then 'JF' when month(l_shipdate) <= 5 then 'MAM' when month(l_shipdate) <= 9 then 'JJAS' else 'OND' end"
 _add(
@@ -83,7 +88,7 @@ _add("filter_year_in", _run(_orders, measure="o_totalprice", time=TimeSpec(years
 _add("filter_year_between", _run(_orders, measure="o_totalprice", time=TimeSpec(year_from=1996, year_to=1998)), _sql("sum(o_totalprice)", "year(o_orderdate) between 1996 and 1998", **_ORD))
 _add("lookup", lambda s, d: compile_plan(_t(s, d, "region"), Plan("lookup", "r_regionkey", groups=("r_name",))).orderBy("r_name"), "select r_name, r_regionkey as metric_value from region")
 _add(
-    "count_nonnull_vs_rows", lambda s, d: _t(s, d, "lineitem").agg(F.count(F.nullif(F.col("l_discount"), F.lit(0.0))).alias("n"), F.count("*").alias("row_count")),
+    "count_nonnull_vs_rows", lambda s, d: compile_plan(_t(s, d, "lineitem").withColumn("discount", F.nullif(F.col("l_discount"), F.lit(0.0))), Plan("aggregate", "discount", "count")).select(F.col("metric_value").alias("n"), "row_count"),
     "select count(nullif(l_discount, 0)) as n, count(*) as row_count from lineitem",
 )
 
@@ -97,11 +102,11 @@ _add(
     ),
 )
 _add("median_exact", lambda s, d: profile.median(_t(s, d, "lineitem"), "l_extendedprice").select(F.round("median", 2).alias("median")), "select round(median(l_extendedprice), 2) as median from lineitem")
-_add("distinct_count", lambda s, d: _t(s, d, "part").agg(F.count_distinct("p_brand").alias("n")), "select count(distinct p_brand) as n from part")
+_add("distinct_count", lambda s, d: profile.cardinality(_t(s, d, "part"), ["p_brand"]).select(F.col("p_brand").alias("n")), "select count(distinct p_brand) as n from part")
 _add("distinct_values", lambda s, d: profile.distinct_values(_t(s, d, "part"), "p_brand"), "select distinct p_brand as value from part where p_brand is not null order by 1 limit 2000")
 _add("top_categories", lambda s, d: profile.top_values(_t(s, d, "orders"), "o_orderpriority"), "select o_orderpriority as value, count(*) as n from orders where o_orderpriority is not null group by 1 order by 2 desc, 1 limit 8")
 _add(
-    "kpi", lambda s, d: _t(s, d, "customer").agg(F.count("c_acctbal").alias("n"), *[F.round(f("c_acctbal"), 2).alias(k) for k, f in (("total", F.sum), ("mean", F.avg), ("lo", F.min), ("hi", F.max))]),
+    "kpi", lambda s, d: profile.measures(_t(s, d, "customer"), ["c_acctbal"]).select("n", *[F.round(c, 2).alias(c) for c in ("total", "mean", "lo", "hi")]),
     "select count(c_acctbal) as n, round(sum(c_acctbal), 2) as total, round(avg(c_acctbal), 2) as mean, round(min(c_acctbal), 2) as lo, round(max(c_acctbal), 2) as hi from customer",
 )
 _SERIES = "select c_mktsegment, round(sum(c_acctbal), 2) as metric_value from customer group by 1 order by sum(c_acctbal) desc, 1 limit 24"
@@ -148,6 +153,34 @@ _add(
 _add("context_columns", lambda s, d: _t(s, d, "region").withColumns({"station": F.lit("PUNE"), "period": F.lit("1991-2020")}), "select *, 'PUNE' as station, '1991-2020' as period from region")
 
 
+def _sheet(df: DataFrame, by: str) -> DataFrame:
+    """The cells of a sheet that holds a table under a bold header."""
+    no = F.row_number().over(Window.orderBy(by))
+    texts = F.array(*[F.col(c).cast("string") for c in df.columns])
+    rows = df.select(no.alias("row"), texts.alias("texts")).select("row", F.posexplode("texts").alias("col", "raw"))
+    heads = df.sparkSession.range(1).select(F.lit(0).alias("row"), F.posexplode(F.array(*[F.lit(c) for c in df.columns])).alias("col", "raw"))
+    every = rows.withColumn("bold", F.lit(False)).unionAll(heads.withColumn("bold", F.lit(True)))
+    kind = F.when(F.col("raw").rlike(S.NUMBER), "NUM").otherwise("TEXT")
+    return every.select(F.lit("sheet.xlsx").alias("path"), F.lit("Sheet").alias("sheet"), "row", "col", "raw", kind.alias("kind"), F.col("bold").alias("styled"), F.lit(False).alias("wide"))
+
+
+def _ingested(cells: DataFrame) -> DataFrame:
+    """The one table of a sheet, found, described and typed."""
+    (recipe,) = ingest.analyse(cells)
+    return ingest.table(cells, recipe, "d", "2026-01-01")
+
+
+_add(
+    "ingest_typed", lambda s, d: _ingested(_sheet(_t(s, d, "supplier"), "s_suppkey")).select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", "s_acctbal", "_source_row"),
+    "select s_suppkey, s_name, s_acctbal, cast(row_number() over (order by s_suppkey) + 1 as bigint) as _source_row from supplier",
+)
+_add(
+    "ingest_melted", lambda s, d: _ingested(_sheet(_wide(s, d), "year")).select("year", "period", "period_month", "value", "_source_row"),
+    f"with w as ({_WIDE}), n as (select *, row_number() over (order by year) + 1 as r from w) "
+    + " union all ".join(f"select cast(year as bigint) as year, '{m}' as period, cast({k} as bigint) as period_month, \"{m}\" as value, cast(r as bigint) as _source_row from n" for k, m in enumerate(_MONTHS, 1)),
+)
+
+
 def _with_total(s: SparkSession, d: str) -> DataFrame:
     r = _t(s, d, "region").select(F.col("r_name").alias("label"), F.col("r_regionkey").cast("long").alias("n"))
     return reshape.without_totals(r.unionAll(r.agg(F.lit("Grand total"), F.sum("n"))), "label")

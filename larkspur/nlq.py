@@ -9,6 +9,7 @@ plan it makes is the only thing that touches the data.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from difflib import SequenceMatcher
 
@@ -24,9 +25,14 @@ SEASON_NAMES = {
     "monsoon": "JJAS", "summer": "MAM", "winter": "JF", "jjas": "JJAS", "ond": "OND", "mam": "MAM",
 }
 AGGREGATE_WORDS = (
-    ("sum", ("total", "sum", "cumulative", "overall")), ("avg", ("average", "mean", "avg", "typical")), ("max", ("maximum", "highest", "max", "peak", "largest")),
-    ("min", ("minimum", "lowest", "min", "smallest")), ("count", ("count", "how many", "number of")),
+    ("sum", ("total", "sum", "combined", "aggregate", "cumulative", "overall")), ("avg", ("average", "mean", "avg", "typical", "normal")),
+    ("max", ("maximum", "highest", "max", "peak", "largest", "wettest", "hottest")), ("min", ("minimum", "lowest", "min", "smallest", "driest", "coolest")),
+    ("count", ("count", "how many", "number of", "frequency")),
 )
+ASCENDING_WORDS = ("bottom", "lowest", "least", "driest", "smallest", "minimum", "coolest")
+# Units and parts of names of measures that are averaged unless a question says otherwise.
+AVERAGED_UNITS = ("degC", "percent", "hPa", "kmph")
+AVERAGED_NAMES = ("temp", "humidity", "pressure", "uptime", "percent", "ratio", "index")
 COMPARISONS = ((">=", ("at least", "no less than", ">=")), ("<=", ("at most", "no more than", "<=")), (">", ("above", "over", "more than", "greater than", "exceeding", ">")), ("<", ("below", "under", "less than", "fewer than", "<")))
 FILLER = set("the a an of in on at by for during per each and what is was were are how many me show list give which with from to all please top bottom".split())
 
@@ -126,9 +132,9 @@ def parse_time(text: str) -> tuple[TimeSpec, str]:
 
 
 class Asker:
-    """Answers questions over named tables: name -> (DataFrame, its columns)."""
+    """Answers questions over named tables: name -> (DataFrame or what opens it, its columns)."""
 
-    def __init__(self, tables: dict[str, tuple[DataFrame, tuple[Column, ...]]], values: dict[str, dict[str, tuple[str, ...]]] | None = None):
+    def __init__(self, tables: dict[str, tuple[DataFrame | Callable[[], DataFrame], tuple[Column, ...]]], values: dict[str, dict[str, tuple[str, ...]]] | None = None):
         self.tables, self.values = tables, values or {}
 
     def resolve(self, question: str, hint: str | None = None) -> tuple[str, Plan]:
@@ -139,6 +145,8 @@ class Asker:
         if m := re.search(r"\b(top|first|highest|bottom|lowest)\s+(\d{1,4})\b", rest):
             limit, descending = int(m[2]), m[1] not in ("bottom", "lowest")
             rest = rest[: m.start()] + " " + rest[m.end() :]
+        elif re.search(rf"\b({'|'.join(ASCENDING_WORDS)})\b", re.sub(r"\bat least\b", " ", rest)):
+            descending = False
         filters, number = [], r"(-?\d+(?:\.\d+)?)"
         for op, names in COMPARISONS:
             for n in names:
@@ -170,10 +178,10 @@ class Asker:
             if best:
                 notes.append(f"Interpreted '{word}' as {best[0][2].label or best[0][2].name}.")
         if not best:
-            raise Unanswerable("no column of the tables is meant by this question")
+            raise Unanswerable("nothing in the tables goes by what is asked for")
         best.sort(key=lambda x: (-x[0], x[1], x[2].name))
-        if not hint and len(best) > 1 and best[1][2].name != best[0][2].name and best[1][0] >= best[0][0] * 0.88:
-            raise AmbiguousQuery("several columns fit", candidates=[{"table": t, "column": c.name} for _, t, c in best[:4]])
+        if not hint and len(best) > 1 and best[1][1:] != best[0][1:] and best[1][0] >= best[0][0] * 0.88:
+            raise AmbiguousQuery("the question fits more than one column; name its table", candidates=[{"table": t, "column": c.name} for _, t, c in best[:4]])
         _, table, measure = best[0]
         columns = self.tables[table][1]
         groups = ()
@@ -184,7 +192,7 @@ class Asker:
                 groups = tuple(hits)
                 break
         if aggregation is None:
-            averaged = measure.unit in ("degC", "percent", "hPa", "kmph") or any(w in measure.name for w in ("temp", "humidity", "pressure", "ratio", "index"))
+            averaged = measure.unit in AVERAGED_UNITS or any(w in measure.name for w in AVERAGED_NAMES)
             aggregation = "avg" if averaged else "sum"
         where = [Filter(measure.name, op, (v,)) for op, v in filters]
         by_name = {c.name: c for c in columns}
@@ -221,7 +229,7 @@ class Asker:
         now = set(asked) | {FORMER_NAMES[w] for w in asked if w in FORMER_NAMES}
         found = {c: named for c, known in self.values.get(table, {}).items() if (named := tuple(v for v in known if (w := set(_words(v))) and w <= now))}
         if found:
-            return found, []
+            return self._one_reading(table, found, asked), []
         for word in asked:
             if len(word) < 4 or word in SILENT or word in accounted:
                 continue
@@ -233,6 +241,24 @@ class Asker:
                 return found, [f"Matched '{word}' to {near[0][2]} by closest spelling."]
         return {}, []
 
+    def _one_reading(self, table: str, found: dict[str, tuple[str, ...]], asked: list[str]) -> dict[str, tuple[str, ...]]:
+        """A value of several columns filters the one that the question names; if it names none or several, the question is open."""
+        named = {c.name for c in self.tables[table][1] if set(_words(" ".join(c.terms))) & set(asked)}
+        places: dict[str, list[str]] = {}
+        for c, values in found.items():
+            for v in values:
+                places.setdefault(v.lower(), []).append(c)
+        for value, columns in places.items():
+            if len(columns) > 1:
+                meant = [c for c in columns if c in named]
+                if len(meant) != 1:
+                    raise AmbiguousQuery(f"'{value}' stands in more than one column; name the column", candidates=[{"table": table, "column": c, "value": value} for c in columns[:4]])
+                for c in columns:
+                    if c != meant[0]:
+                        found[c] = tuple(v for v in found[c] if v.lower() != value)
+        return {c: v for c, v in found.items() if v}
+
     def rows(self, question: str, hint: str | None = None) -> DataFrame:
         table, plan = self.resolve(question, hint)
-        return compile_plan(self.tables[table][0], plan)
+        df = self.tables[table][0]
+        return compile_plan(df() if callable(df) else df, plan)

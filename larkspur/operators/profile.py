@@ -18,26 +18,43 @@ def measures(df: DataFrame, names: list[str]) -> DataFrame:
     return out.select("measure", "s.n", F.col("rows").alias("total_rows"), (F.col("rows") - F.col("s.n")).alias("missing"), "s.total", "s.mean", "s.lo", "s.hi", "traces")
 
 
-def median(df: DataFrame, name: str, buckets: int = 4096) -> DataFrame:
-    """Exact median by narrowing: a histogram finds the bucket that holds the middle, only its rows are sorted.
+#: Rows that are sorted for a median, at most.
+SORTED = 50_000
 
-    The histogram has at most ``buckets`` rows whatever the table's size.
+
+def median(df: DataFrame, name: str, buckets: int = 4096, most: int = SORTED) -> DataFrame:
+    """Exact median by narrowing: histograms find a range of at most ``most`` rows that holds the middle, only these are sorted.
+
+    A histogram has at most ``buckets`` rows whatever the table's size, and each
+    looks at the range that the one before found, so outliers cost a round, not
+    a large sort.  Infinite values are values; NaN and null are none.
     """
     v = df.select(F.col(name).cast("double").alias("v")).where("v is not null and not isnan(v)")
     span = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).first()
-    if not span["n"] or span["hi"] == span["lo"]:
-        return v.agg(F.min("v").alias("median"))
-    place = F.least(F.floor((F.col("v") - span["lo"]) / (span["hi"] - span["lo"]) * buckets), F.lit(buckets - 1))
-    hist = sorted((r["b"], r["count"]) for r in v.groupBy(place.alias("b")).count().collect())
-    first, second = (span["n"] - 1) // 2, span["n"] // 2
-    done, wanted, before = 0, [], None
-    for b, k in hist:
-        if done <= second and done + k > first:
-            before = done if before is None else before
-            wanted.append(b)
-        done += k
-    part = v.where(place.isin(*wanted)).orderBy("v").offset(first - before).limit(second - first + 1)
-    return part.agg(F.avg("v").alias("median"))
+    lo, hi, n, below = span["lo"], span["hi"], span["n"], 0
+    first, second = (n - 1) // 2, n // 2
+    answer = lambda x: v.sparkSession.range(1).select(F.lit(x).cast("double").alias("median"))
+    largest = 1.7976931348623157e308
+    finite = lambda x: min(max(x, -largest), largest) / 2  # noqa: E731  halves: their differences are finite
+    while n > most and lo < hi:
+        here = F.greatest(F.least(F.col("v"), F.lit(largest)), F.lit(-largest)) / 2
+        place = F.least(F.floor((here - finite(lo)) / (finite(hi) - finite(lo)) * buckets), F.lit(buckets - 1))
+        rows = v.where(F.col("v").between(lo, hi)).groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()
+        for k, r in enumerate(rows):
+            if below + r["n"] > first:
+                break
+            below += r["n"]
+        if below + r["n"] <= second:  # the two in the middle are neighbours in two buckets
+            return answer((r["hi"] + rows[k + 1]["lo"]) / 2)
+        lo, hi, n = r["lo"], r["hi"], r["n"]
+    if lo is None or lo == hi:
+        return answer(lo)
+    return v.where(F.col("v").between(lo, hi)).orderBy("v").offset(first - below).limit(second - first + 1).agg(F.avg("v").alias("median"))
+
+
+def cardinality(df: DataFrame, names: list[str]) -> DataFrame:
+    """One row: the number of distinct values of each column."""
+    return df.agg(*[F.count_distinct(c).alias(c) for c in names])
 
 
 def top_values(df: DataFrame, name: str, k: int = 8) -> DataFrame:

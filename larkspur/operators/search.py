@@ -19,7 +19,9 @@ def bm25(entries: DataFrame, key: str, text: str, terms: list[str], k: int = 20)
     collection's numbers; no token is shuffled.
     """
     begins = lambda t: F.filter("toks", lambda x: F.startswith(x, F.lit(t)))
-    e = entries.select(F.col(key).alias("key"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks"))
+    # a generator of one row keeps the tokens from being made again for each term
+    made = F.struct(F.col(key).alias("key"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks"))
+    e = entries.select(F.inline(F.array(made)))
     e = e.select("key", F.size("toks").cast("double").alias("len"), *[F.size(begins(t)).cast("double").alias(f"f{i}") for i, t in enumerate(terms)])
     s = e.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"f{i}") > 0).cast("double").alias(f"n{i}") for i in range(len(terms))])
     parts = []

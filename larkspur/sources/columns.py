@@ -1,7 +1,9 @@
 """What the columns of a found table hold: roles, units, periods and sums of other columns.
 
-Works on the driver on a bounded sample of rows (``SAMPLE``); the whole table is
-then read by what was found here.
+One aggregate over the typed cells of all tables' first ``SAMPLE`` rows tells the
+nature of every column, a second one compares columns that may be sums with the
+columns they may sum up.  Only these figures reach the driver; the whole tables
+are then read by what was found here.
 """
 
 from __future__ import annotations
@@ -10,8 +12,10 @@ import re
 import unicodedata
 from dataclasses import asdict, dataclass, field
 
-from ..functions.scalars import MISSING, MONTHS, SEASONS, TRACE
-from .workbook import NUMERIC
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.scalars import MONTHS, SEASONS, parse_number
 
 SAMPLE = 200
 
@@ -46,8 +50,18 @@ class Column:
 
 
 def slug(name: str, otherwise: str = "col") -> str:
-    plain = unicodedata.normalize("NFKD", str(name)).encode("ascii", "ignore").decode().lower()
-    return re.sub(r"[^a-z0-9]+", "_", plain).strip("_") or otherwise
+    """Letters and digits of a name in lower case, joined by underscores; accents are dropped."""
+    plain = unicodedata.normalize("NFKD", str(name)).encode("ascii", "ignore").decode()
+    return "_".join(re.findall("[a-z0-9]+", plain.lower())) or otherwise
+
+
+def fresh(name: str, taken: set[str]) -> str:
+    """``name``, or with the first number from 2 on that makes it a new one; it is taken from then on."""
+    no, out = 2, name
+    while out in taken:
+        out, no = f"{name}_{no}", no + 1
+    taken.add(out)
+    return out
 
 
 def identifier(name: str) -> str:
@@ -56,9 +70,13 @@ def identifier(name: str) -> str:
 
 
 def unit_of(name: str) -> str | None:
-    if m := re.search(r"[(\[]\s*([a-zA-Z°%/]+)\s*[)\]]", name):
-        return UNIT_SIGNS.get(m[1].lower(), m[1].lower())
-    return next((u for k, u in UNITS.items() if k in name.lower()), None)
+    """What stands in a name's brackets, if it can be a unit, else the unit of what the name speaks of."""
+    for left, right in ("()", "[]"):
+        said = name.partition(left)[2].partition(right)[0].strip().lower()
+        if said and all(c.isalpha() or c in "°%/" for c in said):
+            return UNIT_SIGNS.get(said, said)
+    spoken = [u for what, u in UNITS.items() if what in name.lower()]
+    return spoken[0] if spoken else None
 
 
 def period_of(label: str) -> tuple[int | None, int | None]:
@@ -71,63 +89,73 @@ def period_of(label: str) -> tuple[int | None, int | None]:
     return next((k for k, n in enumerate(MONTHS, 1) if t in (n, n[:3])), None), None
 
 
-def number(cell: str | None) -> tuple[float | None, bool]:
-    """(value, missing) as ``scalars.parse_number`` gives them."""
-    t = (cell or "").strip()
-    if t.lower() in TRACE:
-        return 0.0, False
-    bare = re.sub(r"[(),\s₹$€£¥]", "", t).removesuffix("%")
-    if not t or bare.lower() in ("nan", "inf", "-inf"):
-        return None, True
-    if not NUMERIC.fullmatch(t):
-        return None, False
-    v = float(bare) * (-1 if t.startswith("(") and t.endswith(")") else 1) / (100 if t.endswith("%") else 1)
-    return (None, True) if v in MISSING else (v, False)
-
-
-def describe(header: list[str], first: int, rows: list[list[str | None]], kinds: list[set[str]]) -> list[Column]:
-    """One ``Column`` for each header; ``kinds`` are the cells' kinds in each."""
-    out, taken = [], {}
-    for k, name in enumerate(header):
-        cells = [number(r[k]) for r in rows]
-        missing = sum(m for _, m in cells)
-        present = max(1, len(cells) - missing)
-        values = [v for v, _ in cells if v is not None]
-        seen = {str(r[k]).strip() for r, (_, m) in zip(rows, cells) if not m}
-        month, year = period_of(name)
-        s = slug(name)
-        if month is None and year is None and (s in TIME_NAMES or "DATE" in kinds[k]):
-            role = "time"
-        elif month is not None or year is not None or len(values) / present >= 0.8:
-            unique = len(seen) == present and present > 2 and "id" in s.split("_")
-            role = "identifier" if unique else "measure"
-        else:
-            role = "dimension"
-        yearly = role == "time" and values and len(values) == present and all(v.is_integer() and 1800 <= v <= 2200 for v in values)
-        taken[s] = taken.get(s, 0) + 1
-        s = s if taken[s] == 1 else f"{s}_{taken[s]}"
-        out.append(
-            Column(name, s, role, "double" if role == "measure" else "long" if yearly else "string", first + k, unit_of(name) if role == "measure" else None,
-                   month if role == "measure" else None, year if role == "measure" else None, null_fraction=missing / max(1, len(rows)), sample=sorted(seen)[:20])
-        )
-    _sums(out, rows)
+def natures(cells: DataFrame) -> DataFrame:
+    """table, col, rows, present, dated, numeric, unique, yearly, sample for each column with a cell; cells: table, row, col, raw, kind.
+
+    Blank cells and missing codes are not present; a column is numeric if four
+    fifths of what is present are numbers, traces among them.
+    """
+    c = cells.select("table", "row", "col", "kind", F.trim("raw").alias("said"), parse_number(F.col("raw")).alias("p"))
+    here, value = ~F.col("p.is_missing"), F.col("p.value")
+    year = value.between(1800, 2200) & (value == F.floor(value))
+    per = c.groupBy("table", "col").agg(
+        F.count_if(here).alias("present"), F.count("p.value").alias("numbers"), F.count_if(F.col("kind") == "DATE").alias("dates"),
+        F.count_if(year).alias("years"), F.collect_set(F.when(here, F.col("said"))).alias("seen"),  # of ``SAMPLE`` rows
+    )
+    rows = c.groupBy("table").agg(F.count_distinct("row").alias("rows"))
+    return per.join(rows, "table").select(
+        "table", "col", "rows", "present", (F.col("dates") > 0).alias("dated"), (5 * F.col("numbers") >= 4 * F.greatest("present", F.lit(1))).alias("numeric"),
+        ((F.size("seen") == F.col("present")) & (F.col("present") > 2)).alias("unique"), ((F.col("years") == F.col("present")) & (F.col("present") > 0)).alias("yearly"),
+        F.slice(F.sort_array("seen"), 1, 20).alias("sample"),
+    )
+
+
+#: A column that no cell was seen in.
+_EMPTY = {"rows": 1, "present": 0, "dated": False, "numeric": False, "unique": False, "yearly": False, "sample": []}
+
+
+def described(header: list[str], first: int, seen: dict[int, dict]) -> list[Column]:
+    """One ``Column`` for each header, from the rows of ``natures`` by sheet column."""
+    out, taken = [], set()
+    for at, name in enumerate(header, first):
+        is_, plain, (month, year) = seen.get(at, _EMPTY), slug(name), period_of(name)
+        c = Column(name, fresh(plain, taken), "dimension", "string", at, null_fraction=1 - is_["present"] / is_["rows"], sample=list(is_["sample"]))
+        if month or year:
+            c.role = "measure"
+        elif is_["dated"] or plain in TIME_NAMES:
+            c.role, c.kind = "time", "long" if is_["yearly"] else "string"
+        elif is_["numeric"]:
+            c.role = "measure"
+        if c.role == "measure" and is_["unique"] and "id" in plain.split("_"):
+            c.role = "identifier"
+        if c.role == "measure":
+            c.kind, c.unit, c.month, c.year = "double", unit_of(name), month, year
+        out.append(c)
     return out
 
 
-def _sums(columns: list[Column], rows: list[list[str | None]], within: float = 0.02, least: int = 3, share: float = 0.8) -> None:
-    """Marks columns that are sums of others: a name alone is not enough, the numbers have to agree."""
-    named = lambda c: c.name.strip().upper() in SEASONS or bool(SUM_NAMES & set(slug(c.name).split("_")))
-    parts = [c for c in columns if c.role == "measure" and not named(c)]
-    for c in columns:
-        if c.role != "measure" or c.is_period or not named(c):
-            continue
-        months = SEASONS.get(c.name.strip().upper())
-        of = [p for p in parts if p.month in months] if months else [p for p in parts if p.is_period] or parts
-        if len(of) < 2:
-            continue
-        place = {p.slug: k for k, p in enumerate(columns)}
-        pairs = [(number(r[place[c.slug]])[0], [number(r[place[p.slug]])[0] for p in of]) for r in rows]
-        pairs = [(t, sum(v for v in x if v is not None)) for t, x in pairs if t is not None and any(v is not None for v in x)]
-        agree = sum(abs(t - x) <= within * abs(t) for t, x in pairs)
-        if len(pairs) >= least and agree >= share * len(pairs):
+def claims(columns: list[Column]) -> list[tuple[Column, list[Column]]]:
+    """Measures whose names say that they sum up others, and the ones they may sum up: a season its months, else all periods, else all measures."""
+    measures = [c for c in columns if c.role == "measure"]
+    season = {c.slug: SEASONS.get(c.name.strip().upper()) for c in measures}
+    sums = [c for c in measures if season[c.slug] or SUM_NAMES & set(slug(c.name).split("_"))]
+    rest = [c for c in measures if c not in sums]
+    periods = [c for c in rest if c.is_period] or rest
+    made = [(c, [p for p in rest if p.month in season[c.slug]] if season[c.slug] else periods) for c in sums if not c.is_period]
+    return [(c, of) for c, of in made if len(of) > 1]
+
+
+def confirm_sums(cells: DataFrame, tables: list[list[Column]], within: float = 0.02, least: int = 3, share: float = 0.8) -> None:
+    """Marks the claimed sums that the numbers bear out, row by row, in one aggregate for all tables; a name alone is not enough."""
+    claimed = {(t, c.at): (c, of) for t, columns in enumerate(tables) for c, of in claims(columns)}
+    if not claimed:
+        return
+    links = [(t, at, p.at, False) for (t, at), (_, of) in claimed.items() for p in of] + [(t, at, at, True) for t, at in claimed]
+    links = F.broadcast(cells.sparkSession.createDataFrame(links, "table int, claim int, col int, stated boolean"))  # of headers alone
+    v = cells.select("table", "row", "col", parse_number(F.col("raw"))["value"].alias("v")).where("v is not null").join(links, ["table", "col"])
+    per = v.groupBy("table", "claim", "row").agg(F.sum(F.when(F.col("stated"), F.col("v"))).alias("stated"), F.sum(F.when(~F.col("stated"), F.col("v"))).alias("parts"))
+    near = F.abs(F.col("parts") - F.col("stated")) <= F.abs("stated") * within
+    for r in per.where("stated is not null and parts is not null").groupBy("table", "claim").agg(F.count("*").alias("n"), F.count_if(near).alias("agreed")).collect():
+        if r["n"] >= least and r["agreed"] >= share * r["n"]:
+            c, of = claimed[r["table"], r["claim"]]
             c.derived, c.derived_of = True, [p.slug for p in of]

@@ -18,7 +18,7 @@ from ..errors import IngestFailed
 from ..functions.scalars import parse_number, row_hash
 from ..operators import layout
 from ..operators.reshape import TOTALS
-from .columns import SAMPLE, Column, describe, slug
+from .columns import SAMPLE, Column, confirm_sums, described, natures, slug
 from .workbook import PROBE_ROWS
 
 
@@ -70,17 +70,19 @@ def analyse(cells: DataFrame) -> list[Recipe]:
     found = sorted(layout.blocks(cells).where("kind in ('table', 'crosstab')").collect(), key=lambda b: (b["sheet"], b["block"]))
     if not found:
         raise IngestFailed("no table was found in this file")
+    # the first rows of every table, in one pass: no two tables of a sheet share a cell
+    of = F.lit(None).cast("int")
+    for k, b in enumerate(found):
+        here = (F.col("sheet") == b["sheet"]) & F.col("col").between(b["c0"], b["c1"]) & F.col("row").between(b["body"], min(b["r1"], b["body"] + SAMPLE - 1))
+        of = F.when(here if b["totals"] is None else here & (F.col("row") != b["totals"]), F.lit(k)).otherwise(of)
+    part = cells.where(F.col("raw").isNotNull()).select(of.alias("table"), "row", "col", "raw", "kind").where("table is not null")
+    seen: dict[int, dict[int, dict]] = {}
+    for x in natures(part).collect():
+        seen.setdefault(x["table"], {})[x["col"]] = x.asDict()
+    tables = [described(b["header"], b["c0"], seen.get(k, {})) for k, b in enumerate(found)]
+    confirm_sums(part, tables)
     out = []
-    for b in found:
-        part = _body(cells, b["sheet"], b["c0"], b["c1"], b["body"]).where(F.col("row") < min(b["r1"] + 1, b["body"] + SAMPLE))
-        if b["totals"] is not None:
-            part = part.where(F.col("row") != b["totals"])
-        rows: dict[int, list] = {}
-        kinds = [set() for _ in range(b["c1"] - b["c0"] + 1)]
-        for x in part.select("row", "col", "raw", "kind").collect():
-            rows.setdefault(x["row"], [None] * len(kinds))[x["col"] - b["c0"]] = x["raw"]
-            kinds[x["col"] - b["c0"]].add(x["kind"])
-        columns = describe(b["header"], b["c0"], [rows[r] for r in sorted(rows)], kinds)
+    for b, columns in zip(found, tables):
         taken = {c.slug for c in columns} | {"period", "period_month", "period_year", "value", "is_trace"}
         context = []
         for key, value in sorted((b["context"] or {}).items()):
@@ -135,10 +137,12 @@ def table(cells: DataFrame, r: Recipe, dataset: str, as_of: str) -> DataFrame:
     trace = lambda c: parse_number(F.col(f"c{c.at}"))["is_trace"]
     if r.periods:
         long = F.array(*[
-            F.struct(F.lit(c.name).alias("period"), F.lit(c.month).cast("long").alias("period_month"), F.lit(c.year).cast("long").alias("period_year"), _typed(c).alias("value"), trace(c).alias("is_trace"))
+            F.struct(F.lit(c.name).alias("period"), F.lit(c.month).cast("long").alias("period_month"), F.lit(c.year).cast("long").alias("period_year"), F.col(f"c{c.at}").alias("said"))
             for c in r.periods
         ])
-        d = d.select(*keys, F.col("row"), F.inline(long))
+        # made long first, so that a cell's text is read by one expression, not by one for each period
+        d = d.select(*keys, F.col("row"), F.inline(long)).withColumn("said", parse_number(F.col("said")))
+        d = d.withColumns({"value": F.col("said.value"), "is_trace": F.col("said.is_trace")}).drop("said")
         names += ["period", "period_month", "period_year", "value"]
     else:
         marks = [trace(c) for c in r.kept if c.role == "measure"]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import copy
 import datetime as dt
+import functools
 import json
 import posixpath
 import time
@@ -39,7 +40,7 @@ COLUMN = (
 CHECKSUM = "table_id string, dataset_id string, column_slug string, stated_total double, parsed_total double, agrees boolean"
 SCHEMAS = {"dataset": DATASET, "table": TABLE, "column": COLUMN, "checksum": CHECKSUM}
 #: A column with more values than the first gets none listed; others at most the second.
-KNOWN_GATE, KNOWN = 5000, 2000
+KNOWN_GATE = KNOWN = 5000
 UPLOAD_MB = 256
 #: Answers and plans kept, the latest used.
 ANSWERS, PLANS = 256, 512
@@ -114,9 +115,21 @@ class Warehouse:
         for d in same:
             if d["content_hash"] == digest and d["as_of_date"] == as_of and d["status"] == "active":
                 return {"dataset_id": d["dataset_id"], "already_ingested": True, "total_rows": 0, "tables": []}
-        cells = workbook.cells(self.spark, path)
-        recipes = ing.analyse(cells)
         dataset = uuid.uuid4().hex
+        parsed = f"{self.root}/cells/{dataset}"
+        try:
+            # a file is parsed once; everything else reads this copy
+            workbook.cells(self.spark, path).write.parquet(parsed)
+            return self._ingest(self.spark.read.parquet(parsed), dataset, name, digest, as_of, same)
+        finally:
+            self._remove(parsed)
+
+    def _remove(self, folder: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def _ingest(self, cells: DataFrame, dataset: str, name: str, digest: str, as_of: str, same: list[dict]) -> dict:
+        recipes = ing.analyse(cells)
         tables, columns, checks = [], [], []
         for r in recipes:
             table_id = f"{dataset[:8]}_{len(tables)}"
@@ -159,8 +172,7 @@ class Warehouse:
         gone, now = self.datasets(), time.time_ns()
         self._add("dataset", [d | {"status": "cleared", "at": now} for d in gone])
         for d in gone:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/data/{d['dataset_id']}")
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            self._remove(f"{self.root}/data/{d['dataset_id']}")
         return len(gone)
 
     def health(self) -> dict:
@@ -178,7 +190,7 @@ class Warehouse:
                 role = "dimension" if c["role"] == "identifier" else c["role"]
                 units = {"mm", "c", "degc", "percent", "hpa"}
                 cols.append(nlq.Column(c["slug"], role, tuple(w for w in words if w not in units) or (c["slug"],), c["unit"] or "", nlq.synonyms(c["slug"]), c["name"]))
-            named[t["table_id"]] = (self._frame(t), tuple(cols))
+            named[t["table_id"]] = (functools.partial(self._frame, t), tuple(cols))
             values[t["table_id"]] = {c["slug"]: tuple(c["known"]) for c in t["columns"] if c["known"]}
         return nlq.Asker(named, values)
 
@@ -241,7 +253,7 @@ class Warehouse:
         stats = [r.asDict() for r in profile.measures(df, [c["slug"] for c in measures]).collect()] if measures else []
         for s in stats:
             s["median"] = profile.median(df, s["measure"]).first()[0]
-        counts = df.agg(*[F.count_distinct(c["slug"]).alias(c["slug"]) for c in dims]).first().asDict() if dims else {}
+        counts = profile.cardinality(df, [c["slug"] for c in dims]).first().asDict() if dims else {}
         tops = {c["slug"]: [r.asDict() for r in profile.top_values(df, c["slug"]).collect()] for c in dims}
         checks = [r.asDict() for r in self._entries("checksum").where(F.col("table_id") == table_id).collect()]
         return {"table_id": table_id, "measures": stats, "distinct": counts, "top": tops, "checksums": checks, "narrative": story(t, stats, counts, checks), "suggested": boards.suggest(t["columns"])}

@@ -97,3 +97,15 @@ def test_names_meant_but_not_spelt(spark):
     assert plan("rainfall at Delhi").filters == () and plan("rainfall at Delhi").notes == ("Interpreted 'rainfall delhi' as Rainfall (mm).",)
     with pytest.raises(Unanswerable):
         plan("wind speed")
+
+
+def test_median_of_odd_columns(spark):
+    from larkspur.operators import profile
+
+    inf = float("inf")
+    cases = [[], [None, float("nan")], [3.0], [1.0, 2.0], [5.0] * 99, [0.0] * 50 + [1.0] * 50, [1e300, -1e300, *range(200)], [inf, -inf, 1.0, 2.0, *[3.0] * 7], [*range(1000), 1e18], [inf] * 60 + [1.0] * 59]
+    for values in cases:
+        real = sorted(v for v in values if v is not None and v == v)
+        want = (real[(len(real) - 1) // 2] + real[len(real) // 2]) / 2 if real else None
+        df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
+        assert profile.median(df, "v", buckets=8, most=10).first()[0] == want
