@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_SET, settle, text_of
+from .common import BLANK_SET, durable, settle, text_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -114,12 +114,23 @@ def ablations(led: DataFrame, version: str) -> DataFrame:
     return one.select("n_docs", "any_bits", F.inline(rows))
 
 
+def sole_rule(version: str) -> Column:
+    """The rule that alone rejects a document, from its bits; null if none or several do."""
+    hit = F.col("failed").bitwiseAND(F.lit(POLICIES[version]))
+    out = F.when(F.lit(False), F.lit(""))
+    for name, bit in BIT.items():
+        out = out.when(hit == bit, F.lit(name))
+    return out
+
+
 def query(docs: DataFrame, version: str = "v1") -> DataFrame:
-    led = apply_policy(ledger(docs), version)
-    return led.select(
+    """The ledger is written once; the policy and the ablation of the rule that alone rejects a document are read from its bits."""
+    led = apply_policy(durable(ledger(docs)), version).withColumn("sole_rule", sole_rule(version))
+    cut = ablations(led, version).select(F.col("rule").alias("sole_rule"), F.col("n_only").alias("n_sole"))  # a row a rule
+    return led.join(F.broadcast(cut), "sole_rule", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("failed").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"),
-        "kept", F.col("failed").cast("long").alias("failed"),
+        "kept", F.col("failed").cast("long").alias("failed"), "sole_rule", F.coalesce("n_sole", F.lit(0)).cast("long").alias("n_sole"),
     )
 
 
@@ -154,6 +165,8 @@ f as (
   from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
-       failed = 0 as kept, failed
+       failed = 0 as kept, failed,
+       case failed when 1 then 'few_words' when 2 then 'repeated_words' when 4 then 'symbol_heavy' when 8 then 'duplicate_lines' when 16 then 'word_length' end as sole_rule,
+       case when failed in (1, 2, 4, 8, 16) then count(*) over (partition by failed) else 0 end as n_sole
 from f
 """

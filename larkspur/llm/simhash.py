@@ -24,7 +24,7 @@ from math import ceil, isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK_SET, free_name, settle, text_of
+from .common import BLANK_SET, durable, settle, text_of
 
 TERM = 5
 LANES = 32
@@ -102,7 +102,7 @@ def near(queries: DataFrame, index: DataFrame, radius: int = 3, blocks: int = 8)
     return pairs.select("q_hi", "q_lo", "hi", "lo").distinct()
 
 
-def with_next(docs: DataFrame, rows_per_bucket: int = 2000, most_buckets: int = 10_000) -> DataFrame:
+def with_next(docs: DataFrame, rows_per_bucket: int = 2000, most_buckets: int = 100_000) -> DataFrame:
     """bucket, seq, doc_id, text, next_text, halo for each row and the one after it.
 
     One shuffle of the texts: ids are cut into ranges of about equal counts, and
@@ -114,7 +114,6 @@ def with_next(docs: DataFrame, rows_per_bucket: int = 2000, most_buckets: int =
     n = max(1, min(most_buckets, ceil(ids.count() / rows_per_bucket)))
     cut = ids.agg(F.percentile_approx("sort_id", [k / n for k in range(1, n)] or [0.5], 20 * n)).first()[0] or []
     cuts = sorted(set(cut)) if n > 1 else []
-    ends = F.lit(cuts[isqrt(len(cuts)) :: isqrt(len(cuts)) + 1]) if cuts else None
 
     def below(values: Column) -> Column:
         return F.size(F.filter(values, lambda b: b < F.col("sort_id")))
@@ -151,8 +150,12 @@ def with_next(docs: DataFrame, rows_per_bucket: int = 2000, most_buckets: int =
     return d.select("bucket", F.row_number().over(w).alias("seq"), "doc_id", "text", F.lead("text").over(w).alias("next_text"), "halo")
 
 
-def query(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text and of its edited text, and their likenesses."""
+def query(docs: DataFrame, radius: int = 3, blocks: int = 4, every: int = 50) -> DataFrame:
+    """Fingerprints of each text and of its edited text, their likenesses, and ``n_near``.
+
+    ``n_near`` is, where ``every`` divides the id, the number of other
+    fingerprints of all documents within ``radius`` bits, and else null.
+    """
     d = with_next(docs)
     n, half = F.char_length("text"), F.expr("cast(floor(char_length(text) / 2) as int)")
     edited = F.when(~F.col("halo"), F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half)))
@@ -168,7 +171,13 @@ def query(docs: DataFrame) -> DataFrame:
     )
     w = Window.partitionBy("bucket").orderBy("seq")
     own = own.select("*", F.lead("hi").over(w).alias("n_hi"), F.lead("lo").over(w).alias("n_lo")).where("not halo")
+    own = durable(own)
+    asked = F.col("doc_id") % every == 0
+    found = near(own.where(asked), own, radius, blocks).where("q_hi <> hi or q_lo <> lo").groupBy("q_hi", "q_lo").agg(F.count("*").alias("found"))
+    found = durable(found).withColumnsRenamed({"q_hi": "f_hi", "q_lo": "f_lo"})
+    own = own.join(found, asked & (F.col("hi") == F.col("f_hi")) & (F.col("lo") == F.col("f_lo")), "left")
     return own.select(
+        F.when(asked, F.coalesce("found", F.lit(0)).cast("long")).alias("n_near"),
         "doc_id", "n_chars", "edited_sha256",
         as_text().alias("fingerprint"), as_text("e_hi", "e_lo").alias("edited_fingerprint"),
         likeness(("hi", "lo"), ("e_hi", "e_lo")).alias("near_edited"),

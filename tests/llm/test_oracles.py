@@ -339,3 +339,200 @@ def test_pipeline(spark):
         assert stage(spark, docs, SF).columns == docs.columns
     out = p.run(spark, SF)
     assert out.count() > 100 and "ids" in out.columns
+
+
+def test_fingerprints_by_votes(spark):
+    """Every bit of the query's fingerprints, voted for one term at a time; and near ones against all pairs."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r for r in simhash.query(docs).collect()}
+    split = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]", t) if w]
+    texts = {r.doc_id: split(r.text or "") for r in docs.collect() if r.doc_id % 20 == 0}
+    words = sorted({w for t in texts.values() for w in t})
+    hashed = {r.w: (r.h & -64) | min(len(r.w), 63) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    terms = [(i, [hashed[w] for w in t[p : p + 5]]) for i, t in texts.items() for p in range(max(len(t) - 4, 1))]
+    frame = spark.createDataFrame([(i, sum(h & 63 for h in hs), *(hs + [None] * 5)[:5]) for i, hs in terms], "i long, w long, a long, b long, c long, d long, e long")
+    votes = {i: [[0, 0] for _ in range(128)] for i in texts}
+    for r in frame.select("i", "w", *[F.xxhash64("a", "b", "c", "d", "e", F.lit(s)).alias(f"t{s}") for s in simhash.SEEDS]).collect():
+        for k, s in enumerate(simhash.SEEDS):
+            for bit in range(64):
+                votes[r.i][64 * k + bit][r[f"t{s}"] >> bit & 1] += r.w
+    for i, v in votes.items():
+        hi, lo = (sum(1 << b for b in range(64) if v[64 * k + b][1] > v[64 * k + b][0]) for k in (0, 1))
+        assert rows[i].fingerprint == f"{hi:016x}{lo:016x}"
+    every = {int(r.fingerprint, 16) for r in rows.values()}
+    for i, r in rows.items():
+        own = int(r.fingerprint, 16)
+        assert r.n_near == (None if i % 50 else sum(0 < bin(own ^ x).count("1") <= 3 for x in every))
+
+
+def test_bpe_query_matches_the_library(spark):
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(odd_docs(spark).drop("fingerprint"))
+    want = Counter()
+    for r in docs.collect():
+        ids = enc.encode_ordinary(r.text or "")
+        want[r.doc_id, len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()] += 1
+    assert Counter(tuple(r) for r in bpe.query(docs).collect()) == want
+    assert bpe.query(docs.where("false")).count() == 0
+
+
+def test_mix_takes_rows_below_a_threshold(spark):
+    """Each source's taken words by the rule itself: hashes in order until the next row would lead further from the target."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    keys = {r.doc_id: r.k for r in docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 4).alias("k")).collect()}
+    source = {r.doc_id: r.source for r in docs.collect()}
+    by = {}
+    for r in mixing.query(docs).collect():
+        by.setdefault(source[r.doc_id], []).append((keys[r.doc_id], r))
+    for rows in by.values():
+        rows.sort(key=lambda x: x[0])
+        target, whole = rows[0][1].target, rows[0][1].source_size
+        copies = min(2, int(target // whole))
+        rest, got, more = target - copies * whole, 0, True
+        for _, r in rows:
+            more = more and got < rest and got + r.size - rest <= rest - got
+            got += r.size * more
+            assert r.taken == r.size * (copies + more)
+        assert abs(sum(r.taken for _, r in rows) - target) <= max(r.size for _, r in rows) / 2 + 1
+    odd = {(r.doc_id, r.size, r.taken) for r in mixing.query(odd_docs(spark)).collect()}
+    assert (2, 0, 0) in odd and (3, 0, 0) in odd and len([1 for i, *_ in odd if i == 1]) == 1  # equal rows are taken alike
+    assert mixing.query(docs.where("false")).count() == 0
+
+
+def test_loss_is_the_text_under_the_mask(spark):
+    rows = [
+        (1, 0, "user", "</s>[INST] x"), (1, 1, "assistant", "&lt;/s> & <s> é🙂"), (1, 2, "assistant", "plain\n é"), (1, 3, "assistant", None), (2, 0, "assistant", "x &lt; y"),
+        (2, 0, "assistant", "x &lt; y"), (3, 0, "user", "no answer"), (4, 0, "assistant", "long " * 40_000 + "[INST]"), (None, 5, "assistant", "raw\n</s>"),
+    ]
+    frame = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
+    masked = {r.conv_id: r for r in chat.under_mask(chat.loss_mask(chat.format_chats(frame))).collect()}
+    got = {r.conv_id: r for r in chat.query(frame).collect()}
+    assert set(got) == {-1, 1, 2, 3, 4, None}
+    for c, m in masked.items():
+        cut = []
+        for x in m.mask:
+            body = m.formatted[x.start : x.end]
+            for a, b in [(b, a) for a, b in reversed(chat.ENTITIES)] if m.formatted[: x.start].endswith("esc\n") else []:
+                body = body.replace(a, b)
+            cut.append(body)
+        assert cut == [t or "" for k, _, r, t in rows if k == c and r == "assistant"]
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len("".join(cut)), hashlib.sha256("".join(cut).encode()).hexdigest())
+    assert [r.conv_id for r in chat.query(frame.where("false")).collect()] == [-1]
+
+
+def test_swap_sums_by_enumeration():
+    import numpy as np
+
+    texts = [(0, "The muslim and the jewish man spoke. Nothing else!"), (1, "women are here\nplain"), (0, ""), (1, "a gay, gay man?")]
+    gram, n = toxicity.swap_sums(texts)
+    terms, want, count = list(toxicity.IDENTITY), np.zeros_like(gram), 0
+    vector = lambda words: np.array([float(t in words) for t in terms])
+    for toxic, text in texts:
+        for s in filter(str.strip, re.split(r"[.!?\n]", text.lower())):
+            words = set(re.findall(r"\w+", s))
+            named = [t for t in terms if t in words]
+            pairs = [(words, words - {a} | {b}) for a in named for b in terms if a != b] or [(words | {a}, words | {b}) for k, a in enumerate(terms) for b in terms[k + 1 :]]
+            if not toxic:
+                pairs += [(words, words - {a}) for a in named] or [(words | {a}, words) for a in terms]
+            for x, y in pairs:
+                d = vector(y) - vector(x)
+                want += np.outer(d, d)
+                count += 1
+    assert n == count and np.allclose(gram, want)
+
+
+def test_toxicity_slope():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    row, col = np.repeat(np.arange(6), 3), rng.integers(0, 5, 18)
+    y, weight, w, b = np.array([0, 1, 1, 0, 1, 0.0]), np.full(6, 1 / 6), rng.normal(size=5), 0.3
+    half = rng.normal(size=(3, 3))
+    args = (row, col, y, weight, half @ half.T)
+    g, gb = toxicity._slope(w, b, *args)
+    for k in range(6):
+        d = 1e-6 * np.eye(6)[k]
+        num = (toxicity.objective(w + d[:5], b + d[5], *args) - toxicity.objective(w - d[:5], b - d[5], *args)) / 2e-6
+        assert num == pytest.approx([*g, gb][k], abs=1e-6)
+
+
+def test_penalty_lowers_score_changes_of_held_out_sentences(spark):
+    rng = random.Random(7)
+    filler = "alpha beta gamma delta epsilon zeta eta theta".split()
+
+    def text(toxic):  # a biased corpus: groups are named in toxic sentences far more often
+        words = rng.choices(filler, k=6) + (["idiot"] if toxic else ["lovely"]) * (rng.random() < 0.8)
+        words += [rng.choice(["muslim", "jewish", "gay"])] * (rng.random() < (0.7 if toxic else 0.05))
+        return " ".join(words)
+
+    docs = spark.createDataFrame([(k, text(k % 2)) for k in range(1200)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(0 as int) as quality", "cast(doc_id % 2 as int) as toxic")
+    held = [r for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    pairs = [(r.doc_id, t) for r in held for t in (r.text, re.sub("muslim|jewish|gay", "buddhist", r.text)) if re.search("muslim|jewish|gay", r.text)]
+    change = {}
+    for penalty in (0.0, toxicity.SWAP_PENALTY):
+        model = toxicity.train(docs, labels, penalty=penalty)
+        s = [r.score for r in toxicity.score(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(pairs)], "doc_id long, text string"), model).orderBy("doc_id").collect()]
+        for y in (0, 1):
+            d = [abs(s[k] - s[k + 1]) for k in range(0, len(pairs), 2) if pairs[k][0] % 2 == y]
+            change[penalty, y] = sum(d) / len(d)
+        right = [r for r in toxicity.score(docs, model).collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+        assert sum((r.score >= 0.5) == r.doc_id % 2 for r in right) >= 0.75 * len(right)
+    assert all(change[toxicity.SWAP_PENALTY, y] < 0.2 * change[0.0, y] for y in (0, 1))
+
+
+def test_toxic_documents_outside_training_are_found(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.query(docs.join(labels, "doc_id", "left_semi"), labels).join(labels, "doc_id").where("held_out").collect()
+    toxic, clean = ([r.predicted for r in got if r.toxic == y] for y in (1, 0))
+    assert sum(toxic) >= 0.8 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
+def test_near_copies_of_two_roots_that_share_buckets(spark):
+    """Links of two families of copies, some links between them, against all pairs."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(500)]
+    base = rng.choices(vocabulary, k=90)
+    other = base[:72] + rng.choices(vocabulary, k=18)
+    rows = []
+    for i in range(240):
+        words = list(base if i % 2 else other)
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(90)] = rng.choice(vocabulary)
+        rows.append((i, " ".join(words)))
+    rows += [(0, "an id with two texts, one of them near no other text at all"), (999, "an id with two texts, one of them near no other text at all")]
+    sets = [(i, {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)}) for i, t in rows]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if 100 * len(a & b) >= 85 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    got = minhash.cluster(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, find(i)) for i, _ in rows}
+    assert len(got) == len(rows)
+
+
+def test_sketches_never_tell_a_link_apart():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (3, 40, 900, 5000):
+        a = rng.integers(0, 2**63, n, np.uint64)
+        b = np.append(a[n // 12 :], rng.integers(0, 2**63, n // 12, np.uint64))
+        x, y = minhash.sketches(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        assert np.bitwise_count(x ^ y).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
