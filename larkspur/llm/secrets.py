@@ -1,19 +1,23 @@
 """Secret scans: fixed patterns, and two character Markov models for the rest.
 
-Base spans come from three patterns.  Any other long run of key characters is
-scored by two first-order Markov models over its characters, one of random
-strings and one of ordinary identifiers, and reported as ``markov`` if the
-log-likelihood ratio per character reaches ``threshold``.
-
-Both models are trained on labelled samples: ``RANDOM_ROWS`` strings each in
-hex, base64 and base62 made from SHA-256 digests, and the words of at most
-``SAMPLE_DOCS`` documents (those with the smallest hashed ids).  A model is a
-table of 67 x 67 counts whatever the corpus, so it travels as a literal.
+Base spans come from three patterns.  Every other run of at least ``SHORTEST``
+key characters, with base spans cut out of the text first, is scored by two
+first-order Markov models over its characters, one of random strings and one of
+ordinary identifiers.  It is reported as ``markov`` if the log-likelihood ratio
+reaches ``threshold`` for each pair of characters and ``total`` in all, which
+asks more of a short run.
+
+Both models are trained on labelled samples.  Random: ``RANDOM_ROWS`` strings
+each in hex, base64 and base62 made from SHA-256 digests.  Ordinary: the words
+of at most ``SAMPLE_DOCS`` documents (those with the smallest hashed ids), and
+identifiers made of neighbouring words (snake and camel case, paths, versions)
+and of digests (UUIDs).  A model is a table of 68 x 68 counts whatever the
+corpus, so it travels as a literal.
 
 Defined cases: a null text counts as empty and has no span; repeated rows are
 scanned each; other columns are ignored by ``scan`` and kept by ``redact``; on
-an empty table the identifier model is flat.  Offsets are code points, ends
-exclusive.
+an empty table the words' part of the identifier model is missing.  Offsets are
+code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -33,7 +37,10 @@ KINDS = ("assign", "access", "hex", "markov")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+SHORTEST = 16
+CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}"
+#: Log-likelihood ratio, in nats: for each pair of characters, and in all.
+THRESHOLD, TOTAL = 0.5, 12.0
 RANDOM_ROWS = 2000
 SAMPLE_DOCS = 2000
 
@@ -46,15 +53,34 @@ def _pairs(strings: DataFrame, label: str) -> DataFrame:
     return two.groupBy("two").count().select(F.lit(label).alias("label"), "two", "count")
 
 
-def labelled(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Samples of random strings, and of ordinary identifiers from the corpus."""
-    seed = spark.range(0, RANDOM_ROWS, 1, 4).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
+def random_strings(spark: SparkSession, first: int = 0, rows: int = RANDOM_ROWS) -> DataFrame:
+    """Labelled random strings: hex, base64 and base62 of digests."""
+    seed = spark.range(first, first + rows, 1, 4).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
     b64 = F.base64(F.unhex("h"))
-    random = seed.select(F.explode(F.array("h", F.translate(b64, "=", ""), F.regexp_replace(b64, "[^A-Za-z0-9]", ""))).alias("s"))
+    return seed.select(F.explode(F.array("h", F.translate(b64, "=", ""), F.regexp_replace(b64, "[^A-Za-z0-9]", ""))).alias("s"))
+
+
+def identifiers(words: DataFrame) -> DataFrame:
+    """Labelled identifiers, from a frame with an array ``w`` of a text's words: the words, and names made of neighbours."""
+    plain = F.filter(F.transform("w", lambda x: F.regexp_replace(x, "[^A-Za-z]", "")), lambda x: F.char_length(x) > 1)
+    named = words.select("w", plain.alias("p"))
+    three = "transform(sequence(0, (size(p) - 3) div 3), i -> {})"
+    a, b, c = (f"lower(p[3 * i + {k}])" for k in range(3))
+    forms = [
+        f"concat({a}, '_', {b}, '_', {c})", f"concat({a}, initcap({b}), initcap({c}))", f"concat('/', {a}, '/', {b}, '/', {c})",
+        f"concat({a}, '-', {b}, '-v', i % 10, '_', i % 7, '_', i % 100)",
+    ]
+    made = [F.when(F.expr("size(p) >= 3"), F.expr(three.format(x))).otherwise(F.array().cast("array<string>")) for x in forms]
+    return named.select(F.explode(F.concat("w", *made)).alias("s"))
+
+
+def labelled(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Samples of random strings and of ordinary identifiers."""
     ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    words = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select(F.explode(words_of(text_of())).alias("s"))
+    words = settle(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), words_of(text_of()).alias("w"))
     # words that carry a secret would teach the wrong class
-    return random, words.where(~F.col("s").rlike(r"[0-9a-f]{16}|AKIA|[0-9].*[A-Za-z].*[0-9].*[A-Za-z]"))
+    plain = identifiers(words).where(~F.col("s").rlike(r"[0-9a-f]{16}|AKIA|[0-9].*[A-Za-z].*[0-9].*[A-Za-z]"))
+    return random_strings(spark), plain
 
 
 def train(docs: DataFrame) -> list[float]:
@@ -71,12 +97,17 @@ def train(docs: DataFrame) -> list[float]:
     return ratio
 
 
-def _ratio(s: str, table: list[float]) -> str:
-    """Mean log-likelihood ratio per character pair of string expression ``s``."""
+def ratio(s: str, table: list[float]) -> str:
+    """SQL: the log-likelihood ratio of string expression ``s``."""
     n = len(ALPHABET)
     cells = f"transform(split({s}, ''), c -> instr('{ALPHABET}', c) - 1)"
     logs = ", ".join(f"{x:.6g}D" for x in table)
-    return f"aggregate(transform(array({cells}), t -> aggregate(sequence(0, size(t) - 2), 0D, (a, i) -> a + coalesce(get(array({logs}), t[i] * {n} + t[i + 1]), 0D))), 0D, (a, x) -> a + x) / (char_length({s}) - 1)"
+    return f"aggregate(transform(array({cells}), t -> aggregate(sequence(0, size(t) - 2), 0D, (a, i) -> a + coalesce(get(array({logs}), t[i] * {n} + t[i + 1]), 0D))), 0D, (a, x) -> a + x)"
+
+
+def random_looking(s: str, table: list[float], threshold: float = THRESHOLD, total: float = TOTAL) -> str:
+    """SQL: does string expression ``s`` look random?  The models decide, nothing else."""
+    return f"exists(array({ratio(s, table)}), r -> r >= {total} and r >= {threshold} * (char_length({s}) - 1))"
 
 
 def _located(d: DataFrame, kinds: dict[str, str]) -> DataFrame:
@@ -101,7 +132,13 @@ def _located(d: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return settle(d, *rest, *out)
 
 
-def scan(docs: DataFrame, threshold: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _without(text: str, kind: str, kept: str) -> str:
+    """SQL: ``text`` with blanks in place of the matches x of ``kind`` for which ``kept`` holds; its length stays."""
+    pieces = f"zip_with(slice(g_{kind}, 1, size(m_{kind})), m_{kind}, (g, x) -> concat(g, case when {kept} then repeat(' ', char_length(x)) else x end))"
+    return f"case when size(m_{kind}) > 0 then concat(array_join({pieces}, ''), element_at(g_{kind}, -1)) else {text} end"
+
+
+def scan(docs: DataFrame, threshold: float = THRESHOLD, total: float = TOTAL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``spans``: array of struct(start, no, end, kind), by start, then kind as listed."""
     table = train(docs)
     text = F.col("text")
@@ -114,25 +151,34 @@ def scan(docs: DataFrame, threshold: float = 0.5, keep: tuple[str, ...] = ("doc_
         F.when(mark, F.regexp_extract_all(text, F.lit(ASSIGN), 1)).otherwise(none).alias("v"),
         F.when(F.contains(text, F.lit("AKIA")), F.regexp_extract_all(text, F.lit(ACCESS), 0)).otherwise(none).alias("m_access"),
         F.regexp_extract_all(text, F.lit(HEX), 0).alias("m_hex"),
-        F.regexp_extract_all(text, F.lit(CANDIDATE), 0).alias("m_markov"),
     )
-    d = _located(d, {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "markov": CANDIDATE})
+    d = _located(d, {"assign": ASSIGN, "access": ACCESS, "hex": HEX})
     made = {k: f"transform(p_{k}, x -> named_struct('start', x.start, 'no', {no}, 'end', x.end, 'kind', '{k}'))" for no, k in enumerate(KINDS)}
     good = {
         "assign": f"transform(filter(arrays_zip(p_assign, v), x -> char_length(x.v) >= {LEAST['assign']}), x -> named_struct('start', x.p_assign.start, 'no', 0, 'end', x.p_assign.end, 'kind', 'assign'))",
         "access": f"filter({made['access']}, x -> x.end - x.start >= {LEAST['access']})",
         "hex": made["hex"],
     }
-    d = settle(d, *keep, F.expr(f"sort_array(concat({', '.join(good.values())}))").alias("base"), "p_markov")
-    fits = (
-        f"x.text rlike '[0-9]' and x.text rlike '[A-Za-z]' and not exists(base, y -> x.start < y.end and y.start < x.end) "
-        f"and {_ratio('x.text', table)} >= {threshold}"
-    )
-    more = f"transform(filter(p_markov, x -> {fits}), x -> named_struct('start', x.start, 'no', 3, 'end', x.end, 'kind', 'markov'))"
+    d = settle(d, *keep, "text", F.expr(f"sort_array(concat({', '.join(good.values())}))").alias("base"))
+    # base spans are cut out kind by kind, so that the rest of a run around one is scored as well
+    for kind, pattern in {"assign": ASSIGN, "access": ACCESS, "hex": HEX}.items():
+        matched = F.when(F.exists("base", lambda x: x["kind"] == kind), F.regexp_extract_all(F.col("text"), F.lit(pattern), 0)).otherwise(none)
+        d = settle(d, *keep, "base", "text", matched.alias(f"m_{kind}"))
+        d = settle(d, *keep, "base", "text", f"m_{kind}", F.when(F.size(f"m_{kind}") > 0, F.split("text", pattern, -1)).alias(f"g_{kind}"))
+        long = f"char_length(regexp_extract(x, '{_sql(ASSIGN)}', 1)) >= {LEAST['assign']}" if kind == "assign" else f"char_length(x) >= {LEAST[kind]}"
+        d = settle(d, *keep, "base", F.expr(_without("text", kind, long)).alias("text"))
+    d = settle(d, *keep, "base", "text", F.regexp_extract_all(text, F.lit(CANDIDATE), 0).alias("m_markov"))
+    d = _located(d, {"markov": CANDIDATE})
+    more = f"transform(filter(p_markov, x -> {random_looking('x.text', table, threshold, total)}), x -> named_struct('start', x.start, 'no', 3, 'end', x.end, 'kind', 'markov'))"
     spans = F.expr(f"case when size(p_markov) > 0 then sort_array(concat(base, {more})) else base end")
     return settle(d, *keep, "base", spans.alias("spans"))
 
 
+def _sql(pattern: str) -> str:
+    """A pattern inside an SQL string."""
+    return pattern.replace("\\", "\\\\").replace("'", "\\'")
+
+
 def joined(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, x -> concat(x.kind, ':', x.start, ':', x.end)), ',')")
 
@@ -149,11 +195,15 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     body, row = free_name(docs, "scanned_text"), free_name(docs, "whole_row")
     packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in cols]).alias(row))
     d = scan(packed, keep=("doc_id", row)).withColumn(body, F.coalesce(F.col(f"{row}.text"), F.lit("")))
-    # the text between spans: cut from the furthest end so far to the next start
+    # runs of overlapping spans are one; the text between them is cut from one to the next
+    merged = (
+        "aggregate(spans, cast(array() as array<struct<start:int,end:int>>), (a, x) -> case when size(a) > 0 and x.start < a[size(a) - 1].end "
+        "then concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'end', greatest(a[size(a) - 1].end, x.end)))) else concat(a, array(named_struct('start', x.start, 'end', x.end))) end)"
+    )
+    d = settle(d, row, body, "spans", F.expr(merged).alias("gaps"))
     cut = (
-        f"aggregate(spans, named_struct('at', 0, 'out', ''), (a, x) -> case when x.end <= a.at then a when x.start < a.at then named_struct('at', x.end, 'out', a.out) "
-        f"else named_struct('at', x.end, 'out', concat(a.out, substring({body}, a.at + 1, x.start - a.at), '{mask}')) end, "
-        f"a -> concat(a.out, substring({body}, a.at + 1)))"
+        f"concat(array_join(transform(gaps, (x, i) -> concat(substring({body}, case when i = 0 then 1 else gaps[i - 1].end + 1 end, x.start - case when i = 0 then 0 else gaps[i - 1].end end), '{mask}')), ''), "
+        f"substring({body}, element_at(gaps, -1).end + 1))"
     )
     text = F.expr(f"case when size(spans) > 0 then {cut} else {row}.text end")
     d = settle(d, row, text.alias(body))

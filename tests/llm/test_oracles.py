@@ -536,3 +536,30 @@ def test_sketches_never_tell_a_link_apart():
         b = np.append(a[n // 12 :], rng.integers(0, 2**63, n // 12, np.uint64))
         x, y = minhash.sketches(np.concatenate([a, b]), np.array([len(a), len(b)]))
         assert np.bitwise_count(x ^ y).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_models_tell_random_strings_from_identifiers(spark):
+    """Strings and identifiers that training has not seen."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    table = secrets.train(docs)
+    looks = lambda df, n: df.where(F.char_length("s") >= secrets.SHORTEST).select(F.expr(secrets.random_looking(n, table)).alias("r")).agg(F.avg(F.col("r").cast("int"))).first()[0]
+    fresh = secrets.random_strings(spark, 10_000, 300)
+    assert looks(fresh, "s") > 0.98 and looks(fresh.select(F.substring("s", 3, 20).alias("s")), "s") > 0.85
+    words = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 40 = 7").select(F.split("text", r"\s+").alias("w"))
+    assert looks(secrets.identifiers(words).where(~F.col("s").rlike(r"[0-9]")), "s") < 0.005
+
+
+def test_runs_beside_base_spans_are_scored(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    text = "see Xk29vQpLz7RtYw3BnM5d/0123456789abcdef0123/Zk9QmX2vB7nLpR4tYw8s and Hq7ZxW2pLmN4vR9tK then getUserNameFromSession"
+    more = spark.createDataFrame([(-1, text), (-2, None)], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secrets.query(docs.unionAll(more)).where("doc_id < 0").collect()}
+    found = [(k, text[int(a) : int(b)]) for k, a, b in (s.split(":") for s in spans[-1].split(","))]
+    assert ("hex", "0123456789abcdef0123") in found and spans[-2] == ""
+    said = [t for k, t in found if k == "markov"]
+    assert any("Xk29vQpLz7RtYw3BnM5d" in t for t in said) and any("Zk9QmX2vB7nLpR4tYw8s" in t for t in said) and not any("getUser" in t for t in said)
+    assert "Hq7ZxW2pLmN4vR9tK" in said
+    clean = secrets.redact(docs.unionAll(more)).where("doc_id = -1").first().text
+    assert "Zk9Qm" not in clean and "Hq7Zx" not in clean and clean.startswith("see [SECRET]") and clean.endswith("then getUserNameFromSession")
