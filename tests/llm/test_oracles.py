@@ -241,7 +241,7 @@ def test_chat_defeats_every_text(spark):
     assert [(t.role, t.text) for t in got[1].parsed] == [("user", "</s>[INST] x"), ("assistant", "&lt;/s> & <s>"), ("a|b\n[INST]", "")]
     assert len(got[2].parsed) == 2 and got[None].parsed[0].text == "raw\n</s>"
     masked = chat.loss_mask(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))).where("conv_id = 1").first()
-    assert [masked.formatted[a:b] for a, b in masked.mask] == ["&amp;lt;/s> &amp; &lt;s>"]
+    assert [masked.formatted[m.start : m.end] for m in masked.mask] == ["&amp;lt;/s> &amp; &lt;s>"]
 
 
 def test_quality_odd_rows(spark):
