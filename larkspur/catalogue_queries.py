@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import nlq
+from . import lexicon, nlq
 from .functions import scalars as S
 from .operators import profile, reshape, search
 from .plans.plan import Filter, Plan, TimeSpec, compile_plan
@@ -228,6 +228,34 @@ _add("bm25_search", lambda s, d: search.bm25(_t(s, d, "documents"), "doc_id", "t
     + ", 6) as score from f, s where f0 + f1 + f2 > 0 order by score desc, doc_id limit 20"
 ))
 _add("value_match", lambda s, d: search.value_match(_t(s, d, "nation"), "n_name", "sales of nation_3 and nation_12 please"), "select n_name as value from nation where n_name in ('NATION_3', 'NATION_12')")
+
+_SOUGHT = "promo brushed steel of NATION_3 and nation_12, asia"
+
+
+def _lexicon(s: SparkSession, d: str) -> DataFrame:
+    return lexicon.of_values(_t(s, d, "part"), "part", ["p_type", "p_brand"]).unionAll(lexicon.of_values(_t(s, d, "nation"), "nation", ["n_name"])).unionAll(lexicon.of_values(_t(s, d, "region"), "region", ["r_name"]))
+
+
+def _lex_search(s: SparkSession, d: str) -> DataFrame:
+    entries = _lexicon(s, d)
+    return lexicon.search(entries, lexicon.terms(entries), nlq.telling(_SOUGHT))
+
+
+_LEX = "with e as (select *, regexp_extract_all(lower(target), '[a-z0-9]+') as toks from (" + " union ".join(f"select '{t}' as table_id, '{c}' as slug, trim({c}) as target from {t}" for t, c in (("part", "p_type"), ("part", "p_brand"), ("nation", "n_name"), ("region", "r_name"))) + "))"
+_LEX_WORDS = sorted(nlq.telling(_SOUGHT))
+_LEX_LIST = "[" + ", ".join(f"'{w}'" for w in _LEX_WORDS) + "]"
+_add("lex_search", _lex_search, (
+    f"{_LEX}, f as (select *, cast(len(toks) as double) as len, " + ", ".join(f"cast(len(list_filter(toks, lambda x: starts_with(x, '{w}'))) as double) as f{i}" for i, w in enumerate(_LEX_WORDS))
+    + " from e), s as (select cast(count(*) as double) as n, avg(len) as a, " + ", ".join(f"cast(count(*) filter (f{i} > 0) as double) as n{i}" for i in range(len(_LEX_WORDS))) + " from f) select table_id, 'value' as kind, slug, target, round("
+    + " + ".join(f"(case when ln((n - n{i} + 0.5) / (n{i} + 0.5)) <= 0 then 1e-6 else ln((n - n{i} + 0.5) / (n{i} + 0.5)) end) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * len / a))" for i in range(len(_LEX_WORDS)))
+    + f" + case when list_has_all({_LEX_LIST}, toks) then 4.0 when list_has_any({_LEX_LIST}, toks) then 1.0 else 0.0 end, 6) as score from f, s where " + " + ".join(f"f{i}" for i in range(len(_LEX_WORDS))) + " > 0 order by score desc, table_id, slug, target limit 24"
+))
+_add("lex_value_match", lambda s, d: lexicon.named(_lexicon(s, d), nlq.spellings(_SOUGHT)), f"{_LEX} select table_id, slug, target from e where len(toks) > 0 and list_has_all([{', '.join(repr(w) for w in nlq.spellings(_SOUGHT))}], toks)")
+_add(
+    "station_name", lambda s, d: _t(s, d, "nation").select("n_nationkey", S.station_name(F.concat("n_name", F.lit(" (A)  AMS (mo) mormugao")), {"nation_3 mormugao": "goa"}).alias("station")),
+    "select n_nationkey, case lower(n_name) when 'nation_3' then 'goa' else lower(n_name) || ' mormugao' end as station from nation",
+)
+_add("ist_from_utc", lambda s, d: _t(s, d, "orders").select("o_orderkey", F.date_format(S.ist_from_utc(F.col("o_orderdate").cast("timestamp_ntz")), "yyyy-MM-dd HH:mm").alias("ist")), "select o_orderkey, strftime(cast(o_orderdate as timestamp) + interval '5 hours 30 minutes', '%Y-%m-%d %H:%M') as ist from orders")
 _add("row_hash", lambda s, d: _t(s, d, "nation").select("n_nationkey", S.row_hash(F.col("n_nationkey"), F.col("n_name")).alias("row_hash")), "select n_nationkey, substr(sha1(cast(n_nationkey as varchar) || chr(31) || n_name), 1, 16) as row_hash from nation")
 _add("preview", lambda s, d: _t(s, d, "customer").orderBy("c_custkey").limit(50).select("c_custkey", "c_name", "c_mktsegment"), "select c_custkey, c_name, c_mktsegment from customer order by c_custkey limit 50")
 _add("catalog_join", lambda s, d: _t(s, d, "nation").join(_t(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n"), F.max("n_name").alias("last")), 'select r_name, count(*) as n, max(n_name) as "last" from nation join region on n_regionkey = r_regionkey group by 1')

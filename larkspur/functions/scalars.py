@@ -75,6 +75,23 @@ def row_hash(*columns: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("None")) for c in columns])), 1, 16)
 
 
+# Marks of a station's type that stand in its name.
+STATION_MARKS = ("(a)", "ams", "mo")
+
+
+def station_name(c: Column, names: dict[str, str]) -> Column:
+    """A station's present name in lower case, without type marks (whole words only) and brackets."""
+    words = "|".join(m for m in STATION_MARKS if m.isalpha())
+    brackets = "|".join(f"\\({m.strip('()')}\\)" for m in STATION_MARKS if not m.isalpha())
+    bare = F.regexp_replace(F.lower(c), f"{brackets}|\\b({words})\\b|[()]", " ")
+    return alias(F.regexp_replace(bare, r"\s+", " "), names)
+
+
+def ist_from_utc(c: Column) -> Column:
+    """A UTC time in Indian time, five and a half hours ahead."""
+    return c + F.expr("INTERVAL '05:30' HOUR TO MINUTE")
+
+
 def alias(c: Column, names: dict[str, str]) -> Column:
     """Former names replaced by current ones; any other stays, in lower case."""
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])

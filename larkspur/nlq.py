@@ -63,6 +63,7 @@ class Column:
     unit: str = ""
     also: tuple[str, ...] = ()  # phrases that mean it too
     label: str = ""
+    places: tuple[str, ...] = ()  # names of the sheet and the file it stands in
 
 
 SALES = (
@@ -84,6 +85,17 @@ def _words(text: str) -> list[str]:
 SILENT = FILLER | {w for _, names in AGGREGATE_WORDS for n in names for w in n.split()} | set("tell much last first value there highest lowest than least most".split())
 
 
+def telling(text: str) -> list[str]:
+    """The words of a text that may name something, in the singular."""
+    return [w for w in dict.fromkeys(_words(text.replace("_", " "))) if w not in SILENT]
+
+
+def spellings(text: str) -> list[str]:
+    """All words of a text, as written and in the singular, and the present names of places."""
+    said = {*re.findall("[a-z0-9]+", text.lower()), *(p for w in _words(text) for p in w.split("_"))}
+    return sorted(said | {FORMER_NAMES[w] for w in said if w in FORMER_NAMES})
+
+
 def synonyms(name: str) -> tuple[str, ...]:
     """Phrases that mean a measure with this column name."""
     return tuple(s for part, more in SYNONYMS.items() if part in name or part.replace("_", "") in name for s in more)
@@ -164,6 +176,7 @@ class Asker:
         after = after.strip()
         best: list[tuple[float, str, Column]] = []
         notes: list[str] = []
+        heard = set(_words(rest))
         for name, (_, columns) in self.tables.items():
             if hint and name != hint:
                 continue
@@ -172,7 +185,9 @@ class Asker:
                 terms = set(_words(" ".join(c.terms)))
                 both = len(asked & terms) + max((len(p) for x in c.also if (p := set(_words(x)) - terms) and p <= asked | terms and p & asked), default=0)
                 if c.role == "measure" and both:
-                    best.append((both + 2.0 * (terms <= asked) + 0.5 * (name.rstrip("s") in asked), name, c))
+                    # a sheet or file that is named in full, beyond the words of the measure, settles which one is meant
+                    told = any((w := set(_words(p.replace("_", " ")))) and w <= heard and not w <= terms for p in c.places)
+                    best.append((both + 2.0 * (terms <= asked) + 0.5 * (name.rstrip("s") in asked) + told, name, c))
         if not best:
             best, word = self._rescue_measure(_words(before), hint)
             if best:
@@ -196,10 +211,10 @@ class Asker:
             aggregation = "avg" if averaged else "sum"
         where = [Filter(measure.name, op, (v,)) for op, v in filters]
         by_name = {c.name: c for c in columns}
-        accounted = {w for c in (measure, *(by_name[g] for g in groups)) for w in _words(" ".join((*c.terms, c.label, c.name.replace("_", " "))))}
-        found, heard = self._values(table, _words(rest), accounted)
+        accounted = {w for c in (measure, *(by_name[g] for g in groups)) for w in _words(" ".join((*c.terms, c.label, c.name.replace("_", " "), *(p.replace("_", " ") for p in c.places))))}
+        found, guessed = self._values(table, _words(rest), accounted)
         where += [Filter(column, "=", named) for column, named in found.items()]
-        notes += heard
+        notes += guessed
         for column, named in found.items():
             accounted |= {w for v in (*named, column.replace("_", " ")) for w in (*_words(v), *(o for o, n in FORMER_NAMES.items() if n in _words(v)))}
         left = [w for w in _words(rest) if w not in SILENT and not w.isdigit()]

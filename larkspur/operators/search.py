@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import tokens
@@ -12,6 +12,16 @@ from ..functions.scalars import tokens
 K1, B = 1.2, 0.75
 
 
+def bm25_weight(terms: int) -> Column:
+    """An entry's weight from its ``len``, its counts ``f<i>`` of terms, and the collection's ``n``, ``avg`` and ``n<i>``."""
+    total = F.lit(0.0)
+    for i in range(terms):
+        idf = F.ln((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
+        f = F.col(f"f{i}")
+        total += F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+    return total
+
+
 def bm25(entries: DataFrame, key: str, text: str, terms: list[str], k: int = 20) -> DataFrame:
     """key, score: the best ``k`` entries; a term matches tokens that begin with it.
 
@@ -24,15 +34,9 @@ def bm25(entries: DataFrame, key: str, text: str, terms: list[str], k: int = 20)
     e = entries.select(F.inline(F.array(made)))
     e = e.select("key", F.size("toks").cast("double").alias("len"), *[F.size(begins(t)).cast("double").alias(f"f{i}") for i, t in enumerate(terms)])
     s = e.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"f{i}") > 0).cast("double").alias(f"n{i}") for i in range(len(terms))])
-    parts = []
-    for i in range(len(terms)):
-        idf = F.ln((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
-        idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-        f = F.col(f"f{i}")
-        parts.append(idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avg"))))
     hit = sum((F.col(f"f{i}") for i in range(len(terms))), F.lit(0.0)) > 0
     out = e.where(hit).crossJoin(F.broadcast(s))  # one row of numbers
-    return out.select(F.col("key").alias(key), F.round(sum(parts[1:], parts[0]), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    return out.select(F.col("key").alias(key), F.round(bm25_weight(len(terms)), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
 def value_match(values: DataFrame, column: str, question: str, k: int = 24) -> DataFrame:

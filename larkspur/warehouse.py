@@ -9,6 +9,7 @@ the same.
 
 from __future__ import annotations
 
+import contextlib
 import copy
 import datetime as dt
 import functools
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dashboard as boards
-from . import nlq, report
-from .errors import EngineError, FileTooLarge, NotFound, Unanswerable
+from . import lexicon, nlq, report
+from .errors import EngineError, FileTooLarge, NotFound, StorageBusy, Unanswerable
 from .narration import Answer, narrate
 from .operators import profile
 from .plans.plan import compile_plan
@@ -38,9 +39,13 @@ COLUMN = (
     "table_id string, dataset_id string, ordinal int, name string, slug string, role string, kind string, unit string, derived boolean, derived_of array<string>, null_fraction double, sample array<string>, known array<string>"
 )
 CHECKSUM = "table_id string, dataset_id string, column_slug string, stated_total double, parsed_total double, agrees boolean"
-SCHEMAS = {"dataset": DATASET, "table": TABLE, "column": COLUMN, "checksum": CHECKSUM}
-#: A column with more values than the first gets none listed; others at most the second.
+LEX_ENTRY = lexicon.ENTRY + ", dataset_id string"
+LEX_TERM = "entry_id string, term string, n long, len long, dataset_id string"
+SCHEMAS = {"dataset": DATASET, "table": TABLE, "column": COLUMN, "checksum": CHECKSUM, "lex_entry": LEX_ENTRY, "lex_term": LEX_TERM}
+#: A column with more values than the first gets none listed for near spellings; others at most the second.
 KNOWN_GATE = KNOWN = 5000
+#: Times the catalog's lock is tried, and the seconds waited after the first, doubled, tripled and so on.
+TRIES, WAIT = 5, 0.4
 UPLOAD_MB = 256
 #: Answers and plans kept, the latest used.
 ANSWERS, PLANS = 256, 512
@@ -53,13 +58,40 @@ class Warehouse:
 
     # catalog
 
-    def _entries(self, name: str) -> DataFrame:
-        path = f"{self.root}/catalog/{name}"
+    def _at(self, path: str):
+        """The path in Hadoop's terms, and its file system."""
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _entries(self, name: str) -> DataFrame:
+        at, fs = self._at(path := f"{self.root}/catalog/{name}")
+        if not fs.exists(at):
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(path)
 
+    def _live(self, name: str) -> DataFrame:
+        """The entries of active datasets."""
+        return self._entries(name).join(F.broadcast(self._state().where("status = 'active'").select("dataset_id")), "dataset_id", "left_semi")
+
+    @contextlib.contextmanager
+    def _alone(self, tries: int = TRIES):
+        """Holds the catalog's lock, a file that one writer alone can make; StorageBusy after ``tries``."""
+        at, fs = self._at(f"{self.root}/catalog/_lock")
+        for k in range(1, tries + 1):
+            if fs.createNewFile(at):
+                break
+            if k == tries:
+                raise StorageBusy("another writer holds the catalog")
+            time.sleep(WAIT * k)
+        try:
+            yield
+        finally:
+            fs.delete(at, False)
+
+    def unlock(self) -> None:
+        """Removes the lock of a writer that died."""
+        self._remove(f"{self.root}/catalog/_lock")
+
     def _add(self, name: str, rows: list[dict]) -> None:
         if rows:
             order = [f.split()[0] for f in SCHEMAS[name].split(", ")]
@@ -99,6 +131,16 @@ class Warehouse:
     def _frame(self, t: dict) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/data/{t['dataset_id']}/{t['physical_name']}")
 
+    def table_exists(self, name: str) -> bool:
+        return any(name in (t["table_id"], t["physical_name"]) for t in self.tables())
+
+    def sql(self, text: str) -> DataFrame:
+        """Spark SQL over the active tables that the text names by physical name; ``sql(...).first()[0]`` is a scalar."""
+        for t in self.tables():
+            if t["physical_name"].lower() in text.lower():
+                self._frame(t).createOrReplaceTempView(t["physical_name"])
+        return self.spark.sql(text)
+
     # files
 
     def analyse(self, path: str) -> dict:
@@ -111,26 +153,37 @@ class Warehouse:
         if length > self.upload_mb * 2**20:
             raise FileTooLarge(f"{length} bytes; at most {self.upload_mb} MB are taken")
         name, as_of = posixpath.basename(path), str(as_of or dt.date.today())
-        same = [d for d in self.datasets() if d["filename"] == name]
-        for d in same:
-            if d["content_hash"] == digest and d["as_of_date"] == as_of and d["status"] == "active":
-                return {"dataset_id": d["dataset_id"], "already_ingested": True, "total_rows": 0, "tables": []}
+        if done := self._done(self._of_file(name), digest, as_of):
+            return done
         dataset = uuid.uuid4().hex
         parsed = f"{self.root}/cells/{dataset}"
         try:
             # a file is parsed once; everything else reads this copy
             workbook.cells(self.spark, path).write.parquet(parsed)
-            return self._ingest(self.spark.read.parquet(parsed), dataset, name, digest, as_of, same)
+            with self._alone():
+                return self._ingest(self.spark.read.parquet(parsed), dataset, name, digest, as_of)
         finally:
             self._remove(parsed)
 
+    def _of_file(self, name: str) -> list[dict]:
+        return [d for d in self.datasets() if d["filename"] == name]
+
+    @staticmethod
+    def _done(same: list[dict], digest: str, as_of: str) -> dict | None:
+        """The result of an ingest that has nothing to do."""
+        d = next((d for d in same if d["content_hash"] == digest and d["as_of_date"] == as_of and d["status"] == "active"), None)
+        return d and {"dataset_id": d["dataset_id"], "already_ingested": True, "total_rows": 0, "tables": []}
+
     def _remove(self, folder: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        at, fs = self._at(folder)
+        fs.delete(at, True)
 
-    def _ingest(self, cells: DataFrame, dataset: str, name: str, digest: str, as_of: str, same: list[dict]) -> dict:
+    def _ingest(self, cells: DataFrame, dataset: str, name: str, digest: str, as_of: str) -> dict:
+        same = self._of_file(name)  # as it is now that no other writer is at work
+        if done := self._done(same, digest, as_of):
+            return done
         recipes = ing.analyse(cells)
-        tables, columns, checks = [], [], []
+        tables, columns, checks, named = [], [], [], []
         for r in recipes:
             table_id = f"{dataset[:8]}_{len(tables)}"
             physical = identifier(f"f_{dataset[:8]}_{r.sheet}_{r.block}")
@@ -138,13 +191,19 @@ class Warehouse:
             ing.table(cells, r, dataset, as_of).write.mode("overwrite").parquet(place)
             stored = self.spark.read.parquet(place)
             tables.append(dict(table_id=table_id, dataset_id=dataset, sheet=r.sheet, block_id=r.block, kind=r.kind, physical_name=physical, cell_range=r.range, row_count=stored.count(), confidence=r.confidence, context={s: v for s, _, v in r.context}))
-            for k, c in enumerate(ing.stored_columns(r)):
+            held = ing.stored_columns(r)
+            dims = [c.slug for c in held if c.role in ("dimension", "identifier")]
+            named.append(lexicon.of_columns(self.spark, [(table_id, c.slug, c.name, " ".join([c.name, c.slug.replace("_", " "), *nlq.synonyms(c.slug), c.unit or "", r.sheet, posixpath.splitext(name)[0].replace("_", " ")])) for c in held]))
+            if dims:
+                named.append(lexicon.of_values(stored, table_id, dims))
+            for k, c in enumerate(held):
                 known = self._known(stored, c.slug) if c.role in ("dimension", "identifier") else []
                 columns.append(c.to_dict() | dict(table_id=table_id, dataset_id=dataset, ordinal=k, known=known))
             checks += [x | dict(table_id=table_id, dataset_id=dataset) for x in ing.checksums(cells, r)]
         self._add("table", tables)
         self._add("column", columns)
         self._add("checksum", checks)
+        self._index(dataset, functools.reduce(DataFrame.unionAll, named))
         now = time.time_ns()
         total = sum(t["row_count"] for t in tables)
         older = [d for d in same if d["as_of_date"] == as_of]
@@ -156,23 +215,32 @@ class Warehouse:
         self._add("dataset", [new, *[d | {"status": "superseded", "at": now} for d in older if d["status"] == "active"]])
         return {"dataset_id": dataset, "already_ingested": False, "total_rows": total, "tables": tables, "checksums": checks}
 
+    def _index(self, dataset: str, entries: DataFrame) -> None:
+        place = {n: f"{self.root}/catalog/{n}/dataset_id={dataset}" for n in ("lex_entry", "lex_term")}
+        entries.write.mode("overwrite").parquet(place["lex_entry"])
+        lexicon.terms(self.spark.read.parquet(place["lex_entry"])).write.mode("overwrite").parquet(place["lex_term"])
+
     @staticmethod
     def _known(df: DataFrame, slug: str) -> list[str]:
         got = [r["value"] for r in profile.distinct_values(df, slug, KNOWN_GATE + 1).collect()]
         return [str(v) for v in got[:KNOWN]] if len(got) <= KNOWN_GATE else []
 
     def retire(self, dataset_id: str) -> None:
-        d = next((d for d in self.datasets() if d["dataset_id"] == dataset_id), None)
-        if d is None:
-            raise NotFound(f"no dataset {dataset_id!r}")
-        self._add("dataset", [d | {"status": "retired", "at": time.time_ns()}])
+        with self._alone():
+            d = next((d for d in self.datasets() if d["dataset_id"] == dataset_id), None)
+            if d is None:
+                raise NotFound(f"no dataset {dataset_id!r}")
+            self._add("dataset", [d | {"status": "retired", "at": time.time_ns()}])
 
     def clear(self) -> int:
         """Forgets all datasets, then deletes their rows."""
-        gone, now = self.datasets(), time.time_ns()
-        self._add("dataset", [d | {"status": "cleared", "at": now} for d in gone])
-        for d in gone:
-            self._remove(f"{self.root}/data/{d['dataset_id']}")
+        with self._alone():
+            gone, now = self.datasets(), time.time_ns()
+            self._add("dataset", [d | {"status": "cleared", "at": now} for d in gone])
+            for d in gone:
+                self._remove(f"{self.root}/data/{d['dataset_id']}")
+                for n in ("lex_entry", "lex_term"):
+                    self._remove(f"{self.root}/catalog/{n}/dataset_id={d['dataset_id']}")
         return len(gone)
 
     def health(self) -> dict:
@@ -181,17 +249,26 @@ class Warehouse:
 
     # questions
 
-    def _asker(self, tables: list[dict]) -> nlq.Asker:
+    def search(self, text: str, k: int = 24, kind: str | None = None) -> list[dict]:
+        """The columns and values of active tables that a text may mean, the best first."""
+        return [r.asDict() for r in lexicon.search(self._live("lex_entry"), self._live("lex_term"), nlq.telling(text), k, kind).collect()]
+
+    def _asker(self, tables: list[dict], question: str) -> nlq.Asker:
+        """Values stand for the question's own words, and those that near spellings are looked for in."""
         named, values = {}, {}
+        said: dict[tuple[str, str], list[str]] = {}
+        for r in lexicon.named(self._live("lex_entry"), nlq.spellings(question)).collect():
+            said.setdefault((r["table_id"], r["slug"]), []).append(r["target"])
         for t in tables:
             cols = []
             for c in t["columns"]:
                 words = nlq._words(c["name"]) + ([] if c["role"] != "measure" or c["slug"] != "value" else nlq._words(t["sheet"]))
                 role = "dimension" if c["role"] == "identifier" else c["role"]
                 units = {"mm", "c", "degc", "percent", "hpa"}
-                cols.append(nlq.Column(c["slug"], role, tuple(w for w in words if w not in units) or (c["slug"],), c["unit"] or "", nlq.synonyms(c["slug"]), c["name"]))
+                cols.append(nlq.Column(c["slug"], role, tuple(w for w in words if w not in units) or (c["slug"],), c["unit"] or "", nlq.synonyms(c["slug"]), c["name"], (t["sheet"], posixpath.splitext(t["filename"])[0])))
             named[t["table_id"]] = (functools.partial(self._frame, t), tuple(cols))
-            values[t["table_id"]] = {c["slug"]: tuple(c["known"]) for c in t["columns"] if c["known"]}
+            own = {c["slug"]: dict.fromkeys([*c["known"], *sorted(said.get((t["table_id"], c["slug"]), []))]) for c in t["columns"]}
+            values[t["table_id"]] = {s: tuple(v) for s, v in own.items() if v}
         return nlq.Asker(named, values)
 
     def resolve(self, question: str, table_id: str | None = None) -> dict:
@@ -200,7 +277,7 @@ class Warehouse:
 
     def _plan(self, question: str, table_id: str | None, version: tuple):
         key = (version, question.strip().lower(), table_id)
-        return _kept(self._plans, key, PLANS, lambda: self._asker(self.tables()).resolve(question, table_id))
+        return _kept(self._plans, key, PLANS, lambda: self._asker(self.tables(), question).resolve(question, table_id))
 
     def ask(self, question: str, table_id: str | None = None, normal: float | None = None) -> Answer:
         """The answer in one sentence and its rows; asked again of the same catalog, it is the one kept."""
