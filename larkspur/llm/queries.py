@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, hmm, licenses, minhash, mixing, quality, secrets, simhash, toxicity
+from . import bpe, chat, hmm, impact, infill, licenses, minhash, mixing, popcount, quality, secrets, simhash, toxicity
 from .common import table
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_minhash_near_dedup": lambda spark, d: minhash.query(table(spark, d, "documents")),
     "op9_chat_formatting": lambda spark, d: chat.query(table(spark, d, "conversations")),
     "op10_lm_scoring": lambda spark, d: hmm.query(table(spark, d, "documents")),
+    "op11_fill_in_middle": lambda spark, d: infill.query(table(spark, d, "documents")),
+    "op12_lexical_search": lambda spark, d: impact.query(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op13_simhash_near_dedup": lambda spark, d: popcount.query(table(spark, d, "documents")),
 }
 
 ORACLES = {
@@ -23,4 +26,6 @@ ORACLES = {
     "op7_quality_rules": quality.ORACLE,
     "op8_minhash_near_dedup": minhash.ORACLE,
     "op9_chat_formatting": chat.ORACLE,
+    "op11_fill_in_middle": infill.ORACLE,
+    "op12_lexical_search": impact.ORACLE,
 }
