@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import functools
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lexicon, nlq
@@ -84,8 +86,8 @@ _add(
     _sql("sum(l_extendedprice)", groups=f"{_SEASON} as season"),
 )
 _ORD = {"table": "orders", "counts": _NO_TRACE}
-_add("filter_year_in", _run(_orders, measure="o_totalprice", time=TimeSpec(years=(1996, 1998))), _sql("sum(o_totalprice)", "year(o_orderdate) in (1996, 1998)", **_ORD))
-_add("filter_year_between", _run(_orders, measure="o_totalprice", time=TimeSpec(year_from=1996, year_to=1998)), _sql("sum(o_totalprice)", "year(o_orderdate) between 1996 and 1998", **_ORD))
+_add("filter_year_in", _run(_orders, measure="o_totalprice", time=TimeSpec(years=(1996, 1998)), date="o_orderdate"), _sql("sum(o_totalprice)", "year(o_orderdate) in (1996, 1998)", **_ORD))
+_add("filter_year_between", _run(_orders, measure="o_totalprice", time=TimeSpec(year_from=1996, year_to=1998), date="o_orderdate"), _sql("sum(o_totalprice)", "year(o_orderdate) between 1996 and 1998", **_ORD))
 _add("lookup", lambda s, d: compile_plan(_t(s, d, "region"), Plan("lookup", "r_regionkey", groups=("r_name",))).orderBy("r_name"), "select r_name, r_regionkey as metric_value from region")
 _add(
     "count_nonnull_vs_rows", lambda s, d: compile_plan(_t(s, d, "lineitem").withColumn("discount", F.nullif(F.col("l_discount"), F.lit(0.0))), Plan("aggregate", "discount", "count")).select(F.col("metric_value").alias("n"), "row_count"),
@@ -153,12 +155,12 @@ _add(
 _add("context_columns", lambda s, d: _t(s, d, "region").withColumns({"station": F.lit("PUNE"), "period": F.lit("1991-2020")}), "select *, 'PUNE' as station, '1991-2020' as period from region")
 
 
-def _sheet(df: DataFrame, by: str) -> DataFrame:
-    """The cells of a sheet that holds a table under a bold header."""
-    no = F.row_number().over(Window.orderBy(by))
+def _sheet(df: DataFrame, by: str, top: int = 1) -> DataFrame:
+    """The cells of a sheet that holds a table under a bold header; ``by`` counts its rows without gaps."""
+    no = (F.col(by) - df.agg(F.min(by)).first()[0] + top).cast("int")
     texts = F.array(*[F.col(c).cast("string") for c in df.columns])
     rows = df.select(no.alias("row"), texts.alias("texts")).select("row", F.posexplode("texts").alias("col", "raw"))
-    heads = df.sparkSession.range(1).select(F.lit(0).alias("row"), F.posexplode(F.array(*[F.lit(c) for c in df.columns])).alias("col", "raw"))
+    heads = df.sparkSession.range(1).select(F.lit(top - 1).alias("row"), F.posexplode(F.array(*[F.lit(c) for c in df.columns])).alias("col", "raw"))
     every = rows.withColumn("bold", F.lit(False)).unionAll(heads.withColumn("bold", F.lit(True)))
     kind = F.when(F.col("raw").rlike(S.NUMBER), "NUM").otherwise("TEXT")
     return every.select(F.lit("sheet.xlsx").alias("path"), F.lit("Sheet").alias("sheet"), "row", "col", "raw", kind.alias("kind"), F.col("bold").alias("styled"), F.lit(False).alias("wide"))
@@ -181,6 +183,18 @@ _add(
 )
 
 
+def _replayed(s: SparkSession, d: str) -> DataFrame:
+    """A table read by the layout of another sheet, in which it stood eight rows higher."""
+    t = _t(s, d, "supplier")
+    return ingest.table(moved := _sheet(t, "s_suppkey", 9), ingest.replay(moved, ingest.analyse(_sheet(t, "s_suppkey")))[0], "d", "2026-01-01")
+
+
+_add(
+    "ingest_replayed", lambda s, d: _replayed(s, d).select("s_suppkey", "s_name", "s_acctbal", "_source_row"),
+    "select cast(s_suppkey as double) as s_suppkey, s_name, s_acctbal, cast(row_number() over (order by s_suppkey) + 9 as bigint) as _source_row from supplier",
+)
+
+
 def _with_total(s: SparkSession, d: str) -> DataFrame:
     r = _t(s, d, "region").select(F.col("r_name").alias("label"), F.col("r_regionkey").cast("long").alias("n"))
     return reshape.without_totals(r.unionAll(r.agg(F.lit("Grand total"), F.sum("n"))), "label")
@@ -200,6 +214,15 @@ _add(
     "case l_linenumber when 1 then -cast(q as double) when 2 then round(q / 100.0, 6) when 3 then 0.0 when 4 then null when 5 then cast('10' || q as double) end as value, "
     "case when l_linenumber = 6 then 'calm' end as text, l_linenumber = 4 or l_linenumber > 6 as is_missing, l_linenumber = 3 as is_trace from c",
 )
+_BRACKETED = (
+    "case l_linenumber when 1 then '(' || q || '%)' when 2 then q || '(1)' when 3 then '1(' || q || ')' when 4 then '($' || q || ',000)' when 5 then ' ( ' || q || '.5 ) ' when 6 then q || ' %' else q || ')%' end"
+)
+_add(
+    "parse_number_brackets",
+    lambda s, d: _t(s, d, "lineitem").withColumn("q", F.col("l_quantity").cast("int").cast("string")).select("l_orderkey", "l_linenumber", S.parse_number(F.expr(_BRACKETED)).alias("p")).select("l_orderkey", "l_linenumber", F.round("p.value", 6).alias("value"), "p.text"),
+    f"with c as (select l_orderkey, l_linenumber, cast(l_quantity as integer) as n, cast(cast(l_quantity as integer) as varchar) as q from lineitem), t as (select *, {_BRACKETED} as cell from c) select l_orderkey, l_linenumber, "
+    "case l_linenumber when 1 then round(-n / 100.0, 6) when 4 then cast(-1000 * n as double) when 5 then cast(-n - 0.5 as double) when 6 then round(n / 100.0, 6) end as value, case when l_linenumber in (2, 3) or l_linenumber > 6 then cell end as text from t",
+)
 _add("missing_sentinels", lambda s, d: _cells(s, d).groupBy("l_linenumber").agg(F.count_if(S.parse_number(F.col("cell"))["is_missing"]).alias("n")), "select l_linenumber, cast(sum(case when l_linenumber = 4 or l_linenumber > 6 then 1 else 0 end) as bigint) as n from lineitem group by 1")
 _add("trace_values", lambda s, d: _cells(s, d).groupBy("l_linenumber").agg(F.count_if(S.parse_number(F.col("cell"))["is_trace"]).alias("n")), "select l_linenumber, cast(sum(case when l_linenumber = 3 then 1 else 0 end) as bigint) as n from lineitem group by 1")
 
@@ -233,12 +256,13 @@ _SOUGHT = "promo brushed steel of NATION_3 and nation_12, asia"
 
 
 def _lexicon(s: SparkSession, d: str) -> DataFrame:
-    return lexicon.of_values(_t(s, d, "part"), "part", ["p_type", "p_brand"]).unionAll(lexicon.of_values(_t(s, d, "nation"), "nation", ["n_name"])).unionAll(lexicon.of_values(_t(s, d, "region"), "region", ["r_name"]))
+    own = (("part", ["p_type", "p_brand"]), ("nation", ["n_name"]), ("region", ["r_name"]))
+    return functools.reduce(DataFrame.unionAll, [lexicon.of_values(_t(s, d, t), F.lit(t), slugs, F.lit("d")) for t, slugs in own])
 
 
 def _lex_search(s: SparkSession, d: str) -> DataFrame:
     entries = _lexicon(s, d)
-    return lexicon.search(entries, lexicon.terms(entries), nlq.telling(_SOUGHT))
+    return lexicon.search(lexicon.postings(entries), lexicon.statistics(entries), nlq.telling(_SOUGHT))
 
 
 _LEX = "with e as (select *, regexp_extract_all(lower(target), '[a-z0-9]+') as toks from (" + " union ".join(f"select '{t}' as table_id, '{c}' as slug, trim({c}) as target from {t}" for t, c in (("part", "p_type"), ("part", "p_brand"), ("nation", "n_name"), ("region", "r_name"))) + "))"
@@ -250,7 +274,7 @@ _add("lex_search", _lex_search, (
     + " + ".join(f"(case when ln((n - n{i} + 0.5) / (n{i} + 0.5)) <= 0 then 1e-6 else ln((n - n{i} + 0.5) / (n{i} + 0.5)) end) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * len / a))" for i in range(len(_LEX_WORDS)))
     + f" + case when list_has_all({_LEX_LIST}, toks) then 4.0 when list_has_any({_LEX_LIST}, toks) then 1.0 else 0.0 end, 6) as score from f, s where " + " + ".join(f"f{i}" for i in range(len(_LEX_WORDS))) + " > 0 order by score desc, table_id, slug, target limit 24"
 ))
-_add("lex_value_match", lambda s, d: lexicon.named(_lexicon(s, d), nlq.spellings(_SOUGHT)), f"{_LEX} select table_id, slug, target from e where len(toks) > 0 and list_has_all([{', '.join(repr(w) for w in nlq.spellings(_SOUGHT))}], toks)")
+_add("lex_value_match", lambda s, d: lexicon.named(lexicon.postings(_lexicon(s, d)), nlq.spellings(_SOUGHT)), f"{_LEX} select table_id, slug, target from e where len(toks) > 0 and list_has_all([{', '.join(repr(w) for w in nlq.spellings(_SOUGHT))}], toks)")
 _add(
     "station_name", lambda s, d: _t(s, d, "nation").select("n_nationkey", S.station_name(F.concat("n_name", F.lit(" (A)  AMS (mo) mormugao")), {"nation_3 mormugao": "goa"}).alias("station")),
     "select n_nationkey, case lower(n_name) when 'nation_3' then 'goa' else lower(n_name) || ' mormugao' end as station from nation",
@@ -274,3 +298,31 @@ _add("ask_total", _ask("total extended price in july?"), _sql("sum(l_extendedpri
 _add("ask_monsoon_average", _ask("average quantity during monsoon by return flag"), _sql("avg(l_quantity)", "month(l_shipdate) between 6 and 9", "l_returnflag"))
 _add("ask_trend", _ask("total price of orders by year"), _sql("sum(o_totalprice)", "o_totalprice is not null", "cast(year(o_orderdate) as integer) as year", **_ORD))
 _add("ask_filter", _ask("number of orders above 100000 between 1996 and 1998"), _sql("count(o_totalprice)", "o_totalprice > 100000 and year(o_orderdate) between 1996 and 1998", **_ORD))
+_SPOKEN = {
+    "ne_monsoon": ("total extended price in the ne monsoon from 1995 through 1997", "month(l_shipdate) between 10 and 12 and year(l_shipdate) between 1995 and 1997"),
+    "premonsoon": ("total extended price in premonsoon, 1996 until 1998", "month(l_shipdate) between 3 and 5 and year(l_shipdate) between 1996 and 1998"),
+    "rainy_season": ("total extended price in the rainy season 1994-1996", "month(l_shipdate) between 6 and 9 and year(l_shipdate) between 1994 and 1996"),
+    "cold_weather": ("total extended price in cold weather of 1995", "month(l_shipdate) <= 2 and year(l_shipdate) = 1995"),
+}
+for _name, (_question, _where) in _SPOKEN.items():
+    _add(f"ask_{_name}", _ask(_question), _sql("sum(l_extendedprice)", f"l_extendedprice is not null and {_where}"))
+
+
+def _flag_normals(s: SparkSession, d: str) -> DataFrame:
+    """Mean over the years of each return flag's quantity in each month."""
+    per = _li(s, d).groupBy("l_returnflag", "period_month", "year").agg(F.sum("l_quantity").alias("q"))
+    return per.groupBy("l_returnflag", "period_month").agg(F.avg("q").alias("quantity"))
+
+
+def _ask_departure(s: SparkSession, d: str) -> DataFrame:
+    normals = (nlq.Column("quantity", "measure", ("quantity",)), nlq.Column("l_returnflag", "dimension", ("return", "flag")), nlq.Column("period_month", "time", ("month",)))
+    asker = nlq.Asker({"sales": (_li(s, d), nlq.SALES), "normals": (lambda: _flag_normals(s, d), normals)}, normals=("normals",))
+    return _rounded(asker.rows("departure of total quantity in july 1996 by return flag from normal")).select("l_returnflag", "metric_value", F.round("normal", 2).alias("normal"), "departure_pct", "band")
+
+
+_add(
+    "ask_departure", _ask_departure,
+    "with m as (select l_returnflag, year(l_shipdate) as y, sum(l_quantity) as q from lineitem where month(l_shipdate) = 7 group by 1, 2), n as (select l_returnflag, avg(q) as normal from m group by 1), "
+    "p as (select l_returnflag, q, normal, (q - normal) * 100.0 / normal as percent from m join n using (l_returnflag) where y = 1996) select l_returnflag, round(q, 2) as metric_value, round(normal, 2) as normal, round(percent, 1) as departure_pct, "
+    "case when percent >= 60 then 'Large Excess' when percent >= 20 then 'Excess' when percent >= -19 then 'Normal' when percent >= -59 then 'Deficient' when percent >= -99 then 'Large Deficient' when percent >= -100 then 'No Rain' end as band from p",
+)

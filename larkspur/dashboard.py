@@ -1,4 +1,4 @@
-"""Charts of a table, ranked: one scan for its key figures, one for all its series."""
+"""Charts of tables of one layout, ranked: one scan for all their key figures, one for all their series."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import profile
 
+# The format of charts, how many of what they hold, and units that are averaged.
 SCHEMA = "https://vega.github.io/schema/vega-lite/v5.json"
 MOST_VALUES, MOST_CHARTS, MOST_MEASURES, MOST_DIMENSIONS = 24, 8, 6, 4
 AVERAGED = ("degC", "percent", "hPa", "kmph")
@@ -40,51 +41,61 @@ def variation(values: list[float]) -> float:
 
 
 def series(df: DataFrame, measures: list[dict], dimensions: list[dict]) -> DataFrame:
-    """dimension, measure, category, value, rank, of: the best ``MOST_VALUES`` categories of each pair.
+    """table_id, dimension, measure, category, value, rank, of: the best ``MOST_VALUES`` categories of each pair of each table.
 
     Rows are expanded once per dimension and combined before the shuffle; ranks
     run within a pair over its categories. Times keep their order, others fall by value.
     """
-    each = df.select(*[F.col(m["slug"]).cast("double").alias(f"m{k}") for k, m in enumerate(measures)], F.posexplode(F.array(*[F.col(d["slug"]).cast("string") for d in dimensions])).alias("d", "category"))
+    each = df.select("table_id", *[F.col(m["slug"]).cast("double").alias(f"m{k}") for k, m in enumerate(measures)], F.posexplode(F.array(*[F.col(d["slug"]).cast("string") for d in dimensions])).alias("d", "category"))
     how = [F.avg if m.get("unit") in AVERAGED else F.sum for m in measures]
-    sums = each.groupBy("d", "category").agg(*[h(f"m{k}").alias(f"m{k}") for k, h in enumerate(how)])
-    long = sums.select("d", "category", F.posexplode(F.array(*[F.col(f"m{k}") for k in range(len(measures))])).alias("m", "value")).where("value is not null")
+    sums = each.groupBy("table_id", "d", "category").agg(*[h(f"m{k}").alias(f"m{k}") for k, h in enumerate(how)])
+    long = sums.select("table_id", "d", "category", F.posexplode(F.array(*[F.col(f"m{k}") for k in range(len(measures))])).alias("m", "value")).where("value is not null")
     timed = F.col("d").isin(*[k for k, d in enumerate(dimensions) if d["role"] == "time"] or [-1])
     number = F.col("category").try_cast("double")
-    w = Window.partitionBy("d", "m").orderBy(F.when(timed, number).asc_nulls_last(), F.when(timed, F.col("category")), F.desc("value"), "category")
+    w = Window.partitionBy("table_id", "d", "m").orderBy(F.when(timed, number).asc_nulls_last(), F.when(timed, F.col("category")), F.desc("value"), "category")
     # Spark cuts ranks before the shuffle, so no partition gets more than MOST_VALUES rows of each input partition
     return long.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= MOST_VALUES)
 
 
-def charts(df: DataFrame, table_id: str, title: str, columns: list[dict]) -> list[Chart]:
-    """Key figures and series of one table, unranked."""
+def layout(columns: list[dict]) -> tuple:
+    """What tables whose charts are made together have in common."""
+    return tuple((c["slug"], c["name"], c["role"], c["unit"], c["derived"]) for c in columns)
+
+
+def charts(df: DataFrame, titles: dict[str, str], columns: list[dict]) -> list[Chart]:
+    """Key figures and series of tables of one layout, unranked; df has their rows with ``table_id``, titles are by it."""
     measures = [c for c in columns if c["role"] == "measure" and not c["derived"]][:MOST_MEASURES]
     dimensions = [c for c in columns if c["role"] in ("dimension", "identifier", "time")][:MOST_DIMENSIONS]
     if not measures:
         return []
     by_slug, out = {m["slug"]: m for m in measures}, []
-    for r in profile.measures(df, list(by_slug)).collect():
-        m = by_slug[r["measure"]]
+    for r in profile.measures(df, list(by_slug), ["table_id"]).collect():
+        m, table = by_slug[r["measure"]], r["table_id"]
         if r["n"]:
             figures = {"kind": "kpi", "value": r["total"], "mean": r["mean"], "min": r["lo"], "max": r["hi"], "count": r["n"], "unit": m["unit"]}
-            out.append(Chart(f"kpi_{table_id}_{m['slug']}", f"{m['name']} ({title})", "kpi", 0.35, table_id, figures, f"{r['n']} observations"))
+            out.append(Chart(f"kpi_{table}_{m['slug']}", f"{m['name']} ({titles[table]})", "kpi", KPI_SCORE, table, figures, f"from {r['n']} values"))
     if not dimensions:
         return out
-    got: dict[tuple[int, int], list] = {}
+    got: dict[tuple[str, int, int], list] = {}
     for r in series(df, measures, dimensions).collect():
-        got.setdefault((r["d"], r["m"]), []).append(r)
-    for (d, k), rows in sorted(got.items()):
-        if len(rows) < 2:
-            continue
-        rows = [{"category": r["category"], "value": r["value"]} for r in sorted(rows, key=lambda r: r["rank"])]
-        m, dim = measures[k], dimensions[d]
-        timed = dim["role"] == "time"
-        score = 0.5 + 0.3 * min(variation([r["value"] for r in rows]), 1.0) + 0.15 * timed - 0.1 * (len(rows) >= MOST_VALUES)
-        mark = "line" if timed else "bar"
-        out.append(Chart(f"{mark}_{table_id}_{m['slug']}_{dim['slug']}", f"{m['name']} by {dim['name']}", mark, score, table_id, spec(mark, rows, x_type="ordinal" if timed else "nominal"), f"{len(rows)} categories · {title}"))
+        got.setdefault((r["table_id"], r["d"], r["m"]), []).append(r)
+    for (table, d, k), rows in sorted(got.items()):
+        if len(rows) > 1:
+            out.append(_chart(table, titles[table], measures[k], dimensions[d], [{"category": r["category"], "value": r["value"]} for r in sorted(rows, key=lambda r: r["rank"])]))
     return out
 
 
+# Scores of a figure and of a series, and what spread, time and fulness add to the latter.
+KPI_SCORE, SERIES_SCORE, SPREAD, TIMED, FULL = 0.35, 0.5, 0.3, 0.15, -0.1
+
+
+def _chart(table: str, title: str, m: dict, dim: dict, rows: list[dict]) -> Chart:
+    timed, full = dim["role"] == "time", len(rows) >= MOST_VALUES
+    score = SERIES_SCORE + SPREAD * min(variation([r["value"] for r in rows]), 1.0) + TIMED * timed + FULL * full
+    mark, held = ("line", "ordinal") if timed else ("bar", "nominal")
+    return Chart(f"{mark}_{table}_{m['slug']}_{dim['slug']}", f"{m['name']} by {dim['name']}", mark, score, table, spec(mark, rows, x_type=held), f"{title}: {'the first' if full else 'all'} {len(rows)}")
+
+
 def ranked(found: list[Chart], most: int = MOST_CHARTS) -> list[Chart]:
     """The best charts, each kind and title once."""
     first: dict[tuple[str, str], Chart] = {}

@@ -20,15 +20,17 @@ def parse_number(c: Column) -> Column:
     """struct(value, text, is_missing, is_trace) of a text cell.
 
     Blank and the missing codes give no value; trace words give 0.0 and the
-    trace flag; brackets negate; a percent sign divides by 100; other text is
-    passed on as text.
+    trace flag; brackets around the whole negate; a percent sign, in brackets
+    too, divides by 100; other text is passed on as text, also a number with a
+    footnote in brackets.
     """
     t = F.trim(F.coalesce(c, F.lit("")))
     trace = F.lower(t).isin(*TRACE)
-    held = t.rlike(r"^\(.*\)$")
-    bare = F.regexp_replace(F.regexp_replace(t, r"[(),\s₹$€£¥]", ""), "%$", "")
+    held = t.startswith("(") & t.endswith(")")
+    inner = F.regexp_replace(F.regexp_replace(t, r"^[()]+|[()]+$", ""), r"[,\s₹$€£¥]", "")
+    bare = F.regexp_replace(inner, "%+$", "")
     raw = F.when(bare.rlike(NUMBER), bare.try_cast("double"))
-    value = raw * F.when(held, F.lit(-1.0)).otherwise(F.lit(1.0)) / F.when(t.endswith("%"), F.lit(100.0)).otherwise(F.lit(1.0))
+    value = raw * F.when(held, F.lit(-1.0)).otherwise(F.lit(1.0)) / F.when(inner.endswith("%"), F.lit(100.0)).otherwise(F.lit(1.0))
     missing = (t == "") | F.lower(bare).isin("nan", "inf", "-inf") | F.coalesce(value.isin(*MISSING), F.lit(False))
     return F.struct(
         F.when(trace, F.lit(0.0)).when(~missing, value).alias("value"),

@@ -8,6 +8,7 @@ plan it makes is the only thing that touches the data.
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
@@ -17,13 +18,18 @@ from pyspark.sql import DataFrame
 
 from .errors import AmbiguousQuery, Unanswerable
 from .functions.scalars import MONTHS, SEASONS
-from .plans.plan import Filter, Plan, TimeSpec, compile_plan
+from .plans.plan import Filter, Normals, Plan, TimeSpec, compile_plan
 
 # Names of seasons, and words for aggregates and orders.
 SEASON_NAMES = {
-    "post monsoon": "OND", "post-monsoon": "OND", "northeast monsoon": "OND", "southwest monsoon": "JJAS", "pre monsoon": "MAM", "pre-monsoon": "MAM",
-    "monsoon": "JJAS", "summer": "MAM", "winter": "JF", "jjas": "JJAS", "ond": "OND", "mam": "MAM",
+    "jf": "JF", "winter": "JF", "cold weather": "JF",
+    "mam": "MAM", "pre-monsoon": "MAM", "pre monsoon": "MAM", "premonsoon": "MAM", "hot weather": "MAM", "summer": "MAM",
+    "jjas": "JJAS", "monsoon": "JJAS", "southwest monsoon": "JJAS", "sw monsoon": "JJAS", "rainy season": "JJAS",
+    "ond": "OND", "post-monsoon": "OND", "post monsoon": "OND", "postmonsoon": "OND", "northeast monsoon": "OND", "ne monsoon": "OND", "retreating monsoon": "OND",
 }
+#: A year, and two years that a word or a dash joins to a range.
+YEAR = r"(?:18|19|20|21)\d\d"
+YEAR_RANGE = rf"\b(?:(?:between|from)\s+)?({YEAR})\s*(?:-|–|\b(?:to|until|through|and)\b)\s*({YEAR})\b"
 AGGREGATE_WORDS = (
     ("sum", ("total", "sum", "combined", "aggregate", "cumulative", "overall")), ("avg", ("average", "mean", "avg", "typical", "normal")),
     ("max", ("maximum", "highest", "max", "peak", "largest", "wettest", "hottest")), ("min", ("minimum", "lowest", "min", "smallest", "driest", "coolest")),
@@ -58,7 +64,7 @@ STEM = 4
 @dataclass(frozen=True)
 class Column:
     name: str
-    role: str  # measure, dimension, time
+    role: str  # measure, dimension, time, or date: what year and month are parts of
     terms: tuple[str, ...]
     unit: str = ""
     also: tuple[str, ...] = ()  # phrases that mean it too
@@ -69,12 +75,14 @@ class Column:
 SALES = (
     Column("l_extendedprice", "measure", ("extended", "price")), Column("l_quantity", "measure", ("quantity",)), Column("l_discount", "measure", ("discount",), "percent"),
     Column("l_suppkey", "dimension", ("supplier",)), Column("l_returnflag", "dimension", ("return", "flag")), Column("l_linestatus", "dimension", ("line", "status")),
-    Column("year", "time", ("year",)), Column("period_month", "time", ("month",)),
+    Column("year", "time", ("year",)), Column("period_month", "time", ("month",)), Column("l_shipdate", "date", ("ship", "date")),
 )
 ORDERS = (
     Column("o_totalprice", "measure", ("total", "price", "orders")), Column("o_orderpriority", "dimension", ("priority",)), Column("o_orderstatus", "dimension", ("order", "status")),
-    Column("year", "time", ("year",)), Column("period_month", "time", ("month",)),
+    Column("year", "time", ("year",)), Column("period_month", "time", ("month",)), Column("o_orderdate", "date", ("order", "date")),
 )
+#: Words that ask for a comparison with normals.
+DEPARTURES = ("departure", "departures", "deviation", "anomaly", "anomalies")
 
 
 def _words(text: str) -> list[str]:
@@ -113,8 +121,8 @@ def _stem(a: str, b: str) -> bool:
     return len(a) >= STEM and len(b) >= STEM and a[:STEM] == b[:STEM]
 
 
-def parse_time(text: str) -> tuple[TimeSpec, str]:
-    """The months and years that a question names, and the rest of it."""
+def parse_time(text: str, today: dt.date | None = None) -> tuple[TimeSpec, str]:
+    """The months and years that a question names, and the rest of it; the longest name of a season counts."""
     rest, months, label = text.lower(), (), []
     for name in sorted(SEASON_NAMES, key=len, reverse=True):
         if m := re.search(rf"\b{re.escape(name)}\b", rest):
@@ -129,25 +137,55 @@ def parse_time(text: str) -> tuple[TimeSpec, str]:
         for a, b, _ in sorted(found, reverse=True):
             rest = rest[:a] + " " * (b - a) + rest[b:]
         label += [MONTHS[k - 1].title() for k in months]
-    if re.search(r"\blast\s+\d+\s+(day|month|year)s?\b", rest):
-        raise Unanswerable("a span counted back from today cannot be applied to these tables")
     years, low, high = (), None, None
-    if m := re.search(r"\b(?:between|from)\s+((?:18|19|20|21)\d\d)\s*(?:and|to|-)\s*((?:18|19|20|21)\d\d)\b|\b((?:18|19|20|21)\d\d)\s*(?:to|-)\s*((?:18|19|20|21)\d\d)\b", rest):
-        low, high = sorted(int(x) for x in m.groups() if x)
-        rest = rest[: m.start()] + " " + rest[m.end() :]
+    if m := re.search(r"\blast\s+(\d{1,3})\s+(day|month|year)s?\b", rest):
+        if m[2] != "year":
+            raise Unanswerable("a span of days or months counted back from today cannot be applied to these tables")
+        high = (today or dt.date.today()).year
+        low = high - int(m[1]) + 1
+        label.append(f"last {m[1]} years")
+    elif m := re.search(YEAR_RANGE, rest):
+        low, high = sorted(int(x) for x in m.groups())
         label.append(f"{low} to {high}")
+    if m:
+        rest = rest[: m.start()] + " " + rest[m.end() :]
     else:
-        years = tuple(sorted({int(y) for y in re.findall(r"\b((?:18|19|20|21)\d\d)\b", rest)}))
-        rest = re.sub(r"\b(?:18|19|20|21)\d\d\b", " ", rest)
+        years = tuple(sorted({int(y) for y in re.findall(rf"\b({YEAR})\b", rest)}))
+        rest = re.sub(rf"\b{YEAR}\b", " ", rest)
         label += [str(y) for y in years]
     return TimeSpec(tuple(months), years, low, high, ", ".join(label)), re.sub(r"\s+", " ", rest).strip()
 
 
+class Listed:
+    """The values of tables' columns, held as lists: table -> column -> values."""
+
+    def __init__(self, values: dict[str, dict[str, tuple[str, ...]]]):
+        self.values = values
+
+    def named(self, table: str, words: set[str]) -> dict[str, tuple[str, ...]]:
+        """By column, the values all of whose words are given."""
+        return {c: got for c, known in self.values.get(table, {}).items() if (got := tuple(v for v in known if (w := set(_words(v))) and w <= words))}
+
+    def near(self, table: str, words: list[str]) -> dict[str, list[tuple[str, str]]]:
+        """By word, the few (column, value) that are spelt nearly so, the nearest first."""
+        out = {}
+        for word in words:
+            alike = sorted(((likeness(word, v), c, v) for c, known in self.values.get(table, {}).items() for v in known), key=lambda x: (-x[0], x[1], x[2]))
+            if got := [(c, v) for x, c, v in alike[:RESCUED] if x >= ALIKE]:
+                out[word] = got
+        return out
+
+
 class Asker:
-    """Answers questions over named tables: name -> (DataFrame or what opens it, its columns)."""
+    """Answers questions over named tables: name -> (DataFrame or what opens it, its columns).
+
+    ``values`` are lists, or anything that looks values up as ``Listed`` does.
+    ``normals`` are names of tables that hold normals; they are compared with and
+    answer no question by themselves where another table can.
+    """
 
-    def __init__(self, tables: dict[str, tuple[DataFrame | Callable[[], DataFrame], tuple[Column, ...]]], values: dict[str, dict[str, tuple[str, ...]]] | None = None):
-        self.tables, self.values = tables, values or {}
+    def __init__(self, tables: dict[str, tuple[DataFrame | Callable[[], DataFrame], tuple[Column, ...]]], values: dict[str, dict[str, tuple[str, ...]]] | Listed | None = None, normals: tuple[str, ...] = ()):
+        self.tables, self.values, self.normals = tables, values if hasattr(values, "near") else Listed(values or {}), normals
 
     def resolve(self, question: str, hint: str | None = None) -> tuple[str, Plan]:
         if not 2 <= len(question) <= 500:
@@ -159,6 +197,9 @@ class Asker:
             rest = rest[: m.start()] + " " + rest[m.end() :]
         elif re.search(rf"\b({'|'.join(ASCENDING_WORDS)})\b", re.sub(r"\bat least\b", " ", rest)):
             descending = False
+        compared = bool(re.search(rf"\b(?:{'|'.join(DEPARTURES)})\b", rest))
+        if compared:
+            rest = re.sub(rf"\b(?:{'|'.join(DEPARTURES)})\b(?:\s+(?:of|from|in))*(?:\s+normals?\b)?|\bfrom\s+(?:the\s+)?normals?\b", " ", rest)
         filters, number = [], r"(-?\d+(?:\.\d+)?)"
         for op, names in COMPARISONS:
             for n in names:
@@ -178,7 +219,7 @@ class Asker:
         notes: list[str] = []
         heard = set(_words(rest))
         for name, (_, columns) in self.tables.items():
-            if hint and name != hint:
+            if hint and name != hint or compared and name in self.normals:
                 continue
             asked = set(_words(before)) | ({w for w in _words(after)} if limit else set())
             for c in columns:
@@ -191,7 +232,7 @@ class Asker:
         if not best:
             best, word = self._rescue_measure(_words(before), hint)
             if best:
-                notes.append(f"Interpreted '{word}' as {best[0][2].label or best[0][2].name}.")
+                notes.append(f"No measure is spelt '{word}'; {best[0][2].label or best[0][2].name} comes nearest.")
         if not best:
             raise Unanswerable("nothing in the tables goes by what is asked for")
         best.sort(key=lambda x: (-x[0], x[1], x[2].name))
@@ -202,7 +243,7 @@ class Asker:
         groups = ()
         for side in (after, before):
             asked = _words(side)
-            hits = [c.name for c in columns if c.role != "measure" and set(_words(" ".join(c.terms))) <= set(asked)]
+            hits = [c.name for c in columns if c.role not in ("measure", "date") and set(_words(" ".join(c.terms))) <= set(asked)]
             if hits and (side == after or limit):
                 groups = tuple(hits)
                 break
@@ -213,17 +254,31 @@ class Asker:
         by_name = {c.name: c for c in columns}
         accounted = {w for c in (measure, *(by_name[g] for g in groups)) for w in _words(" ".join((*c.terms, c.label, c.name.replace("_", " "), *(p.replace("_", " ") for p in c.places))))}
         found, guessed = self._values(table, _words(rest), accounted)
-        where += [Filter(column, "=", named) for column, named in found.items()]
+        whole = getattr(self.values, "complete", False) and not guessed  # all spellings of these values are known
+        where += [Filter(column, "=", named, named if whole else ()) for column, named in found.items()]
         notes += guessed
         for column, named in found.items():
             accounted |= {w for v in (*named, column.replace("_", " ")) for w in (*_words(v), *(o for o, n in FORMER_NAMES.items() if n in _words(v)))}
         left = [w for w in _words(rest) if w not in SILENT and not w.isdigit()]
         if not notes and any(w not in accounted and not any(_stem(w, a) for a in accounted) for w in left):
-            notes.append(f"Interpreted '{' '.join(left)}' as {measure.label or measure.name}.")
+            notes.append(f"Nothing is known of '{' '.join(left)}'; the answer is about {measure.label or measure.name}.")
         times = {c.name for c in columns if c.role == "time"}
         intent = "ranking" if limit and groups else "trend" if groups and set(groups) <= times else "breakdown" if groups else "aggregate"
         plan = Plan(intent, measure.name, aggregation, groups, tuple(where), time, descending, limit if limit and groups else 5000)
-        return table, replace(plan, notes=tuple(notes))
+        date = next((c.name for c in columns if c.role == "date"), None)
+        return table, replace(plan, notes=tuple(notes), date=date, normals=self._normals(table, measure, groups, found) if compared else None)
+
+    def _normals(self, table: str, measure: Column, groups: tuple[str, ...], values: dict[str, tuple[str, ...]]) -> Normals:
+        """The first table of normals that has the measure, compared by all groups that it has too."""
+        said = set(_words(" ".join(measure.terms)))
+        for name in self.normals:
+            columns = self.tables[name][1]
+            if hit := next((c for c in columns if c.role == "measure" and said & set(_words(" ".join(c.terms)))), None):
+                have = {c.name for c in columns if c.role != "measure"}
+                if set(values) - set(groups):
+                    raise Unanswerable("a departure is asked for by the columns whose values it is about; group by them")
+                return Normals(name, hit.name, tuple(g for g in groups if g in have))
+        raise Unanswerable(f"no table holds normals of {measure.label or measure.name}")
 
     def _rescue_measure(self, words: list[str], hint: str | None) -> tuple[list[tuple[float, str, Column]], str]:
         """Measures whose name a word of the question nearly spells or begins, the likest first, and that word."""
@@ -242,19 +297,17 @@ class Asker:
     def _values(self, table: str, asked: list[str], accounted: set[str]) -> tuple[dict[str, tuple[str, ...]], list[str]]:
         """The values a question names, by column, under their own or a former name; if none, those of the nearest spelling."""
         now = set(asked) | {FORMER_NAMES[w] for w in asked if w in FORMER_NAMES}
-        found = {c: named for c, known in self.values.get(table, {}).items() if (named := tuple(v for v in known if (w := set(_words(v))) and w <= now))}
+        found = self.values.named(table, now)
         if found:
             return self._one_reading(table, found, asked), []
-        for word in asked:
-            if len(word) < 4 or word in SILENT or word in accounted:
-                continue
-            near = sorted(((likeness(word, v), c, v) for c, known in self.values.get(table, {}).items() for v in known), key=lambda x: (-x[0], x[1], x[2]))
-            near = [x for x in near[:RESCUED] if x[0] >= ALIKE]
-            if near:
-                for _, c, v in near:
-                    found.setdefault(c, (v,))
-                return found, [f"Matched '{word}' to {near[0][2]} by closest spelling."]
-        return {}, []
+        doubtful = [w for w in asked if len(w) >= 4 and w not in SILENT and w not in accounted]
+        near = self.values.near(table, doubtful) if doubtful else {}
+        word = next((w for w in doubtful if near.get(w)), None)
+        if word is None:
+            return {}, []
+        for c, v in near[word]:
+            found.setdefault(c, (v,))
+        return found, [f"No value is spelt '{word}'; {near[word][0][1]} comes nearest."]
 
     def _one_reading(self, table: str, found: dict[str, tuple[str, ...]], asked: list[str]) -> dict[str, tuple[str, ...]]:
         """A value of several columns filters the one that the question names; if it names none or several, the question is open."""
@@ -275,5 +328,8 @@ class Asker:
 
     def rows(self, question: str, hint: str | None = None) -> DataFrame:
         table, plan = self.resolve(question, hint)
+        return compile_plan(self.open(table), plan, plan.normals and self.open(plan.normals.table))
+
+    def open(self, table: str) -> DataFrame:
         df = self.tables[table][0]
-        return compile_plan(df() if callable(df) else df, plan)
+        return df() if callable(df) else df

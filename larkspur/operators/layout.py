@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame
 from ..sources.workbook import PROBE_COLS, PROBE_ROWS
 from .reshape import TOTALS
 
-BLOCKS = "path string, sheet string, block int, kind string, r0 int, r1 int, c0 int, c1 int, body int, header array<string>, context map<string,string>, totals int, confidence double"
+BLOCKS = "path string, sheet string, block int, kind string, r0 int, r1 int, c0 int, c1 int, body int, head int, header array<string>, context map<string,string>, totals int, confidence double"
 KINDS = ("", "TEXT", "NUM", "DATE", "BOOL")
 EMPTY, TEXT, NUM, DATE, BOOL = range(5)
 # Weights of a header's score, and the scores that count.
 WEIGHTS = {"text": 0.34, "differs": 0.28, "styled": 0.16, "unique": 0.10, "dense": 0.12}
 HEADER, SECOND_HEADER, STACKED_HEADER, ABOVE_STACKED = 0.45, 0.62, 0.70, 0.55
 HEADER_ROWS, BODY_ROWS, DEEPEST = 4, 8, 10
+# Confidences of blocks, and what shares of fitting cells add to them.
+FRAGMENT, BANNER, PAIRS, CROSSTAB, TABLE, SURE = 0.3, 0.9, (0.75, 0.2), (0.6, 0.3), 0.15, 0.99
 
 
 @dataclass
@@ -32,8 +34,9 @@ class Block:
     c0: int
     c1: int
     kind: str = "fragment"
-    confidence: float = 0.3
+    confidence: float = FRAGMENT
     body: int = 0
+    head: int = 0  # rows of the header
     header: list = field(default_factory=list)
     context: dict = field(default_factory=dict)
     totals: int | None = None
@@ -168,20 +171,32 @@ def _unstack(s: Sheet, b: Block) -> list[Block]:
     return [Block(x, y, b.c0, b.c1) for x, y in zip(starts, ends) if y > x]
 
 
-def _header(s: Sheet, b: Block) -> tuple[list[int], float]:
-    scores = {r: s.score(r, b) for r in range(b.r0, min(b.r0 + HEADER_ROWS, b.r1))}
-    if not scores or max(scores.values()) <= 0:
-        return [b.r0] if scores else [], 0.0
-    best = max(scores, key=scores.get)
-    second = best + 1 < b.r1 and s.score(best + 1, b) > SECOND_HEADER
-    return [best, best + 1] if second else [best], scores[best]
+def _header(s: Sheet, b: Block) -> tuple[range, float]:
+    """Rows of a block's header, none, one or two, and the score of the first: the best of those at the top, the upper of equal ones."""
+    top = np.array([s.score(r, b) for r in range(b.r0, min(b.r0 + HEADER_ROWS, b.r1))])
+    if not len(top):
+        return range(0), 0.0
+    at = int(top.argmax()) if top.any() else 0
+    first = b.r0 + at
+    two = bool(top.any()) and first + 1 < b.r1 and s.score(first + 1, b) > SECOND_HEADER
+    return range(first, first + 1 + two), float(top[at])
+
+
+def _labels(s: Sheet, b: Block, rows: range) -> list[str]:
+    """A label for each column: what its header cells say, a text twice only once, or else its place."""
+    said = s.text[rows.start : rows.stop, b.c0 : b.c1 + 1]
+    out = []
+    for c, column in enumerate(said.T, b.c0):
+        texts = pd.unique(pd.Series(column, dtype=object).dropna().astype(str).str.strip())
+        out.append(" / ".join(texts) or f"col_{c}")
+    return out
 
 
 def _name(s: Sheet, b: Block) -> None:
     """Sets a block's kind."""
     kinds = s.kind[b.r0 : b.r1 + 1, b.c0 : b.c1 + 1]
     if b.height == 1 and b.width != 2:
-        b.kind, b.confidence = "banner", 0.9
+        b.kind, b.confidence = "banner", BANNER
         return
     rows, score = _header(s, b)
     left = (kinds[:, 0] == TEXT).mean()
@@ -193,23 +208,20 @@ def _name(s: Sheet, b: Block) -> None:
         # names and texts without a header, few rows: pairs too, though all values are of one kind
         plain = b.height <= 3 and bool((right == TEXT).all())
         if left >= 0.8 and (right > 0).mean() >= 0.6 and (mixed or plain):
-            b.kind, b.confidence = "key_value", 0.75 + 0.2 * float(left)
+            b.kind, b.confidence = "key_value", PAIRS[0] + PAIRS[1] * float(left)
             return
     if b.height == 1:
-        b.kind, b.confidence = "banner", 0.9
+        b.kind, b.confidence = "banner", BANNER
         return
-    b.body = rows[-1] + 1 if rows else b.r0
-    for c in range(b.c0, b.c1 + 1):
-        parts = [str(s.text[r, c]).strip() for r in rows if s.text[r, c] is not None]
-        b.header.append(" / ".join(dict.fromkeys(parts)) or f"col_{c}")
+    b.body, b.head, b.header = rows.stop if rows else b.r0, len(rows), _labels(s, b, rows)
     body = s.kind[b.body : b.r1 + 1, b.c0 : b.c1 + 1]
     if b.width >= 3 and b.height >= 3 and rows:
         heads, inner = set(s.kind[rows[0], b.c0 + 1 : b.c1 + 1].tolist()) - {EMPTY}, body[:, 1:]
         numeric = float((inner == NUM).sum() / max(1, (inner > 0).sum()))
         if heads and heads <= {DATE, NUM} and numeric >= 0.75 and (body[:, 0] == TEXT).mean() >= 0.7:
-            b.kind, b.confidence = "crosstab", 0.6 + 0.3 * numeric
+            b.kind, b.confidence = "crosstab", CROSSTAB[0] + CROSSTAB[1] * numeric
     if b.kind == "fragment" and b.height >= 3 and b.width >= 2 and score >= HEADER:
-        b.kind, b.confidence = "table", min(0.99, score + 0.15)
+        b.kind, b.confidence = "table", min(SURE, score + TABLE)
     if b.kind in ("table", "crosstab"):
         marks = [r for r in range(b.body, b.r1 + 1) if any(re.match(TOTALS, str(x).lower()) for x in s.text[r, b.c0 : min(b.c0 + 2, b.c1 + 1)] if x is not None)]
         b.totals = max(marks, default=None)
@@ -248,7 +260,7 @@ def segment(s: Sheet) -> list[Block]:
         _name(s, b)
     for r in np.flatnonzero(lone).tolist():
         cols = np.flatnonzero(full[r])
-        blocks.append(Block(r, r, int(cols[0]), int(cols[-1]), "banner", 0.9))
+        blocks.append(Block(r, r, int(cols[0]), int(cols[-1]), "banner", BANNER))
     blocks.sort(key=lambda b: (b.r0, b.c0))
     _around(s, blocks)
     return [b for b in blocks if b.kind != "fragment" or b.height * b.width > 4]
@@ -256,7 +268,7 @@ def segment(s: Sheet) -> list[Block]:
 
 def _of_sheet(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
     found = segment(Sheet(cells))
-    rows = [(*key, i, b.kind, b.r0, b.r1, b.c0, b.c1, b.body, b.header, b.context, b.totals, float(b.confidence)) for i, b in enumerate(found)]
+    rows = [(*key, i, b.kind, b.r0, b.r1, b.c0, b.c1, b.body, b.head, b.header, b.context, b.totals, float(b.confidence)) for i, b in enumerate(found)]
     out = pd.DataFrame(rows, columns=[x.split()[0] for x in BLOCKS.split(", ")])
     return out.astype({"totals": "Int32"})
 

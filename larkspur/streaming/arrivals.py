@@ -14,20 +14,19 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def watch(spark: SparkSession, folder: str, warehouse: Warehouse, checkpoint: str, pattern: str = "*.xlsx", refused: Callable[[str, EngineError], None] | None = None):
-    """A query that ingests each new file once; a batch run twice finds its files by their hashes and writes nothing.
+    """A query that ingests each new file once, whole batches together; a batch run twice finds its files by their hashes and writes nothing.
 
     A file without tables ends the query, or goes to ``refused`` with its error.
     """
     new = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).load(folder).select("path")
 
     def take(batch: DataFrame, _: int) -> None:
-        for r in batch.toLocalIterator():  # paths alone
-            try:
-                warehouse.ingest(r["path"])
-            except EngineError as e:
+        paths = [r["path"] for r in batch.collect()]  # paths alone
+        for path, done in zip(paths, warehouse.ingest_many(paths)) if paths else ():
+            if "error" in done:
                 if refused is None:
-                    raise
-                refused(r["path"], e)
+                    raise done["error"]
+                refused(path, done["error"])
 
     return new.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -10,3 +10,19 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     return s
+
+
+@pytest.fixture(scope="session")
+def scanned(spark):
+    """A function that tells the filters that a table's scans are given."""
+
+    def told(df):
+        before = spark.conf.get("spark.sql.maxMetadataStringLength")
+        spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+        try:
+            plan = df._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.maxMetadataStringLength", before)
+        return " ".join(x.split("PushedFilters:")[1].split(", ReadSchema")[0] for x in plan.split("\n") if "PushedFilters:" in x)
+
+    return told
