@@ -27,10 +27,13 @@ def words_of(col: Column) -> Column:
 
 
 def _shared(spark: SparkSession) -> str:
-    """The shared folder for copies: that of ``spark.checkpoint.dir``, else one in the warehouse, which all machines share as well."""
+    """The shared folder for copies: that of ``spark.checkpoint.dir``, else one in the warehouse, if all machines can reach that."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "larkspur-checkpoints"))
+        place, house = sc.getConf().get("spark.checkpoint.dir"), spark.conf.get("spark.sql.warehouse.dir")
+        if not place and not sc.master.startswith("local") and house.partition(":/")[0] in ("file", house):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share; {house!r} lies on one machine alone")
+        sc.setCheckpointDir(place or os.path.join(house, "larkspur-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

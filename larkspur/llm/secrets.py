@@ -1,27 +1,33 @@
-"""Secret scans: fixed patterns, and two character Markov models for the rest.
+"""Secret scans: fixed patterns, and character Markov models for the rest.
 
 Base spans come from three patterns.  Every other run of at least ``SHORTEST``
-key characters, with base spans cut out of the text first, is scored by two
-first-order Markov models over its characters, one of random strings and one of
-ordinary identifiers.  It is reported as ``markov`` if the log-likelihood ratio
-reaches ``threshold`` for each pair of characters and ``total`` in all, which
-asks more of a short run.
-
-Both models are trained on labelled samples.  Random: ``RANDOM_ROWS`` strings
-each in hex, base64 and base62 made from SHA-256 digests.  Ordinary: the words
-of at most ``SAMPLE_DOCS`` documents (those with the smallest hashed ids), and
-identifiers made of neighbouring words (snake and camel case, paths, versions)
-and of digests (UUIDs).  A model is a table of 68 x 68 counts whatever the
-corpus, so it travels as a literal.
-
-Defined cases: a null text counts as empty and has no span; repeated rows are
-scanned each; other columns are ignored by ``scan`` and kept by ``redact``; on
-an empty table the words' part of the identifier model is missing.  Offsets are
-code points, ends exclusive.
+key characters, with base spans cut out of the text first, is scored by
+first-order Markov models over its characters: of random strings, one a kind of
+alphabet, and of ordinary identifiers, one a kind of identifier.  It is reported
+as ``markov`` if the log-likelihood ratio of the likeliest random model to the
+likeliest ordinary one reaches ``threshold`` for each pair of characters and
+``total`` in all, which asks more of a short run.
+
+All models are trained on labelled samples.  Random: ``RANDOM_ROWS`` strings
+each in base64, base62 and base32 made from SHA-256 digests.  Ordinary: words
+and names made of neighbouring words (snake and camel case, paths, versions),
+names in capitals, UUIDs, and numbers and times.  The words are those of at most
+``SAMPLE_DOCS`` documents (the smallest hashed ids) and ``NAMES``.  A pair that a
+model has not seen falls back on how often its kind has the second character.
+A model is a table of 68 x 68 numbers whatever the corpus, so it travels as a
+literal.  What is made like a UUID, a time or a number is never reported, though
+it may be a key.
+
+Defined cases: a null text counts as empty and has no span; a long text is
+scanned whole; repeated rows, also of equal or null ids, are scanned each; other
+columns are ignored by ``scan`` and kept by ``redact``; with an empty table the
+words are those of ``NAMES`` alone, and the result is empty.  Offsets are code
+points, ends exclusive.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,7 +46,9 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.
 SHORTEST = 16
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}"
 #: Log-likelihood ratio, in nats: for each pair of characters, and in all.
-THRESHOLD, TOTAL = 0.5, 12.0
+THRESHOLD, TOTAL = 0.9, 16.0
+#: Weight, in pairs, of a kind's own letter frequencies where it has seen few pairs that begin with a letter.
+PRIOR = 4.0
 RANDOM_ROWS = 2000
 SAMPLE_DOCS = 2000
 
@@ -53,61 +61,111 @@ def _pairs(strings: DataFrame, label: str) -> DataFrame:
     return two.groupBy("two").count().select(F.lit(label).alias("label"), "two", "count")
 
 
+# Words that names in programs and paths are made of.
+NAMES = (
+    "access account action address admin application archive array async authentication auto backup base batch binary block boot branch buffer build bundle cache call catalog channel check class client cloud cluster code collection color column command "
+    "common component config connection constant container content context control core count create current data database date debug default delete desktop device directory display document domain download driver dynamic enable encoding engine entry "
+    "environment error event example exception export extension factory feature field file filter format frame function global group handler hash header home host http icon image import index input instance international item java job json kernel key "
+    "label language layout length level library license limit list load local lock log machine main manager map master memory message method model module network node number object option order output package page parameter parser path pattern plugin "
+    "policy port private process profile project property proxy public python query queue range read region release report request resource response result retry root route runtime schema script search security server service session setting share site "
+    "size source space stack start state storage stream string system table target task template temp test text thread time timeout tool total type"
+).split()
+
+
 def random_strings(spark: SparkSession, first: int = 0, rows: int = RANDOM_ROWS) -> DataFrame:
-    """Labelled random strings: hex, base64 and base62 of digests."""
-    seed = spark.range(first, first + rows, 1, 4).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
-    b64 = F.base64(F.unhex("h"))
-    return seed.select(F.explode(F.array("h", F.translate(b64, "=", ""), F.regexp_replace(b64, "[^A-Za-z0-9]", ""))).alias("s"))
+    """Labelled random strings of digests: base64, plain and for file names, and base62."""
+    b64 = F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256)))
+    return spark.range(first, first + rows, 1, 4).select(F.explode(F.array(F.translate(b64, "=", ""), F.translate(b64, "+/=", "-_"), F.regexp_replace(b64, "[^A-Za-z0-9]", ""))).alias("s"))
+
+
+def random_capitals(spark: SparkSession, first: int = 0, rows: int = RANDOM_ROWS) -> DataFrame:
+    """Labelled random strings of capitals and digits."""
+    return spark.range(first, first + rows, 1, 4).select(F.translate(F.sha2(F.col("id").cast("string"), 512), "0123456789abcdef", "A2B3C4D5E6F7GHIJ").alias("s")).unionAll(
+        spark.range(first, first + rows, 1, 4).select(F.regexp_replace(F.upper(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 384)))), "[^A-Z0-9]", "").alias("s"))
+    )
+
+
+_THREE = "transform(sequence(0, (size(p) - 3) div 3), i -> {})"
+_A, _B, _C = (f"lower(p[3 * i + {k}])" for k in range(3))
+NAMES_MADE = (
+    f"concat({_A}, '_', {_B}, '_', {_C})", f"concat({_A}, initcap({_B}), initcap({_C}))", f"concat('/', {_A}, '/', {_B}, '/', {_C})", f"concat('/', {_A}, i % 10, '/', {_B}, '-', {_C}, '/')",
+    f"concat({_A}, '-', {_B}, '-v', i % 10, '_', i % 7, '_', i % 100)",
+)
+CAPITALS_MADE = (f"upper(concat({_A}, '_', {_B}, '_', {_C}))", f"upper({_A})", f"upper(concat({_A}, '_', {_B}, '_', i % 100))", f"upper(concat({_B}, '-', {_C}))")
+
+
+def _made(words: DataFrame, forms: tuple[str, ...], plain: bool) -> DataFrame:
+    """Names made of each three neighbouring words of the arrays ``w`` and, with ``plain``, the words themselves."""
+    d = words.select("w", F.filter(F.transform("w", lambda x: F.regexp_replace(x, "[^A-Za-z]", "")), lambda x: F.char_length(x) > 1).alias("p"))
+    made = [F.when(F.expr("size(p) >= 3"), F.expr(_THREE.format(x))).otherwise(F.array().cast("array<string>")) for x in forms]
+    return d.select(F.explode(F.concat(*([F.col("w")] if plain else []), *made)).alias("s"))
 
 
 def identifiers(words: DataFrame) -> DataFrame:
     """Labelled identifiers, from a frame with an array ``w`` of a text's words: the words, and names made of neighbours."""
-    plain = F.filter(F.transform("w", lambda x: F.regexp_replace(x, "[^A-Za-z]", "")), lambda x: F.char_length(x) > 1)
-    named = words.select("w", plain.alias("p"))
-    three = "transform(sequence(0, (size(p) - 3) div 3), i -> {})"
-    a, b, c = (f"lower(p[3 * i + {k}])" for k in range(3))
-    forms = [
-        f"concat({a}, '_', {b}, '_', {c})", f"concat({a}, initcap({b}), initcap({c}))", f"concat('/', {a}, '/', {b}, '/', {c})",
-        f"concat({a}, '-', {b}, '-v', i % 10, '_', i % 7, '_', i % 100)",
-    ]
-    made = [F.when(F.expr("size(p) >= 3"), F.expr(three.format(x))).otherwise(F.array().cast("array<string>")) for x in forms]
-    return named.select(F.explode(F.concat("w", *made)).alias("s"))
-
-
-def labelled(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Samples of random strings and of ordinary identifiers."""
+    return _made(words, NAMES_MADE, True)
+
+
+def capitals(words: DataFrame) -> DataFrame:
+    """Labelled identifiers in capitals."""
+    return _made(words, CAPITALS_MADE, False)
+
+
+def uuids(spark: SparkSession, first: int = 0, rows: int = RANDOM_ROWS) -> DataFrame:
+    h = spark.range(first, first + rows, 1, 4).select(F.sha2(F.concat(F.lit("uuid"), F.col("id").cast("string")), 256).alias("h"))
+    return h.select(F.concat_ws("-", *[F.substring("h", a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]).alias("s"))
+
+
+def numbers(spark: SparkSession, first: int = 0, rows: int = RANDOM_ROWS) -> DataFrame:
+    """Labelled numbers and times."""
+    d = spark.range(first, first + rows, 1, 4).select(F.abs(F.xxhash64("id")).alias("n"), F.timestamp_seconds(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2_000_000_000))).alias("t"))
+    forms = [F.lpad(F.col("n").cast("string"), 19, "7"), F.concat_ws("-", *[F.substring(F.col("n").cast("string"), a, 4) for a in (1, 5, 9, 13)]), F.concat_ws("/", *[F.substring(F.col("n").cast("string"), a, 3) for a in (2, 5, 8, 11)])]
+    forms += [F.date_format("t", x) for x in ("yyyy-MM-dd'T'HH-mm-ss", "yyyyMMdd'T'HHmmss'Z'", "yyyy-MM-dd'T'HHmmss+0000", "yyyy/MM/dd/HH/mm/ss", "yyyy-MM-dd_HH-mm-ss", "yyyyMMddHHmmssSSS")]
+    return d.select(F.explode(F.array(*forms)).alias("s"))
+
+
+def labelled(spark: SparkSession, docs: DataFrame) -> dict[str, DataFrame]:
+    """Samples of each kind of random strings and of ordinary identifiers."""
     ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    words = settle(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), words_of(text_of()).alias("w"))
+    said = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select(text_of().alias("text"))
+    turns = [" ".join(NAMES[k:] + NAMES[:k]) for k in range(3)] + [" ".join(NAMES[k::7]) for k in range(7)]
+    words = settle(said.unionAll(spark.createDataFrame([(t,) for t in turns * 3], "text string")), words_of(F.col("text")).alias("w"))
     # words that carry a secret would teach the wrong class
-    plain = identifiers(words).where(~F.col("s").rlike(r"[0-9a-f]{16}|AKIA|[0-9].*[A-Za-z].*[0-9].*[A-Za-z]"))
-    return random_strings(spark), plain
+    clean = ~F.col("s").rlike(r"[0-9a-f]{16}|AKIA|[0-9].*[A-Za-z].*[0-9].*[A-Za-z]")
+    return {
+        "random": random_strings(spark), "random_capitals": random_capitals(spark),
+        "names": identifiers(words).where(clean), "capitals": capitals(words).where(clean), "uuids": uuids(spark), "numbers": numbers(spark),
+    }
 
 
-def train(docs: DataFrame) -> list[float]:
-    """Log ratio of the two models' transition probabilities, row by row of ALPHABET."""
-    random, words = labelled(docs.sparkSession, docs)
+def train(docs: DataFrame) -> dict[str, list[float]]:
+    """For each kind the logarithms of its transition probabilities, row by row of ALPHABET."""
+    samples = labelled(docs.sparkSession, docs)
     n = len(ALPHABET)
-    counts = {k: [[0.5] * n for _ in range(n)] for k in ("random", "word")}
-    for label, two, c in _pairs(random, "random").unionAll(_pairs(words, "word")).collect():  # 2 * 68 * 68 rows at most
-        counts[label][ALPHABET.index(two[0])][ALPHABET.index(two[1])] += c
-    ratio = []
-    for a in range(n):
-        r, w = counts["random"][a], counts["word"][a]
-        ratio += [log(r[b] / sum(r)) - log(w[b] / sum(w)) for b in range(n)]
-    return ratio
-
-
-def ratio(s: str, table: list[float]) -> str:
-    """SQL: the log-likelihood ratio of string expression ``s``."""
+    seen = {k: [[0] * n for _ in range(n)] for k in samples}
+    for label, two, c in reduce(DataFrame.unionAll, [_pairs(d, k) for k, d in samples.items()]).collect():  # 6 * 68 * 68 rows at most
+        seen[label][ALPHABET.index(two[0])][ALPHABET.index(two[1])] += c
+    out = {}
+    for k, rows in seen.items():
+        often = [sum(r[b] for r in rows) + 0.5 for b in range(n)]
+        usual = [x / sum(often) for x in often]
+        out[k] = [log((r[b] + PRIOR * usual[b]) / (sum(r) + PRIOR)) for r in rows for b in range(n)]
+    return out
+
+
+def ratio(s: str, tables: dict[str, list[float]]) -> str:
+    """SQL: the log-likelihood ratio of string expression ``s``: the likeliest random kind to the likeliest ordinary one."""
     n = len(ALPHABET)
     cells = f"transform(split({s}, ''), c -> instr('{ALPHABET}', c) - 1)"
-    logs = ", ".join(f"{x:.6g}D" for x in table)
-    return f"aggregate(transform(array({cells}), t -> aggregate(sequence(0, size(t) - 2), 0D, (a, i) -> a + coalesce(get(array({logs}), t[i] * {n} + t[i + 1]), 0D))), 0D, (a, x) -> a + x)"
+    steps = f"transform(sequence(0, size(t) - 2), i -> t[i] * {n} + t[i + 1])"
+    kinds = {k: f"aggregate(j, 0D, (a, x) -> a + coalesce(get(array({', '.join(f'{v:.5g}D' for v in table)}), x), 0D))" for k, table in tables.items()}
+    best = [f"greatest({', '.join(v for k, v in kinds.items() if k.startswith('random') == is_random)})" for is_random in (True, False)]
+    return f"element_at(transform(transform(array({cells}), t -> {steps}), j -> {best[0]} - {best[1]}), 1)"
 
 
-def random_looking(s: str, table: list[float], threshold: float = THRESHOLD, total: float = TOTAL) -> str:
+def random_looking(s: str, tables: dict[str, list[float]], threshold: float = THRESHOLD, total: float = TOTAL) -> str:
     """SQL: does string expression ``s`` look random?  The models decide, nothing else."""
-    return f"exists(array({ratio(s, table)}), r -> r >= {total} and r >= {threshold} * (char_length({s}) - 1))"
+    return f"exists(array({ratio(s, tables)}), r -> r >= {total} and r >= {threshold} * (char_length({s}) - 1))"
 
 
 def _located(d: DataFrame, kinds: dict[str, str]) -> DataFrame:
@@ -140,7 +198,7 @@ def _without(text: str, kind: str, kept: str) -> str:
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, total: float = TOTAL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``spans``: array of struct(start, no, end, kind), by start, then kind as listed."""
-    table = train(docs)
+    tables = train(docs)
     text = F.col("text")
     none = F.array().cast("array<string>")
     d = docs.select(*keep, text_of().alias("text"))
@@ -169,7 +227,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, total: float = TOTAL, ke
         d = settle(d, *keep, "base", F.expr(_without("text", kind, long)).alias("text"))
     d = settle(d, *keep, "base", "text", F.regexp_extract_all(text, F.lit(CANDIDATE), 0).alias("m_markov"))
     d = _located(d, {"markov": CANDIDATE})
-    more = f"transform(filter(p_markov, x -> {random_looking('x.text', table, threshold, total)}), x -> named_struct('start', x.start, 'no', 3, 'end', x.end, 'kind', 'markov'))"
+    more = f"transform(filter(p_markov, x -> {random_looking('x.text', tables, threshold, total)}), x -> named_struct('start', x.start, 'no', 3, 'end', x.end, 'kind', 'markov'))"
     spans = F.expr(f"case when size(p_markov) > 0 then sort_array(concat(base, {more})) else base end")
     return settle(d, *keep, "base", spans.alias("spans"))
 
