@@ -16,12 +16,14 @@ import datetime as dt
 import functools
 import posixpath
 import re
+import threading
 import time
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Hashable
 from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,8 @@ SCHEMAS = {"dataset": DATASET, "table": TABLE, "column": COLUMN, "checksum": CHE
 NAMED = 1000
 #: Times the catalog's lock is tried, and the seconds waited after the first, doubled, tripled and so on.
 TRIES, WAIT = 5, 0.4
+#: Seconds after which a lock that is not renewed is a dead writer's.
+LEASE = 600
 UPLOAD_MB = 256
 #: Columns that the search for a question's tables may give.
 CANDIDATES = 48
@@ -79,21 +83,44 @@ class Warehouse:
 
     @contextlib.contextmanager
     def _alone(self, tries: int = TRIES):
-        """Holds the catalog's lock, a file that one writer alone can make; StorageBusy after ``tries``."""
+        """Holds the catalog's lock, a file that one writer alone can make; StorageBusy after ``tries``.
+
+        The file is renewed as long as it is held; one that was not for ``LEASE``
+        seconds is a dead writer's and is moved away, which one taker alone can do.
+        """
         at, fs = self._at(f"{self.root}/catalog/_lock")
-        for k in range(1, tries + 1):
-            if fs.createNewFile(at):
-                break
-            if k == tries:
+        k = 0
+        while not fs.createNewFile(at):
+            if self._dead(at, fs):
+                continue
+            if (k := k + 1) == tries:
                 raise StorageBusy("another writer holds the catalog")
             time.sleep(WAIT * k)
+        done = threading.Event()
+
+        def renew() -> None:
+            while not done.wait(LEASE / 10):
+                fs.create(at, True).close()
+
+        keeper = threading.Thread(target=renew, daemon=True)
+        keeper.start()
         try:
             yield
         finally:
+            done.set()
+            keeper.join()
             fs.delete(at, False)
 
+    def _dead(self, at, fs) -> bool:
+        """Whether the lock's writer died; then the lock is gone."""
+        with contextlib.suppress(Py4JJavaError):  # it may go meanwhile
+            if time.time() - fs.getFileStatus(at).getModificationTime() / 1000 > LEASE:
+                gone, _ = self._at(f"{self.root}/catalog/_dead-{uuid.uuid4().hex}")
+                return bool(fs.rename(at, gone)) and fs.delete(gone, False)
+        return False
+
     def unlock(self) -> None:
-        """Removes the lock of a writer that died."""
+        """Removes the lock of a writer that died, before its lease ends."""
         self._remove(f"{self.root}/catalog/_lock")
 
     def _add(self, name: str, rows: list[dict]) -> None:
@@ -126,6 +153,12 @@ class Warehouse:
         out = picked.join(live, "dataset_id").join(own, "table_id").orderBy(F.desc("ingested_at"), "filename", "sheet", "block_id")
         return [r.asDict(recursive=True) for r in out.collect()]
 
+    def files(self) -> DataFrame:
+        """A row for each file with active tables: filename, dataset_id and as_of_date of its first dataset, tables, rows."""
+        live = self._state().where("status = 'active'").select("dataset_id", "filename", "as_of_date")
+        per = self._entries("table").join(live, "dataset_id").groupBy("filename")
+        return per.agg(F.min("dataset_id").alias("dataset_id"), F.min("as_of_date").alias("as_of_date"), F.count("*").alias("tables"), F.sum("row_count").alias("rows"))
+
     def _table(self, table_id: str) -> dict:
         found = self._tables(F.col("table_id") == table_id)
         if not found:
