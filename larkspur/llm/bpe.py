@@ -9,8 +9,9 @@ are rows of one array and take their next merge together; long pieces have a
 tree of their own.
 
 Defined cases: a null text counts as empty, with no ids and empty bytes; rows
-repeat as they come; special tokens' strings are ordinary text; other columns
-are ignored.
+repeat as they come; special tokens' strings are ordinary text; a long text is
+encoded whole, piece by piece; other columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations

@@ -18,8 +18,8 @@ Defined cases: null and empty texts, and texts without words, have the empty
 set and link with nothing; a text of fewer than ``words`` words is one shingle;
 rows with equal ids are one document of the link graph, but for rows without
 words, which are alone whatever their id; a row with a null id takes part in no
-group and is kept; other columns are ignored; an empty table gives an empty
-result.
+group and is kept; a long text's set is the one of all its words; other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -8,8 +8,12 @@ Nothing is sorted but histograms, whose size does not depend on the data.
 
 Defined cases: a null source is a source, listed last; a null text has no
 words; rows that are equal in id and text share a hash and are taken together;
-a source without words gets the target 0; other columns are ignored; an empty
-table gives an empty result.
+a source without words gets the target 0; a long text is counted whole; other
+columns are ignored; an empty table gives an empty result.
+
+Limits, a row a source, are counted and broadcast if there are at most ``FEW``;
+otherwise rows are salted before they meet them, so a source that has a third of
+all rows is no hot task.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ SHARE = 1.5
 MOST = 2
 BITS = 12
 LEVELS = 5
+#: Sources whose limits are broadcast, at most; and parts that a source's rows are dealt over where there are more.
+FEW, SALTS = 10_000, 64
 
 
 def _size(text: Column) -> Column:
@@ -61,6 +67,15 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return s.select("source", "source_size", F.coalesce(F.least(F.col("weight") * level, F.col("most")), F.col("most")).alias("target"))
 
 
+def _with_limits(rows: DataFrame, source: str, limits: DataFrame, few: bool) -> DataFrame:
+    """Rows (with ``key``) beside the limits of their source, which are named ``of``."""
+    if few:
+        return rows.join(F.broadcast(limits), F.col(source).eqNullSafe(F.col("of")))
+    salted = rows.withColumn("part_", F.pmod("key", F.lit(SALTS)).cast("int"))
+    each = limits.withColumn("of_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(each, F.col(source).eqNullSafe(F.col("of")) & (F.col("part_") == F.col("of_part"))).drop("part_", "of_part")
+
+
 def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     """source, source_size, target, copies, below: rows get ``copies``, one more if key < below.
 
@@ -71,10 +86,11 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     goals = goals.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
     # lo: hashes below are taken, worth ``got``; the boundary lies in [lo, lo + 2**width)
     state = durable(goals.select("*", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("got"), F.lit(False).alias("closed")))
+    few = state.count() <= FEW
     for level in range(LEVELS):
         width = 60 - BITS * (level + 1)
         now = state.withColumnRenamed("source", "of")
-        inside = sized.select("source", "size", "key").join(now.where("not closed and rest > 0"), F.col("source").eqNullSafe(F.col("of"))).where(
+        inside = _with_limits(sized.select("source", "size", "key"), "source", now.where("not closed and rest > 0"), few).where(
             (F.col("key") >= F.col("lo")) & (F.col("key") < F.col("lo") + F.lit(1 << (width + BITS)))
         )
         hist = inside.groupBy("of", F.shiftright("key", width).alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
@@ -109,11 +125,11 @@ def assign(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     sized = durable(settle(docs, "doc_id", "source", _size(F.col("text")).alias("size"), key.alias("key")))
     limits = thresholds(sized, targets(sized))
     times = (F.col("copies") + F.when(F.col("key") < F.col("below"), F.lit(1)).otherwise(F.lit(0))).alias("times")
-    lim = limits.withColumnRenamed("source", "of")
+    lim, few = limits.withColumnRenamed("source", "of"), limits.count() <= FEW
     if keep == ["doc_id"]:
-        return sized.join(lim, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", times)
+        return _with_limits(sized, "source", lim, few).select("doc_id", "size", "source_size", "target", times)
     d = docs.select(*spec, F.col("source").alias("from"), key.alias("key"), _size(F.col("text")).alias("size"))
-    return d.join(lim, F.col("from").eqNullSafe(F.col("of"))).select(*spec, "size", "source_size", "target", times)
+    return _with_limits(d, "from", lim, few).select(*spec, "size", "source_size", "target", times)
 
 
 def query(docs: DataFrame) -> DataFrame:

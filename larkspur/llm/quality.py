@@ -6,8 +6,9 @@ the rules that reject) and ablations are bitwise work on the ledger and never
 look at a text again.
 
 Defined cases: a null text counts as empty (no words, so it fails
-``few_words``); rows repeat as often as they come; columns other than
-``doc_id`` and ``text`` are ignored; an empty table gives an empty ledger.
+``few_words``); a long text is measured whole; rows repeat as often as they come;
+columns other than ``doc_id`` and ``text`` are ignored; an empty table gives an
+empty ledger.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ Defined cases: a null text counts as empty; an empty text has no votes and the
 zero fingerprint; a text of fewer than five words is one term; equal texts have
 equal fingerprints; rows repeat as they come; ``next`` follows (doc_id, text)
 order with null ids first and, after the last row, begins again; a lone row
-follows itself; other columns are ignored.
+follows itself; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ matrix (terms x terms), and no sentence has to be left out.
 Defined cases: a null text counts as empty and scores as the intercept alone;
 without labels of both classes every score is the share of toxic labels seen
 (near 0 without any); a document with both labels counts for each; rows repeat
-as they come; other columns are ignored; an empty table gives an empty result.
+as they come; a long text is scored whole; other columns are ignored; an empty
+table gives an empty result.
 Labels, language, source and id are no inputs of a score.
 """
 
