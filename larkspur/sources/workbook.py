@@ -123,7 +123,7 @@ _MERGE = re.compile(rb'<(?:\w+:)?mergeCell\b[^>]*\bref="([^"]+)"')
 _SHARED = re.compile(rb't="s"[^>]*>\s*<(?:\w+:)?v>(\d+)<')
 
 
-def _merges(z: zipfile.ZipFile, part: str) -> list[tuple[int, int, int, int]]:
+def merges(z: zipfile.ZipFile, part: str) -> list[tuple[int, int, int, int]]:
     """Merged ranges (r0, r1, c0, c1); they stand behind the rows, none of which is kept."""
     tail, found = b"", False
     with z.open(part) as f:
@@ -166,8 +166,45 @@ def _cut(z: zipfile.ZipFile, part: str, rows: int | None) -> Iterator[tuple[byte
                 return
 
 
+def sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """Names of a workbook's sheets, and where their XML lies; none for another zip file."""
+    if "xl/workbook.xml" not in z.namelist():
+        return []
+    to, out = {e.get("Id"): e.get("Target") for e in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}, []
+    for e in ET.fromstring(z.read("xl/workbook.xml")).iter():
+        if _tag(e) == "sheet":
+            target = to[next(v for k, v in e.attrib.items() if k.endswith("}id"))]
+            out.append((e.get("name"), target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")))
+    return out
+
+
+def shared_strings(z: zipfile.ZipFile) -> list[str]:
+    out = []
+    if "xl/sharedStrings.xml" in z.namelist():
+        with z.open("xl/sharedStrings.xml") as f:
+            for _, e in ET.iterparse(f):
+                if _tag(e) == "si":
+                    out.append(_all_text(e))
+                    e.clear()
+    return out
+
+
+def style_codes(z: zipfile.ZipFile) -> list[int]:
+    """For each cell format 2 if it is styled, and 1 more if it is a date's."""
+    return [2 * x + y for x, y in _styles(z)]
+
+
+def pieces(z: zipfile.ZipFile, sheet: str, part: str, shared: list[str], styles: list[int], merged: list[tuple[int, int, int, int]], rows: int | None) -> Iterator[dict]:
+    """A sheet's XML in pieces of whole rows, each with the merged ranges, shared strings and styles that it needs."""
+    for head, piece, before, first, last in _cut(z, part, rows):
+        used = sorted({int(m[1]) for m in _SHARED.finditer(piece)})
+        low = max([last, *(r1 for r0, r1, _, _ in merged if first <= r0 <= last)])  # what a merged range covers may lie below the piece
+        near = [m for m in merged if m[0] <= low and m[1] >= first]
+        yield {"sheet": sheet, "first": first, "before": before, "xml": head + piece, "merged": [x for m in near for x in m], "used": used, "shared": [shared[i] for i in used], "styles": styles}
+
+
 def _pieces(rows: int | None):
-    """Stage one: a row for each piece of each sheet, with the merged ranges, shared strings and styles that it needs."""
+    """Stage one: a row for each piece of each sheet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,34 +213,16 @@ def _pieces(rows: int | None):
                 if not zipfile.is_zipfile(data):  # no workbook: a file without cells
                     continue
                 with zipfile.ZipFile(data) as z:
-                    if "xl/workbook.xml" not in z.namelist():
-                        continue
-                    shared = []
-                    if "xl/sharedStrings.xml" in z.namelist():
-                        with z.open("xl/sharedStrings.xml") as f:
-                            for _, e in ET.iterparse(f):
-                                if _tag(e) == "si":
-                                    shared.append(_all_text(e))
-                                    e.clear()
-                    styles = [2 * x + y for x, y in _styles(z)]
-                    to = {e.get("Id"): e.get("Target") for e in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-                    for e in ET.fromstring(z.read("xl/workbook.xml")).iter():
-                        if _tag(e) != "sheet":
-                            continue
-                        target = to[next(v for k, v in e.attrib.items() if k.endswith("}id"))]
-                        part = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")
-                        merged = _merges(z, part)
-                        for head, piece, before, first, last in _cut(z, part, rows):
-                            used = sorted({int(m[1]) for m in _SHARED.finditer(piece)})
-                            low = max([last, *(r1 for r0, r1, _, _ in merged if first <= r0 <= last)])  # what a merged range covers may lie below the piece
-                            near = [m for m in merged if m[0] <= low and m[1] >= first]
-                            row = {"path": path, "sheet": e.get("name"), "first": first, "before": before, "xml": head + piece, "merged": [x for m in near for x in m], "used": used, "shared": [shared[i] for i in used], "styles": styles}
-                            yield pa.RecordBatch.from_pylist([row], PIECES)
+                    found = sheets(z)
+                    shared, styles = (shared_strings(z), style_codes(z)) if found else ([], [])
+                    for sheet, part in found:
+                        for piece in pieces(z, sheet, part, shared, styles, merges(z, part), rows):
+                            yield pa.RecordBatch.from_pylist([{"path": path} | piece], PIECES)
 
     return run
 
 
-def _cells_of(piece: dict, rows: int | None) -> Iterator[tuple]:
+def cells_of(piece: dict, rows: int | None) -> Iterator[tuple]:
     """row, col, raw, kind, styled, wide of a piece."""
     flat = piece["merged"]
     merged = {(r0, c0): (r1, c1) for r0, r1, c0, c1 in zip(*[iter(flat)] * 4)}
@@ -231,7 +250,7 @@ def _cells_of(piece: dict, rows: int | None) -> Iterator[tuple]:
                                 yield r, c, None, found[1], style, r in wide
 
 
-def _held(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+def as_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     """Cells as batches of at most ``BATCH``."""
     held = []
     for x in rows:
@@ -247,7 +266,7 @@ def _parsed(rows: int | None):
     """Stage two: the cells of pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _held((p["path"], p["sheet"], *cell) for b in batches for i in range(b.num_rows) for p in b.slice(i, 1).to_pylist() for cell in _cells_of(p, rows))
+        yield from as_batches((p["path"], p["sheet"], *cell) for b in batches for i in range(b.num_rows) for p in b.slice(i, 1).to_pylist() for cell in cells_of(p, rows))
 
     return run
 
@@ -343,7 +362,7 @@ def _records(begins: dict[tuple[str, int], tuple[int, bool]], parts: bool):
                         yield part(held)
                     row, held, shared = row + 1, [], False
             if not parts:
-                yield from _held(whole(key, done))
+                yield from as_batches(whole(key, done))
         if key and held and parts:
             yield part(held)
 
@@ -354,7 +373,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     csv.field_size_limit(2**31 - 1)
     for b in batches:
         for path, row, text in zip(*(c.to_pylist() for c in b.columns)):
-            yield from _held((path, _name(path), row, c, raw, kind_of(raw), False, False) for fields in csv.reader([text], delimiter=_sep(path)) for c, raw in enumerate(fields) if raw.strip())
+            yield from as_batches((path, _name(path), row, c, raw, kind_of(raw), False, False) for fields in csv.reader([text], delimiter=_sep(path)) for c, raw in enumerate(fields) if raw.strip())
 
 
 def _name(path: str) -> str:

@@ -372,8 +372,10 @@ class Warehouse:
             words = nlq.telling(question)
             find = lambda ws: list(dict.fromkeys(r["table_id"] for r in lexicon.search(self._live("posting"), self._live("lex_stat"), ws, CANDIDATES, "column").collect()))
             ids = find(words) or find(sorted({w[: nlq.FIRST_LETTERS] for w in words if len(w) >= nlq.FIRST_LETTERS}))
-        named = {}
-        for t in self._tables(F.col("table_id").isin(*ids)) if ids else []:
+        which, named = F.col("table_id").isin(*ids), {}
+        if set(nlq.DEPARTURES) & set(question.lower().split()):
+            which = which | F.lower("sheet").contains("normal")
+        for t in self._tables(which) if ids else []:
             cols = []
             for c in t["columns"]:
                 words = nlq._words(c["name"]) + ([] if c["role"] != "measure" or c["slug"] != "value" else nlq._words(t["sheet"]))
