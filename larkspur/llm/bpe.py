@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import tidy
 from .textops import Lookup
 
 #: Pieces kept with their ids by each worker; more than that and it starts anew.
@@ -301,7 +302,7 @@ def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema + ", ids array<int>" * with_ids)
 
 
 def query(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import stored
+from .common import stored, tidy
 
 #: Documents of a block.
 BLOCK = 1024
@@ -92,7 +92,7 @@ def _counted(known: dict[bytes, int], id_type: pa.DataType):
 def counts(docs: DataFrame, known: dict[bytes, int]) -> DataFrame:
     """A row for each block of documents, with the postings of the known terms, numbered as given."""
     kind = docs.schema["doc_id"].dataType
-    return stored(docs.select("doc_id", "text").mapInArrow(_counted(known, to_arrow_type(kind)), f"ids array<{kind.simpleString()}>, {COUNTS}"))
+    return stored(docs.select("doc_id", "text").mapInArrow(tidy(_counted(known, to_arrow_type(kind))), f"ids array<{kind.simpleString()}>, {COUNTS}"))
 
 
 def statistics(counted: DataFrame) -> tuple[int, int, dict[int, int]]:
@@ -146,7 +146,7 @@ def _indexed(many: int, length: int, df: dict[int, int], id_type: pa.DataType):
 def index(counted: DataFrame, many: int, length: int, df: dict[int, int]) -> DataFrame:
     """A row for each block: ids in order, and for each term its bitmaps."""
     kind = counted.schema["ids"].dataType
-    return counted.select("ids", "n", "term", "at", "tf").mapInArrow(_indexed(many, length, df, to_arrow_type(kind.elementType)), f"ids {kind.simpleString()}, term array<int>, start array<int>, slices array<array<binary>>")
+    return counted.select("ids", "n", "term", "at", "tf").mapInArrow(tidy(_indexed(many, length, df, to_arrow_type(kind.elementType))), f"ids {kind.simpleString()}, term array<int>, start array<int>, slices array<array<binary>>")
 
 
 def added(a: list[int], b: list[int]) -> list[int]:
@@ -216,7 +216,7 @@ def search(indexed: DataFrame, queries: list[tuple[object, list[int]]], item_typ
     """item_id, doc_id, score: the best ``k`` of each task for each query, given as its id and its terms' numbers."""
     kind = indexed.schema["ids"].dataType.elementType
     run = _searched(queries, k, to_arrow_type(item_type), to_arrow_type(kind))
-    return indexed.select("ids", "term", "start", "slices").mapInArrow(run, f"item_id {item_type.simpleString()}, doc_id {kind.simpleString()}, score long")
+    return indexed.select("ids", "term", "start", "slices").mapInArrow(tidy(run), f"item_id {item_type.simpleString()}, doc_id {kind.simpleString()}, score long")
 
 
 def rank(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:

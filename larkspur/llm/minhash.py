@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 from .textops import mix, rows_of_words
 
 SIDE = 12
@@ -269,7 +269,7 @@ def components(edges: DataFrame) -> DataFrame:
 def cluster(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: links have den * |both| >= num * |either|."""
     d = docs.select("doc_id", "text")
-    sig = stored(d.mapInArrow(_signatures(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, keys array<long>"))
+    sig = stored(d.mapInArrow(tidy(_signatures(words)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, keys array<long>"))
     full = sig.where("n_shingles > 0 and doc_id is not null")
     classes = stored(full.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys")))
     stars = _link(d, classes, words, num, den)
@@ -300,7 +300,7 @@ def _link(d: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> D
     if buckets.isEmpty():
         return none
     wanted = stored(classes.select("node", F.col("low").alias("doc_id")).join(buckets.select("node").distinct(), "node", "left_semi"))
-    sets = d.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(_sets(words), "node long, size long, sketch binary, set binary")
+    sets = d.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(tidy(_sets(words)), "node long, size long, sketch binary, set binary")
     sets = stored(sets)
     if sets.count() > wanted.count():  # repeated rows, or other texts with the same ids
         sets = stored(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))

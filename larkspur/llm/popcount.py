@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 from .minhash import components
 
 WORDS, SEED, RADIUS = 3, 42, 3
@@ -85,7 +85,7 @@ def _fingerprints(words: int):
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id and ``fp``, the fingerprint as a signed number, for each row."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_fingerprints(words)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def point(fp: Column) -> Column:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import durable, free_name
+from .common import durable, free_name, tidy
 
 #: Labelled documents of each class that are trained on, at most.
 SAMPLE = 4000
@@ -216,7 +216,7 @@ def score(docs: DataFrame, model: tuple[float, dict[str, float]], keep: str | li
                 out = 1 / (1 + np.exp(-np.clip(np.array(z), -40, 40)))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(out)], names=[*keep, name])
 
-    return docs.select(*keep, "text").mapInArrow(run, StructType([*(docs.schema[c] for c in keep), StructField(name, DoubleType())]))
+    return docs.select(*keep, "text").mapInArrow(tidy(run), StructType([*(docs.schema[c] for c in keep), StructField(name, DoubleType())]))
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
