@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import month_number
+from ..functions.scalars import MONTHS
+
+
+def _month(name: str) -> int | None:
+    """As ``month_number``, for a column's name."""
+    t = re.sub("[^A-Za-z]", "", name).lower()
+    return next((k for k, m in enumerate(MONTHS, 1) if len(t) >= 3 and m.startswith(t)), None)
 
 
 def melt(df: DataFrame, ids: list[str], periods: list[str]) -> DataFrame:
-    """ids, period, period_month, value; nulls stay."""
-    long = df.unpivot([F.col(c) for c in ids], [F.col(c).cast("double").alias(c) for c in periods], "period", "value")
-    return long.select(*ids, "period", month_number(F.col("period")).cast("long").alias("period_month"), "value")
+    """ids, period, period_month, value; nulls stay.  Months come from the columns' names, once."""
+    long = [F.struct(F.lit(p).alias("period"), F.lit(_month(p)).cast("long").alias("period_month"), F.col(f"`{p}`").cast("double").alias("value")) for p in periods]
+    return df.select(*[F.col(f"`{c}`") for c in ids], F.inline(F.array(*long)))
 
 
 def derived(df: DataFrame, total: str, parts: list[str], within: float = 0.02, least: int = 3, share: float = 0.8) -> DataFrame:
