@@ -40,13 +40,26 @@ def parse_number(c: Column) -> Column:
     )
 
 
+def _spellings(months) -> str:
+    """A pattern of the months' names, and of what begins them with three letters at least."""
+    cut = lambda name: name[:3] + "".join(f"(?:{x}" for x in name[3:]) + ")?" * len(name[3:])
+    return "^(?:" + "|".join(cut(MONTHS[k - 1]) for k in sorted(set(months)) if 1 <= k <= 12) + ")$"
+
+
+def _letters(c: Column) -> Column:
+    return F.lower(F.regexp_replace(c, r"[^A-Za-z]", ""))
+
+
 def month_number(c: Column) -> Column:
     """1..12 from a month's name or at least its first three letters, else null."""
-    t = F.lower(F.regexp_replace(F.trim(c), r"[^A-Za-z]", ""))
-    out = F.when(F.lit(False), F.lit(0))
-    for k, m in enumerate(MONTHS, 1):
-        out = out.when((F.char_length(t) >= 3) & F.startswith(F.lit(m), t), F.lit(k))
-    return out
+    first = F.create_map(*[F.lit(x) for k, m in enumerate(MONTHS, 1) for x in (m[:3], k)])
+    t = _letters(c)
+    return F.when(t.rlike(_spellings(range(1, 13))), F.try_element_at(first, F.left(t, F.lit(3))))
+
+
+def in_months(c: Column, months) -> Column:
+    """As ``month_number(c).isin(*months)``, by one pattern."""
+    return _letters(c).rlike(_spellings(months))
 
 
 def season(month: Column) -> Column:

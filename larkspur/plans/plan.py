@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import QueryFailed, Unanswerable
-from ..functions.scalars import departure, departure_band, month_number
+from ..functions.scalars import departure, departure_band, in_months, month_number
 
 AGGREGATES = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min, "count": F.count}
 #: A top-k keeps its rows in one heap, so larger limits are refused.
@@ -139,7 +139,7 @@ def _in_time(df: DataFrame, t: TimeSpec) -> list[Column]:
         if place is None:
             raise Unanswerable(f"the table has no month column, so {t.label or 'the months'} cannot be applied")
         c = F.col(place)
-        out.append((month_number(c) if kinds[place] == "string" else c).isin(*t.months))
+        out.append(in_months(c, t.months) if kinds[place] == "string" else c.isin(*t.months))
     if t.years or t.year_from or t.year_to:
         place = next((c for c in ("year", "period_year") if c in kinds), None)
         if place is None:

@@ -184,3 +184,14 @@ def test_departures_from_normals(spark):
     assert (one.metric_value, one.normal) == (65.0, 111.0)
     with pytest.raises(Unanswerable):
         nlq.Asker({"t": (rain, cols)}).resolve("departure of rain by station")
+
+
+def test_months_in_text_take_one_pattern(spark):
+    said = ["Jan", "january", " JANUA. ", "ja", "januaryx", "May", "Sept", "xmay", "", None, "2-Dec", "decem ber"]
+    df = spark.createDataFrame([(x,) for x in said], "c string")
+    want = [1, 1, 1, None, None, 5, 9, None, None, None, 12, 12]
+    assert [r[0] for r in df.select(S.month_number(S.F.col("c"))).collect()] == want
+    assert [r[0] for r in df.select(S.in_months(S.F.col("c"), (1, 9)))
+            .collect()] == [None if x is None else k in (1, 9) for x, k in zip(said, want)]
+    plan = compile_plan(df.selectExpr("c as month", "1 as v"), Plan("aggregate", "v", time=TimeSpec(months=(1, 2))))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
