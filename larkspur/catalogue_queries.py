@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import lexicon, nlq
@@ -155,11 +155,22 @@ _add(
 _add("context_columns", lambda s, d: _t(s, d, "region").withColumns({"station": F.lit("PUNE"), "period": F.lit("1991-2020")}), "select *, 'PUNE' as station, '1991-2020' as period from region")
 
 
+def _numbered(df: DataFrame, by: str, pieces: int = 64) -> DataFrame:
+    """The rows with their number ``_no`` from 0 in the order of ``by``: counted in each of so many ranges of it, after what stands before the range."""
+    cuts = df.agg(F.percentile_approx(by, [k / pieces for k in range(1, pieces)], 10_000)).first()[0] or []
+    piece = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(cuts))]), lambda x: x <= F.col(by))) if cuts else F.lit(0)
+    d, before, begins = df.withColumn("_piece", F.when(F.col(by).isNull(), F.lit(pieces)).otherwise(piece)), 0, []
+    for r in d.groupBy("_piece").count().orderBy("_piece").collect():
+        begins += [F.lit(r["_piece"]), F.lit(before)]
+        before += r["count"]
+    no = F.row_number().over(Window.partitionBy("_piece").orderBy(F.col(by).asc_nulls_last())) - 1
+    return d.withColumn("_no", no + (F.create_map(*begins)[F.col("_piece")] if begins else F.lit(0))).drop("_piece")
+
+
 def _sheet(df: DataFrame, by: str, top: int = 1) -> DataFrame:
-    """The cells of a sheet that holds a table under a bold header; ``by`` counts its rows without gaps."""
-    no = (F.col(by) - df.agg(F.min(by)).first()[0] + top).cast("int")
+    """The cells of a sheet that holds a table under a bold header, its rows in the order of ``by``."""
     texts = F.array(*[F.col(c).cast("string") for c in df.columns])
-    rows = df.select(no.alias("row"), texts.alias("texts")).select("row", F.posexplode("texts").alias("col", "raw"))
+    rows = _numbered(df, by).select((F.col("_no") + top).cast("int").alias("row"), texts.alias("texts")).select("row", F.posexplode("texts").alias("col", "raw"))
     heads = df.sparkSession.range(1).select(F.lit(top - 1).alias("row"), F.posexplode(F.array(*[F.lit(c) for c in df.columns])).alias("col", "raw"))
     every = rows.withColumn("bold", F.lit(False)).unionAll(heads.withColumn("bold", F.lit(True)))
     kind = F.when(F.col("raw").rlike(S.NUMBER), "NUM").otherwise("TEXT")

@@ -40,6 +40,7 @@ class Column:
     derived_of: list[str] = field(default_factory=list)
     null_fraction: float = 0.0
     sample: list[str] = field(default_factory=list)
+    counts: int | None = None  # in a column that goes up by one with each row, the number that the sheet's row 0 would have
 
     @property
     def is_period(self) -> bool:
@@ -90,28 +91,32 @@ def period_of(label: str) -> tuple[int | None, int | None]:
 
 
 def natures(cells: DataFrame) -> DataFrame:
-    """table, col, rows, present, dated, numeric, unique, yearly, sample for each column with a cell; cells: table, row, col, raw, kind.
+    """table, col, rows, present, dated, numeric, unique, yearly, sample, counts for each column with a cell; cells: table, row, col, raw, kind.
 
     Blank cells and missing codes are not present; a column is numeric if four
-    fifths of what is present are numbers, traces among them.
+    fifths of what is present are numbers, traces among them.  One of which all
+    numbers are as far from their rows' numbers ``counts`` from there.
     """
     c = cells.select("table", "row", "col", "kind", F.trim("raw").alias("said"), parse_number(F.col("raw")).alias("p"))
     here, value = ~F.col("p.is_missing"), F.col("p.value")
     year = value.between(1800, 2200) & (value == F.floor(value))
+    ahead = value - F.col("row")
     per = c.groupBy("table", "col").agg(
         F.count_if(here).alias("present"), F.count("p.value").alias("numbers"), F.count_if(F.col("kind") == "DATE").alias("dates"),
         F.count_if(year).alias("years"), F.collect_set(F.when(here, F.col("said"))).alias("seen"),  # of ``SAMPLE`` rows
+        F.min(ahead).alias("least"), F.max(ahead).alias("most"),
     )
     rows = c.groupBy("table").agg(F.count_distinct("row").alias("rows"))
     return per.join(rows, "table").select(
         "table", "col", "rows", "present", (F.col("dates") > 0).alias("dated"), (5 * F.col("numbers") >= 4 * F.greatest("present", F.lit(1))).alias("numeric"),
         ((F.size("seen") == F.col("present")) & (F.col("present") > 2)).alias("unique"), ((F.col("years") == F.col("present")) & (F.col("present") > 0)).alias("yearly"),
         F.slice(F.sort_array("seen"), 1, 20).alias("sample"),
+        F.when((F.col("numbers") > 2) & (F.col("numbers") == F.col("present")) & (F.col("least") == F.col("most")) & (F.col("least") == F.floor("least")), F.col("least").cast("long")).alias("counts"),
     )
 
 
 #: A column that no cell was seen in.
-_EMPTY = {"rows": 1, "present": 0, "dated": False, "numeric": False, "unique": False, "yearly": False, "sample": []}
+_EMPTY = {"rows": 1, "present": 0, "dated": False, "numeric": False, "unique": False, "yearly": False, "sample": [], "counts": None}
 
 
 def described(header: list[str], first: int, seen: dict[int, dict]) -> list[Column]:
@@ -130,6 +135,7 @@ def described(header: list[str], first: int, seen: dict[int, dict]) -> list[Colu
             c.role = "identifier"
         if c.role == "measure":
             c.kind, c.unit, c.month, c.year = "double", unit_of(name), month, year
+            c.counts = None if c.is_period else is_["counts"]
         out.append(c)
     return out
 

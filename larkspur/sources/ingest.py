@@ -18,6 +18,7 @@ from pyspark.sql import Column as Expr
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..copies import stored
 from ..errors import IngestFailed
 from ..functions.scalars import parse_number, row_hash
 from ..operators import layout
@@ -46,7 +47,7 @@ class Recipe:
     @property
     def layout(self) -> tuple:
         """What tables that are made together have in common."""
-        return tuple((c.name, c.slug, c.role, c.kind, c.at - self.c0, c.month, c.year, c.derived, c.unit) for c in self.columns), tuple((s, n) for s, n, _ in self.context)
+        return tuple((c.name, c.slug, c.role, c.kind, c.at - self.c0, c.month, c.year, c.derived, c.unit, c.counts is not None) for c in self.columns), tuple((s, n) for s, n, _ in self.context)
 
     @property
     def periods(self) -> list[Column]:
@@ -111,7 +112,8 @@ def analyse(cells: DataFrame) -> list[Recipe]:
     first = [(k, b["path"], b["sheet"], b["c0"], b["c1"], b["body"], min(b["r1"], b["body"] + SAMPLE - 1), b["totals"]) for k, b in enumerate(found)]
     at = cells.sparkSession.createDataFrame(first, "table int, in_path string, in_sheet string, c0 int, c1 int, body int, last int, totals int")
     here = (F.col("path") == F.col("in_path")) & (F.col("sheet") == F.col("in_sheet")) & F.col("col").between(F.col("c0"), F.col("c1")) & F.col("row").between(F.col("body"), F.col("last"))
-    part = cells.where(F.col("raw").isNotNull()).join(at, here & (F.col("totals").isNull() | (F.col("row") != F.col("totals")))).select("table", "row", "col", "raw", "kind")
+    # a copy, small as it is, so that no number is read beyond it
+    part = stored(cells.where(F.col("raw").isNotNull()).join(F.broadcast(at), here & (F.col("totals").isNull() | (F.col("row") != F.col("totals")))).select("table", "row", "col", "raw", "kind"))
     seen: dict[int, dict[int, dict]] = {}
     for x in natures(part).collect():
         seen.setdefault(x["table"], {})[x["col"]] = x.asDict()
@@ -173,7 +175,18 @@ def replay(cells: DataFrame, recipes: list[Recipe]) -> list[Recipe]:
     extent = {x["table"]: x for x in ended.groupBy("table").agg(F.max("row").alias("end"), F.max(F.when(F.col("mark"), F.col("row"))).alias("totals")).collect()}
     if len(extent) < len(moved):
         raise IngestFailed("a header of the stored layout has no rows below it")
-    return [replace(r, r1=extent[i]["end"], totals=extent[i]["totals"]) for i, r in enumerate(moved)]
+    return _recounted(cells, [replace(r, r1=extent[i]["end"], totals=extent[i]["totals"]) for i, r in enumerate(moved)])
+
+
+def _recounted(cells: DataFrame, recipes: list[Recipe]) -> list[Recipe]:
+    """The recipes, in which columns that count their rows do so from where they begin in these files, or no longer do."""
+    if not any(c.counts is not None for r in recipes for c in r.columns):
+        return recipes
+    ends = cells.sparkSession.createDataFrame([(i, min(r.r1, r.body + SAMPLE - 1)) for i, r in enumerate(recipes)], "table int, stop int")
+    part = _placed(cells, recipes).join(F.broadcast(ends), "table").where("row <= stop").select("table", "row", F.col("k").alias("col"), "raw", F.lit("").alias("kind"))
+    seen = {(x["table"], x["col"]): x["counts"] for x in natures(stored(part)).collect()}
+    new = lambda i, r, c: c if c.counts is None else replace(c, counts=seen.get((i, c.at - r.c0)))
+    return [replace(r, columns=tuple(new(i, r, c) for c in r.columns)) for i, r in enumerate(recipes)]
 
 
 def fingerprint(recipes: list[Recipe]) -> str:
@@ -193,6 +206,7 @@ def by_layout(recipes: list[Recipe]) -> list[list[int]]:
 def wide(cells: DataFrame, recipes: list[Recipe]) -> DataFrame:
     """One row for each row of the tables, totals rows too: table, row, is_total, and a text ``c<k>`` for each column.
 
+    With ``n<k>`` for each column that counts its rows: the number that it has come to.
     The recipes are of one layout.
     """
     part = _placed(cells, recipes)
@@ -203,11 +217,19 @@ def wide(cells: DataFrame, recipes: list[Recipe]) -> DataFrame:
     label = lambda c: F.coalesce(F.lower(F.col(f"c{c.at - r.c0}")).rlike(TOTALS), F.lit(False))
     heads = [label(c) for c in r.columns[:2] if c.role != "measure"]
     total = heads[0] | heads[1] if len(heads) == 2 else heads[0] if heads else F.lit(False)
+    if own := [c for c in r.columns if c.counts is not None]:
+        ks = [c.at - r.c0 for c in own]
+        starts = [(i, *[c.counts for c in x.columns if c.counts is not None]) for i, x in enumerate(recipes)]
+        at = cells.sparkSession.createDataFrame(starts, "table int" + "".join(f", n{k} long" for k in ks))
+        rows = rows.join(F.broadcast(at), "table").withColumns({f"n{k}": F.col(f"n{k}") + F.col("row") for k in ks})
     return rows.withColumn("is_total", total)
 
 
 def _typed(c: Column, r: Recipe) -> Expr:
     raw = F.col(f"c{c.at - r.c0}")
+    if c.kind == "double" and c.counts is not None:  # what it has come to is no missing code
+        number, due = F.regexp_replace(raw, r"[,\s]", "").try_cast("double"), F.col(f"n{c.at - r.c0}")
+        return F.when(number == due, number).otherwise(parse_number(raw)["value"])
     if c.kind == "double":
         return parse_number(raw)["value"]
     if c.kind == "long":
