@@ -25,6 +25,15 @@ def parse_number(c: Column) -> Column:
     footnote in brackets.
     """
     t = F.trim(F.coalesce(c, F.lit("")))
+    # a plain number, as nearly all are, takes one pattern
+    number = t.try_cast("double")
+    code = number.isin(*MISSING)
+    plain = F.struct(F.when(~code, number).alias("value"), F.lit(None).cast("string").alias("text"), code.alias("is_missing"), F.lit(False).alias("is_trace"))
+    return F.when(t.rlike(NUMBER), plain).otherwise(_written(t))
+
+
+def _written(t: Column) -> Column:
+    """As ``parse_number``, for any trimmed text."""
     trace = F.lower(t).isin(*TRACE)
     held = t.startswith("(") & t.endswith(")")
     inner = F.regexp_replace(F.regexp_replace(t, r"^[()]+|[()]+$", ""), r"[,\s₹$€£¥]", "")
