@@ -178,8 +178,8 @@ def _sheet(df: DataFrame, by: str, top: int = 1) -> DataFrame:
 
 
 def _ingested(cells: DataFrame) -> DataFrame:
-    """The one table of a sheet, found, described and typed."""
-    (recipe,) = ingest.analyse(cells)
+    """The one table of a sheet without missing codes, found, described and typed."""
+    (recipe,) = ingest.analyse(cells, ())
     return ingest.table(cells, recipe, "d", "2026-01-01")
 
 
@@ -197,7 +197,7 @@ _add(
 def _replayed(s: SparkSession, d: str) -> DataFrame:
     """A table read by the layout of another sheet, in which it stood eight rows higher."""
     t = _t(s, d, "supplier")
-    return ingest.table(moved := _sheet(t, "s_suppkey", 9), ingest.replay(moved, ingest.analyse(_sheet(t, "s_suppkey")))[0], "d", "2026-01-01")
+    return ingest.table(moved := _sheet(t, "s_suppkey", 9), ingest.replay(moved, ingest.analyse(_sheet(t, "s_suppkey"), ()))[0], "d", "2026-01-01")
 
 
 _add(

@@ -16,10 +16,10 @@ BANDS = (("Large Excess", 60.0), ("Excess", 20.0), ("Normal", -19.0), ("Deficien
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
-def parse_number(c: Column) -> Column:
+def parse_number(c: Column, missing: tuple[float, ...] = MISSING) -> Column:
     """struct(value, text, is_missing, is_trace) of a text cell.
 
-    Blank and the missing codes give no value; trace words give 0.0 and the
+    Blank and the codes in ``missing`` give no value; trace words give 0.0 and the
     trace flag; brackets around the whole negate; a percent sign, in brackets
     too, divides by 100; other text is passed on as text, also a number with a
     footnote in brackets.
@@ -27,12 +27,12 @@ def parse_number(c: Column) -> Column:
     t = F.trim(F.coalesce(c, F.lit("")))
     # a plain number, as nearly all are, takes one pattern
     number = t.try_cast("double")
-    code = number.isin(*MISSING)
+    code = number.isin(*missing)
     plain = F.struct(F.when(~code, number).alias("value"), F.lit(None).cast("string").alias("text"), code.alias("is_missing"), F.lit(False).alias("is_trace"))
-    return F.when(t.rlike(NUMBER), plain).otherwise(_written(t))
+    return F.when(t.rlike(NUMBER), plain).otherwise(_written(t, missing))
 
 
-def _written(t: Column) -> Column:
+def _written(t: Column, codes: tuple[float, ...]) -> Column:
     """As ``parse_number``, for any trimmed text."""
     trace = F.lower(t).isin(*TRACE)
     held = t.startswith("(") & t.endswith(")")
@@ -40,7 +40,7 @@ def _written(t: Column) -> Column:
     bare = F.regexp_replace(inner, "%+$", "")
     raw = F.when(bare.rlike(NUMBER), bare.try_cast("double"))
     value = raw * F.when(held, F.lit(-1.0)).otherwise(F.lit(1.0)) / F.when(inner.endswith("%"), F.lit(100.0)).otherwise(F.lit(1.0))
-    missing = (t == "") | F.lower(bare).isin("nan", "inf", "-inf") | F.coalesce(value.isin(*MISSING), F.lit(False))
+    missing = (t == "") | F.lower(bare).isin("nan", "inf", "-inf") | F.coalesce(value.isin(*codes), F.lit(False))
     return F.struct(
         F.when(trace, F.lit(0.0)).when(~missing, value).alias("value"),
         F.when(~trace & ~missing & value.isNull(), t).alias("text"),

@@ -2,7 +2,8 @@
 
 The files are monthly sums of line items (wide), sums by flag, status and month
 (long), and the customers, in three files of one layout.  All are ingested
-together, found and typed like any other file.
+together, found and typed like any other file; no number in them stands for a
+missing value.
 """
 
 from __future__ import annotations
@@ -51,9 +52,9 @@ def house(spark: SparkSession, d: str) -> Warehouse:
         w = Warehouse(spark, f"{folder}/house")
         customers = _t(spark, d, "customer").select(F.col("c_custkey").alias("Customer id"), F.col("c_name").alias("Name"), F.col("c_mktsegment").alias("Segment"), F.col("c_acctbal").alias("Balance"))
         early = _written(spark, _flags(spark, d).where("Year <= 1996").coalesce(1), f"{folder}/early", "flags")
-        w.ingest_many(early, AS_OF)
+        w.ingest_many(early, AS_OF, missing=())
         paths = _written(spark, _wide(spark, d).coalesce(1), folder, "monthly") + _written(spark, _flags(spark, d).coalesce(1), folder, "flags")  # sums, a few hundred rows whatever the table
-        for done in w.ingest_many(paths + _written(spark, customers.repartitionByRange(3, "Customer id"), folder, "customers"), AS_OF):
+        for done in w.ingest_many(paths + _written(spark, customers.repartitionByRange(3, "Customer id"), folder, "customers"), AS_OF, missing=()):
             if "error" in done:
                 raise done["error"]
         _houses[key] = w

@@ -15,7 +15,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import MONTHS, SEASONS, parse_number
+from ..functions.scalars import MISSING, MONTHS, SEASONS, parse_number
 
 SAMPLE = 200
 
@@ -90,14 +90,14 @@ def period_of(label: str) -> tuple[int | None, int | None]:
     return next((k for k, n in enumerate(MONTHS, 1) if t in (n, n[:3])), None), None
 
 
-def natures(cells: DataFrame) -> DataFrame:
+def natures(cells: DataFrame, missing: tuple[float, ...] = MISSING) -> DataFrame:
     """table, col, rows, present, dated, numeric, unique, yearly, sample, counts for each column with a cell; cells: table, row, col, raw, kind.
 
     Blank cells and missing codes are not present; a column is numeric if four
     fifths of what is present are numbers, traces among them.  One of which all
     numbers are as far from their rows' numbers ``counts`` from there.
     """
-    c = cells.select("table", "row", "col", "kind", F.trim("raw").alias("said"), parse_number(F.col("raw")).alias("p"))
+    c = cells.select("table", "row", "col", "kind", F.trim("raw").alias("said"), parse_number(F.col("raw"), missing).alias("p"))
     here, value = ~F.col("p.is_missing"), F.col("p.value")
     year = value.between(1800, 2200) & (value == F.floor(value))
     ahead = value - F.col("row")
@@ -151,14 +151,14 @@ def claims(columns: list[Column]) -> list[tuple[Column, list[Column]]]:
     return [(c, of) for c, of in made if len(of) > 1]
 
 
-def confirm_sums(cells: DataFrame, tables: list[list[Column]], within: float = 0.02, least: int = 3, share: float = 0.8) -> None:
+def confirm_sums(cells: DataFrame, tables: list[list[Column]], within: float = 0.02, least: int = 3, share: float = 0.8, missing: tuple[float, ...] = MISSING) -> None:
     """Marks the claimed sums that the numbers bear out, row by row, in one aggregate for all tables; a name alone is not enough."""
     claimed = {(t, c.at): (c, of) for t, columns in enumerate(tables) for c, of in claims(columns)}
     if not claimed:
         return
     links = [(t, at, p.at, False) for (t, at), (_, of) in claimed.items() for p in of] + [(t, at, at, True) for t, at in claimed]
     links = F.broadcast(cells.sparkSession.createDataFrame(links, "table int, claim int, col int, stated boolean"))  # of headers alone
-    v = cells.select("table", "row", "col", parse_number(F.col("raw"))["value"].alias("v")).where("v is not null").join(links, ["table", "col"])
+    v = cells.select("table", "row", "col", parse_number(F.col("raw"), missing)["value"].alias("v")).where("v is not null").join(links, ["table", "col"])
     per = v.groupBy("table", "claim", "row").agg(F.sum(F.when(F.col("stated"), F.col("v"))).alias("stated"), F.sum(F.when(~F.col("stated"), F.col("v"))).alias("parts"))
     near = F.abs(F.col("parts") - F.col("stated")) <= F.abs("stated") * within
     for r in per.where("stated is not null and parts is not null").groupBy("table", "claim").agg(F.count("*").alias("n"), F.count_if(near).alias("agreed")).collect():

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..copies import stored
 from ..errors import IngestFailed
-from ..functions.scalars import parse_number, row_hash
+from ..functions.scalars import MISSING, parse_number, row_hash
 from ..operators import layout
 from ..operators.reshape import TOTALS
 from .columns import SAMPLE, Column, confirm_sums, described, natures, slug
@@ -43,11 +43,12 @@ class Recipe:
     context: tuple[tuple[str, str, str], ...]  # slug, name, value
     path: str = ""
     head: int = 1  # rows of the header
+    missing: tuple[float, ...] = MISSING  # numbers that stand for a missing value
 
     @property
     def layout(self) -> tuple:
         """What tables that are made together have in common."""
-        return tuple((c.name, c.slug, c.role, c.kind, c.at - self.c0, c.month, c.year, c.derived, c.unit, c.counts is not None) for c in self.columns), tuple((s, n) for s, n, _ in self.context)
+        return tuple((c.name, c.slug, c.role, c.kind, c.at - self.c0, c.month, c.year, c.derived, c.unit, c.counts is not None) for c in self.columns), tuple((s, n) for s, n, _ in self.context), self.missing
 
     @property
     def periods(self) -> list[Column]:
@@ -70,7 +71,7 @@ class Recipe:
     @classmethod
     def from_json(cls, text: str) -> Recipe:
         d = json.loads(text)
-        return cls(**d | {"columns": tuple(Column(**c) for c in d["columns"]), "context": tuple(map(tuple, d["context"]))})
+        return cls(**d | {"columns": tuple(Column(**c) for c in d["columns"]), "context": tuple(map(tuple, d["context"])), "missing": tuple(d.get("missing", MISSING))})
 
 
 def letters(col: int) -> str:
@@ -103,8 +104,8 @@ def _before_gap(rows: DataFrame) -> DataFrame:
     return rows.join(nexts, ["table", "row"], "left_anti").groupBy("table").agg(F.min("row").alias("end"))
 
 
-def analyse(cells: DataFrame) -> list[Recipe]:
-    """Recipes of the tables of all files; only layouts and samples reach the driver."""
+def analyse(cells: DataFrame, missing: tuple[float, ...] = MISSING) -> list[Recipe]:
+    """Recipes of the tables of all files; only layouts and samples reach the driver.  ``missing``: the numbers that stand for a missing value in them."""
     found = sorted(layout.blocks(cells).where("kind in ('table', 'crosstab')").collect(), key=lambda b: (b["path"], b["sheet"], b["block"]))
     if not found:
         raise IngestFailed("no table was found in this file")
@@ -115,10 +116,10 @@ def analyse(cells: DataFrame) -> list[Recipe]:
     # a copy, small as it is, so that no number is read beyond it
     part = stored(cells.where(F.col("raw").isNotNull()).join(F.broadcast(at), here & (F.col("totals").isNull() | (F.col("row") != F.col("totals")))).select("table", "row", "col", "raw", "kind"))
     seen: dict[int, dict[int, dict]] = {}
-    for x in natures(part).collect():
+    for x in natures(part, missing).collect():
         seen.setdefault(x["table"], {})[x["col"]] = x.asDict()
     tables = [described(b["header"], b["c0"], seen.get(k, {})) for k, b in enumerate(found)]
-    confirm_sums(part, tables)
+    confirm_sums(part, tables, missing=missing)
     out = []
     for b, columns in zip(found, tables):
         taken = {c.slug for c in columns} | {"period", "period_month", "period_year", "value", "is_trace"}
@@ -129,7 +130,7 @@ def analyse(cells: DataFrame) -> list[Recipe]:
                 s += "_context"
             taken.add(s)
             context.append((s, key, value))
-        out.append(Recipe(*[b[k] for k in ("sheet", "block", "kind", "r0", "r1", "c0", "c1", "body", "totals", "confidence")], tuple(columns), tuple(context), b["path"], b["head"]))
+        out.append(Recipe(*[b[k] for k in ("sheet", "block", "kind", "r0", "r1", "c0", "c1", "body", "totals", "confidence")], tuple(columns), tuple(context), b["path"], b["head"], tuple(missing)))
     return out
 
 
@@ -184,14 +185,15 @@ def _recounted(cells: DataFrame, recipes: list[Recipe]) -> list[Recipe]:
         return recipes
     ends = cells.sparkSession.createDataFrame([(i, min(r.r1, r.body + SAMPLE - 1)) for i, r in enumerate(recipes)], "table int, stop int")
     part = _placed(cells, recipes).join(F.broadcast(ends), "table").where("row <= stop").select("table", "row", F.col("k").alias("col"), "raw", F.lit("").alias("kind"))
-    seen = {(x["table"], x["col"]): x["counts"] for x in natures(stored(part)).collect()}
+    seen = {(x["table"], x["col"]): x["counts"] for x in natures(stored(part), recipes[0].missing).collect()}
     new = lambda i, r, c: c if c.counts is None else replace(c, counts=seen.get((i, c.at - r.c0)))
     return [replace(r, columns=tuple(new(i, r, c) for c in r.columns)) for i, r in enumerate(recipes)]
 
 
 def fingerprint(recipes: list[Recipe]) -> str:
-    """The layout's hash: kinds, columns and headers, whatever the number of rows."""
-    said = "|".join(f"{r.sheet}:{r.kind}:{r.c0}-{r.c1}:" + ",".join(c.name for c in r.columns) for r in recipes)
+    """The layout's hash: kinds, columns and headers, and missing codes if they are not the usual ones, whatever the number of rows."""
+    codes = lambda r: "" if r.missing == MISSING else f":{r.missing}"
+    said = "|".join(f"{r.sheet}:{r.kind}:{r.c0}-{r.c1}:" + ",".join(c.name for c in r.columns) + codes(r) for r in recipes)
     return hashlib.sha1(said.encode()).hexdigest()[:16]
 
 
@@ -229,11 +231,11 @@ def _typed(c: Column, r: Recipe) -> Expr:
     raw = F.col(f"c{c.at - r.c0}")
     if c.kind == "double" and c.counts is not None:  # what it has come to is no missing code
         number, due = F.regexp_replace(raw, r"[,\s]", "").try_cast("double"), F.col(f"n{c.at - r.c0}")
-        return F.when(number == due, number).otherwise(parse_number(raw)["value"])
+        return F.when(number == due, number).otherwise(parse_number(raw, r.missing)["value"])
     if c.kind == "double":
-        return parse_number(raw)["value"]
+        return parse_number(raw, r.missing)["value"]
     if c.kind == "long":
-        return parse_number(raw)["value"].cast("long")
+        return parse_number(raw, r.missing)["value"].cast("long")
     return F.nullif(F.trim(raw), F.lit(""))
 
 
@@ -249,14 +251,14 @@ def tables(cells: DataFrame, recipes: list[Recipe], keys: list[tuple[str, str, s
     keys_ = [_typed(c, r).alias(c.slug) for c in r.kept] + [F.col(f"x{k}").alias(s) for k, (s, _, _) in enumerate(r.context)]
     names = [c.slug for c in r.kept] + [s for s, _, _ in r.context]
     own_ = ["_dataset_id", "_as_of_date", "_physical"]
-    trace = lambda c: parse_number(F.col(f"c{c.at - r.c0}"))["is_trace"]
+    trace = lambda c: parse_number(F.col(f"c{c.at - r.c0}"), r.missing)["is_trace"]
     if r.periods:
         long = F.array(*[
             F.struct(F.lit(c.name).alias("period"), F.lit(c.month).cast("long").alias("period_month"), F.lit(c.year).cast("long").alias("period_year"), F.col(f"c{c.at - r.c0}").alias("said"))
             for c in r.periods
         ])
         # made long first, so that a cell's text is read by one expression, not by one for each period
-        d = d.select(*keys_, *own_, F.col("row"), F.inline(long)).withColumn("said", parse_number(F.col("said")))
+        d = d.select(*keys_, *own_, F.col("row"), F.inline(long)).withColumn("said", parse_number(F.col("said"), r.missing))
         d = d.withColumns({"value": F.col("said.value"), "is_trace": F.col("said.is_trace")}).drop("said")
         names += ["period", "period_month", "period_year", "value"]
     else:

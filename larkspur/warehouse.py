@@ -31,6 +31,7 @@ from . import dashboard as boards
 from . import lexicon, nlq, report
 from .errors import AmbiguousQuery, EngineError, FileTooLarge, IngestFailed, NotFound, StorageBusy, Unanswerable
 from .narration import Answer, narrate
+from .functions.scalars import MISSING
 from .operators import profile
 from .plans.plan import compile_plan
 from .sources import ingest as ing
@@ -195,19 +196,21 @@ class Warehouse:
         recipes = ing.analyse(workbook.cells(self.spark, path, workbook.PROBE_ROWS + SAMPLE))
         return {"layout_fingerprint": ing.fingerprint(recipes), "recipes": [r.to_dict() for r in recipes]}
 
-    def ingest(self, path: str, as_of: dt.date | str | None = None, layout: str | None = None) -> dict:
+    def ingest(self, path: str, as_of: dt.date | str | None = None, layout: str | None = None, missing: tuple[float, ...] = MISSING) -> dict:
         """One file; see ``ingest_many``.  A file that is refused raises."""
-        (done,) = self.ingest_many([path], as_of, layout)
+        (done,) = self.ingest_many([path], as_of, layout, missing)
         if "error" in done:
             raise done["error"]
         return done
 
-    def ingest_many(self, paths: list[str], as_of: dt.date | str | None = None, layout: str | None = None) -> list[dict]:
+    def ingest_many(self, paths: list[str], as_of: dt.date | str | None = None, layout: str | None = None, missing: tuple[float, ...] = MISSING) -> list[dict]:
         """A result for each file, in their order; one that is refused has its ``error`` and stops no other.
 
         The number of Spark jobs depends on the number of different layouts, not
         on that of files.  With ``layout``, a stored layout's fingerprint, its
-        tables are looked for by their headers instead of anew.
+        tables are looked for by their headers instead of anew.  ``missing`` are
+        the numbers that stand for a missing value in these files, none for files
+        without such codes; a stored layout keeps its own.
         """
         as_of, out = str(as_of or dt.date.today()), {}
         taken = [p for p in paths if p.lower().endswith(workbook.SUFFIXES)]
@@ -231,7 +234,7 @@ class Warehouse:
                     out[p] = done
                 else:
                     todo[p] = where[p]
-            out |= self._ingest(todo, as_of, layout) if todo else {}
+            out |= self._ingest(todo, as_of, layout, missing) if todo else {}
             left = [p for p in left if p not in out]
         return [out[p] for p in paths]
 
@@ -251,7 +254,7 @@ class Warehouse:
             raise NotFound(f"no stored layout {layout!r}")
         return [ing.Recipe.from_json(r["recipe"]) for r in rows]
 
-    def _ingest(self, files: dict[str, dict], as_of: str, layout: str | None) -> dict[str, dict]:
+    def _ingest(self, files: dict[str, dict], as_of: str, layout: str | None, missing: tuple[float, ...]) -> dict[str, dict]:
         """Results by path of files of different names; path -> path, length and hash as found."""
         stored = self._recipes(layout) if layout else None
         batch = uuid.uuid4().hex
@@ -264,7 +267,7 @@ class Warehouse:
                 earlier = self.datasets()  # as it is now that no other writer is at work
                 out = {p: done for p, x in files.items() if (done := self._done(earlier, posixpath.basename(p), x["hash"], as_of))}
                 try:
-                    recipes = ing.replay(cells, stored) if stored else ing.analyse(cells)
+                    recipes = ing.replay(cells, stored) if stored else ing.analyse(cells, missing)
                 except IngestFailed as e:
                     return {p: {"error": e} for p in files} | out
                 by_path: dict[str, list[ing.Recipe]] = {}
