@@ -43,7 +43,8 @@ WORDS = 8192
 CLASSES = 256
 KNOWN = 1 << 20
 RUN = 128
-ROUNDS = 2
+#: So many at most; ``GAIN`` ends training long before.
+ROUNDS = 100
 #: Nats a token.
 GAIN = 0.001
 SEEDS = 400

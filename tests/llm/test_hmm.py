@@ -67,3 +67,12 @@ def test_scores_of_whole_texts(model):
     rows = [r for b in hmm._scores(start, move, emit, lookup, shares, np.zeros(13), np.ones(13, bool), 1.0)(iter([batch])) for r in b.to_pylist()]
     assert [r["doc_id"] for r in rows] == list(range(len(texts))) and [r["n_tokens"] for r in rows] == list(map(len, seqs))
     assert [r["model"] for r in rows] == pytest.approx([plain(start, move, emit, s)[0] / math.log(10) for s in seqs])
+
+
+def test_training_ends_by_its_gain(spark, monkeypatch):
+    from larkspur.llm import hmm
+
+    rounds, once = [], hmm._next
+    monkeypatch.setattr(hmm, "_next", lambda *a: rounds.append(1) or once(*a))
+    hmm.query(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert 2 < len(rounds) < hmm.ROUNDS
