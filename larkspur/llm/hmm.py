@@ -6,14 +6,15 @@ smoothed share that its own expected counts there give it.  So the model is a
 distribution over all texts, unknown words included.
 
 Training reads all training texts in each round: every partition adds up its
-expected counts of every (word, state), Spark sums them by word, and the driver
-turns those of symbols (at most WORDS + 256 rows) into the next model.  Those of
-all other words stay a distributed table, by word its count and the states' parts
-of it, 16 bits each.  Texts are worked on in runs of ``RUN`` tokens, many at once;
+expected counts, Spark sums them, and the driver turns those of symbols (at most
+WORDS + 256 rows) into the next model.  The first rounds read stored symbols and
+count these alone.  Once they gain nothing more, rounds sum all words by state:
+those without a symbol stay a distributed table, by word its count and the states'
+parts of it, 16 bits each.  Texts are worked on in runs of ``RUN`` tokens, many at once;
 transfer matrices of the runs carry the states over their edges, so training
 and scoring follow whole texts: every transition counts, and the scaled forward
-recursion is exact.  Training ends after ``ROUNDS`` rounds, or earlier when the
-log likelihood gains less than ``GAIN`` a token.
+recursion is exact.  Both kinds of rounds end after ``ROUNDS``, or earlier when
+the log likelihood gains less than ``GAIN`` a token.
 
 Counts of all words stay distributed; a worker holds those of the most frequent
 ``KNOWN`` words at most, and the rest are joined to the texts that have them.  A
@@ -32,17 +33,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 from .textops import Lookup, rows_of_words, word_hashes
 
 STATES = 8
 WORDS = 8192
 CLASSES = 256
 KNOWN = 1 << 20
-RUN = 128
+RUN = 256
 #: So many at most; ``GAIN`` ends training long before.
 ROUNDS = 100
 #: Nats a token.
@@ -51,6 +53,8 @@ SEEDS = 400
 END = np.uint64(0x6C6172_6B7370_7572)
 #: Words counted at once in a worker.
 BUFFER = 1 << 20
+#: Tokens of coded texts worked on at once.
+TOGETHER = 1 << 18
 SMOOTH = 0.5
 #: Part of a word's count that goes to every state alike.
 EVEN = 0.02
@@ -146,14 +150,14 @@ class Shares:
         return Lookup(word.view(np.uint64), np.arange(len(word), dtype=np.int32)), c, _per_state(e, c, word, self.ratio, self.whole)
 
     def put(self, p: np.ndarray, h: np.ndarray, rank: np.ndarray, near: np.ndarray, own: np.ndarray) -> None:
-        """Multiply the classes' probabilities of tokens by the words' shares; ``near`` are places in ``own``."""
+        """Multiply the classes' probabilities (state, token) by the words' shares; ``near`` are places in ``own``."""
         tail = np.flatnonzero(rank >= WORDS)
-        p[tail] *= self.held[rank[tail] - WORDS]
+        p[:, tail] *= self.held[rank[tail] - WORDS].T
         rest = np.flatnonzero(rank < 0)
         met = near[rest] >= 0
-        p[rest[met]] *= own[near[rest[met]]]
+        p[:, rest[met]] *= own[near[rest[met]]].T
         new = rest[~met]
-        p[new] *= (SMOOTH / self.whole[(h[new] & np.uint64(255)).astype(np.int64)])[:, None]
+        p[:, new] *= (SMOOTH / self.whole[(h[new] & np.uint64(255)).astype(np.int64)]).astype(np.float32)
 
 
 def _near(lookup: Lookup, h: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -197,32 +201,61 @@ def _summed(found: DataFrame) -> DataFrame:
 SYMBOL, MOVE, START, TAIL, LIKELY = range(5)
 
 
-def _edges(start, move, prob, per, text, no, at, size) -> tuple[np.ndarray, np.ndarray]:
-    """For each run the states before its first token, and what follows its last one tells about the states there.
+def _laid(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs, longest first: how many reach each step, and where a step's tokens begin when all lie step by step."""
+    live = np.searchsorted(-size, -np.arange(int(size[0])), "left")
+    return live, np.concatenate([[0], np.cumsum(live)])
+
+
+def _by_step(prob: np.ndarray, at: np.ndarray, live: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the runs' tokens step by step, and their probabilities (state, token)."""
+    place = np.empty(begin[-1], np.int64)
+    for t, n in enumerate(live.tolist()):
+        np.add(at[:n], t, out=place[begin[t] : begin[t + 1]])
+    return place, prob.take(place, axis=1)
+
+
+def _chances(table: np.ndarray, sym: np.ndarray, put=None) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens' probabilities (state, token) over the largest of each, and the logarithms of those; ``put`` brings in the words' shares."""
+    prob = table.take(sym, axis=1)
+    if put:
+        put(prob)
+    top = prob.max(0)
+    prob /= top
+    return prob, np.log(top, dtype=np.float64)
+
+
+def _edges(start, move, prob, per, text, no, at, size, back: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """For each run the states before its first token, and, with ``back``, what follows its last one tells about the states there.
 
     ``per`` has the runs of each text.  Only runs of texts of several runs are
     looked at; first runs have no states before them, last ones ones.
     """
     k = len(start)
     before, after = np.zeros((len(at), k)), np.ones((len(at), k))
-    many = np.flatnonzero(per[text] > 1)
+    many = np.flatnonzero(per[text] > (1 if back else no + 1))
     if not len(many):
         return before, after
     many = many[np.argsort(-size[many], kind="stable")]
-    spot, first = at[many], no[many] == 0
-    steps = int(size[many[0]])
-    live = np.searchsorted(-size[many], -np.arange(steps), "left")
-    step = move.astype(np.float32)
-    x = np.where(first[:, None, None], np.eye(k, dtype=np.float32), step)
-    for t in range(steps):
-        n = live[t]
-        p = prob[spot[:n] + t]
-        p = (p / p.max(1, keepdims=True)).astype(np.float32)
-        y = x[:n] if t == 0 else (x[:n].reshape(-1, k) @ step).reshape(n, k, k)
-        x[:n] = y * p[:, None, :]
-        if t % 8 == 7:
-            x[:n] /= x[:n].sum((1, 2))[:, None, None]
-    x /= x.sum((1, 2))[:, None, None]
+    first = no[many] == 0
+    live, begin = _laid(size[many])
+    _, p = _by_step(prob, at[many], live, begin)
+    turn = np.ascontiguousarray(move.T, np.float32)
+    # x[j, i, r]: the part of run r's state i that is state j at its end
+    x = np.where(first, np.eye(k, dtype=np.float32)[:, :, None], turn[:, :, None])
+    for t, n in enumerate(live.tolist()):
+        if n < x.shape[2]:
+            done, x = x[:, :, n:], np.ascontiguousarray(x[:, :, :n])
+            ends.append(done)
+        elif not t:
+            ends = []
+        if t:
+            x = (turn @ x.reshape(k, k * n)).reshape(k, k, n)
+        x *= p[:, None, begin[t] : begin[t + 1]]
+        if t % 4 == 3:
+            x /= x.sum((0, 1))
+    x = np.concatenate([x, *reversed(ends)], 2).transpose(2, 1, 0)
+    x = x / x.sum((1, 2))[:, None, None]
     where = np.zeros(len(at), np.int64)
     where[many] = np.arange(len(many))
     head = np.cumsum(per) - per
@@ -231,13 +264,69 @@ def _edges(start, move, prob, per, text, no, at, size) -> tuple[np.ndarray, np.n
         rows = np.flatnonzero(per > j + 1)
         y = np.einsum("ij,ijk->ik", a[rows], x[where[head[rows] + j]])
         before[head[rows] + j + 1] = a[rows] = y / y.sum(1, keepdims=True)
-    for j in range(int(per.max()) - 1, 0, -1):
+    for j in range(int(per.max()) - 1 if back else 0, 0, -1):
         rows = np.flatnonzero(per > j)
         y = np.einsum("ijk,ik->ij", x[where[head[rows] + j]], b[rows])
         after[head[rows] + j - 1] = b[rows] = y / y.sum(1, keepdims=True)
     return before, after
 
 
+class Sums:
+    """Expected counts of Baum-Welch over texts, added up."""
+
+    def __init__(self, start, move, n_symbols: int):
+        k = len(start)
+        self.start, self.move = start, move
+        self.turn, self.step = np.ascontiguousarray(move.T, np.float32), np.ascontiguousarray(move, np.float32)
+        self.e, self.m, self.s, self.likely = np.zeros((k, n_symbols)), np.zeros((k, k)), np.zeros(k), np.zeros(k)
+
+    def add(self, lengths: np.ndarray, sym: np.ndarray, prob: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Adds texts of ``lengths`` tokens, given ``_chances``; gives tokens in some order and their states' probabilities (state, token)."""
+        text, no, at, size = _runs(lengths, RUN)
+        before, after = _edges(self.start, self.move, prob, -(-lengths // RUN), text, no, at, size)
+        order = np.argsort(-size, kind="stable")
+        at, size, later = at[order], size[order], no[order] > 0
+        before, after = np.ascontiguousarray(before[order].T, np.float32), np.ascontiguousarray(after[order].T, np.float32)
+        live, begin = _laid(size)
+        place, p = _by_step(prob, at, live, begin)
+        alpha, scale = np.empty_like(p), np.empty(p.shape[1], np.float32)
+        a = np.where(later, self.turn @ before, self.start.astype(np.float32)[:, None])
+        for t, n in enumerate(live.tolist()):
+            here = slice(begin[t], begin[t + 1])
+            a = np.multiply(self.turn @ a[:, :n] if t else a, p[:, here], out=alpha[:, here])
+            a.sum(0, out=scale[here])
+            a /= scale[here]
+        self.likely[0] += np.log(scale, dtype=np.float64).sum() + logs.sum()
+        self.likely[1] += len(sym)
+        beta, joint = after[:, : live[-1]], np.zeros_like(self.m)
+        for t in range(len(live) - 1, -1, -1):
+            n, here = live[t], slice(begin[t], begin[t + 1])
+            if beta.shape[1] < n:
+                beta = np.concatenate([beta, after[:, beta.shape[1] : n]], 1)
+            follow = p[:, here] * beta
+            g = np.multiply(alpha[:, here], beta, out=alpha[:, here])
+            whole = g.sum(0)
+            g /= whole
+            whole *= scale[here]
+            if t:
+                last = alpha[:, begin[t - 1] : begin[t - 1] + n]
+                joint += (last / whole) @ follow.T
+                beta = self.step @ follow
+                beta /= beta.sum(0)
+            else:
+                self.s += g[:, ~later].sum(1)
+                joint += (before[:, later] / whole[later]) @ follow[:, later].T
+        self.m += self.move * joint
+        symbols = sym[place]
+        for s in range(len(self.e)):
+            self.e[s] += np.bincount(symbols, alpha[s], self.e.shape[1])
+        return place, alpha
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for kind, rows in ((SYMBOL, self.e.T), (MOVE, self.m), (START, self.s[None]), (LIKELY, self.likely[None])):
+            yield _sums(kind, np.arange(len(rows)), rows)
+
+
 def _expect(start, move, emit, lookup: Lookup, shares: Shares | None = None):
     """Partition function: expected counts of Baum-Welch, a row for each symbol, state or word (kind, word, c and parts of it, n).
 
@@ -245,70 +334,56 @@ def _expect(start, move, emit, lookup: Lookup, shares: Shares | None = None):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(start)
-        sums_e, sums_m, sums_s, likely = np.zeros((k, emit.shape[1])), np.zeros((k, k)), np.zeros(k), np.zeros(k)
-        table = np.ascontiguousarray(emit.T)
+        sums = Sums(start, move, emit.shape[1])
+        table = emit.astype(np.float32)
         held, n_held = [], 0
         for b in batches:
             own_lookup, _, own = shares.of(b.column(1) if b.num_columns > 1 else None) if shares else (None, None, None)
             for _, lengths, h, rank in _sequences(b.column(0), lookup):
                 sym = _symbols(h, rank)
-                prob = table[sym]
-                if shares:
-                    shares.put(prob, h, rank, _near(own_lookup, h, rank), own)
-                text, no, at, size = _runs(lengths, RUN)
-                before, after = _edges(start, move, prob, -(-lengths // RUN), text, no, at, size)
-                order = np.argsort(-size, kind="stable")
-                at, size, first, before, after = at[order], size[order], no[order] == 0, before[order], after[order]
-                likely[1] += len(h)
-                steps = int(size[0])
-                live = np.searchsorted(-size, -np.arange(steps), "left")
-                alpha, probs = [], []
-                a = np.where(first[:, None], start, before @ move)
-                for t in range(steps):
-                    p = prob[at[: live[t]] + t]
-                    a = (a if t == 0 else a[: live[t]] @ move) * p
-                    c = a.sum(1, keepdims=True)
-                    likely[0] += np.log(c).sum()
-                    a = a / c
-                    alpha.append(a)
-                    probs.append(p)
-                beta = after[: live[-1]]
-                for t in range(steps - 1, -1, -1):
-                    n = live[t]
-                    if len(beta) < n:
-                        beta = np.concatenate([beta, after[len(beta) : n]])
-                    g = alpha[t] * beta
-                    g /= g.sum(1, keepdims=True)
-                    alpha_prev = alpha[t - 1] if t else None
-                    probs_t = probs[t]
-                    alpha[t] = (at[:n] + t, g)
-                    back = probs_t * beta
-                    joint = alpha_prev[:n] if t else before[~first]
-                    if not t:
-                        sums_s += g[first].sum(0)
-                        back = back[~first]
-                    norm = np.einsum("ij,ij->i", joint @ move, back)
-                    sums_m += move * ((joint / norm[:, None]).T @ back)
-                    if t:
-                        beta = back @ move.T
-                        beta /= beta.sum(1, keepdims=True)
-                tokens = np.concatenate([x[0] for x in alpha])
-                weights = np.concatenate([x[1] for x in alpha])
-                symbols = sym[tokens]
-                for s in range(k):
-                    sums_e[s] += np.bincount(symbols, weights[:, s], emit.shape[1])
-                tail = np.flatnonzero(symbols >= WORDS)
+                put = (lambda prob: shares.put(prob, h, rank, _near(own_lookup, h, rank), own)) if shares else None
+                tokens, states = sums.add(lengths, sym, *_chances(table, sym, put))
+                tail = np.flatnonzero(sym[tokens] >= WORDS)
                 if len(tail):
-                    held.append(_merged([(h[tokens[tail]], np.concatenate([weights[tail], np.ones((len(tail), 1))], 1))]))
-                    n_held += len(held[-1][0])
+                    held.append((h[tokens[tail]], np.concatenate([states[:, tail].T, np.ones((len(tail), 1), np.float32)], 1)))
+                    n_held += len(tail)
                 if n_held >= BUFFER:
                     yield _tail_sums(held)
                     held, n_held = [], 0
         if held:
             yield _tail_sums(held)
-        for kind, rows in ((SYMBOL, sums_e.T), (MOVE, sums_m), (START, sums_s[None]), (LIKELY, likely[None])):
-            yield _sums(kind, np.arange(len(rows)), rows)
+        yield from sums.rows()
+
+    return run
+
+
+def _coded(lookup: Lookup):
+    """Partition function: each text's symbols, 16 bits each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, lengths, h, rank in _sequences(b.column(0), lookup):
+                ends = np.concatenate([[0], np.cumsum(lengths)]) * 2
+                data = pa.py_buffer(_symbols(h, rank).astype(np.uint16))
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)), data])], names=["sym"])
+
+    return run
+
+
+def _expect_coded(start, move, emit):
+    """Partition function: ``_expect`` of symbols alone, from the texts of ``_coded``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums(start, move, emit.shape[1])
+        table = emit.astype(np.float32)
+        for b in batches:
+            lengths = pc.binary_length(b.column(0)).to_numpy() // 2
+            done = np.cumsum(lengths, dtype=np.int64)
+            for part in np.split(np.arange(len(lengths)), np.flatnonzero(np.diff(done // TOGETHER)) + 1):
+                if len(part):
+                    sym = np.frombuffer(b"".join(b.column(0).slice(part[0], len(part)).to_pylist()), np.uint16).astype(np.int32)
+                    sums.add(lengths[part].astype(np.int64), sym, *_chances(table, sym))
+        yield from sums.rows()
 
     return run
 
@@ -383,44 +458,27 @@ def _scores(start, move, emit, lookup: Lookup, shares: Shares, base_log: np.ndar
     log10 = np.log(10.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(start)
-        table = np.ascontiguousarray(emit.T)
+        turn, table = np.ascontiguousarray(move.T, np.float32), emit.astype(np.float32)
         for b in batches:
             own_lookup, own_c, own = shares.of(b.column(2) if b.num_columns > 2 else None)
             for first, lengths, h, rank in _sequences(b.column(1), lookup):
                 near = _near(own_lookup, h, rank)
-                prob = table[_symbols(h, rank)]
-                shares.put(prob, h, rank, near, own)
+                prob, logs = _chances(table, _symbols(h, rank), lambda prob: shares.put(prob, h, rank, near, own))
+                per = -(-lengths // RUN)
                 text, no, at, size = _runs(lengths, RUN)
+                before, _ = _edges(start, move, prob, per, text, no, at, size, back=False)
                 order = np.argsort(-size, kind="stable")
-                steps, live = int(size.max()), np.searchsorted(-size[order], -np.arange(int(size.max())), "left")
-                # transfer[r]: what each state before run r turns into by its end
-                x = np.broadcast_to(np.eye(k), (len(at), k, k)).copy()
-                logs = np.zeros(len(at))
-                spot = at[order]
-                begins = (no == 0)[order]
-                for t in range(steps):
-                    n = live[t]
-                    p = prob[spot[:n] + t]
-                    y = x[:n] if t == 0 else x[:n] @ move
-                    if t == 0:  # a text's first run starts from its start, later ones by a move
-                        y = np.where(begins[:n, None, None], y, np.broadcast_to(move, (n, k, k)))
-                    y = y * p[:, None, :]
-                    c = y.sum((1, 2))
-                    x[:n] = y / c[:, None, None]
-                    logs[order[:n]] += np.log(c)
-                runs = np.empty_like(x)
-                runs[order] = x
-                a = np.tile(start, (len(lengths), 1))
-                total = np.zeros(len(lengths))
-                head = np.cumsum(-(-lengths // RUN)) - -(-lengths // RUN)
-                per = -(-lengths // RUN)
-                for j in range(int(per.max())):
-                    rows = np.flatnonzero(per > j)
-                    a[rows] = np.einsum("ij,ijk->ik", a[rows], runs[head[rows] + j])
-                    c = a[rows].sum(1)
-                    a[rows] /= c[:, None]
-                    total[rows] += np.log(c) + logs[head[rows] + j]
+                live, spot = _laid(size[order])
+                place, p = _by_step(prob, at[order], live, spot)
+                scale = np.empty(len(h), np.float32)
+                a = np.where(no[order] > 0, turn @ before[order].T.astype(np.float32), start.astype(np.float32)[:, None])
+                for t, n in enumerate(live.tolist()):
+                    here = slice(spot[t], spot[t + 1])
+                    a = (turn @ a[:, :n] if t else a) * p[:, here]
+                    a.sum(0, out=scale[here])
+                    a /= scale[here]
+                logs[place] += np.log(scale, dtype=np.float64)
+                total = np.add.reduceat(logs, np.cumsum(lengths) - lengths)
                 begin = np.cumsum(lengths) - lengths
                 have, met = rank >= 0, near >= 0
                 base = np.where(have, base_log[rank], np.log10((np.where(met, own_c[near], 0) + SMOOTH) / z))
@@ -485,12 +543,12 @@ def query(docs: DataFrame, fold: int = 1, most: int = KNOWN) -> DataFrame:
         met = others.join(tail.where(F.col("c") < least), "word").groupBy("key").agg(F.collect_list(F.struct("word", "c", *_PARTS)).alias("met"))
         return texts.select(*cols, key).join(met, "key", "left").select(*cols, "met")
 
-    tail, shares, was, likely = None, None, None, None
-    for no in range(ROUNDS):
-        texts = joined(train, tail, "text") if shares else train.select("text")
-        model = _expect(start, move, emit, all_known if shares else few, shares)
-        found = stored(_summed(texts.mapInArrow(model, "kind byte, word long, c long, a long, b long, n array<double>")))
+    def round_of(model, texts: DataFrame, keep: bool = False):
+        """The sums of a round over texts, its log likelihood a token, and with ``keep`` the counts of words without a symbol."""
+        found = _summed(texts.mapInArrow(tidy(model), "kind byte, word long, c long, a long, b long, n array<double>"))
+        found = stored(found) if keep else found
         sums = {"e": np.zeros((STATES, WORDS + CLASSES)), "m": np.zeros((STATES, STATES)), "s": np.zeros(STATES)}
+        likely = 0.0
         for r in found.where(F.col("kind") != TAIL).select("kind", "word", "n").toArrow().to_pylist():
             n = r["n"]
             if r["kind"] == SYMBOL:
@@ -498,12 +556,28 @@ def query(docs: DataFrame, fold: int = 1, most: int = KNOWN) -> DataFrame:
             elif r["kind"] == MOVE:
                 sums["m"][r["word"]] = n
             elif r["kind"] == LIKELY:
-                # the first round knows words by their symbols alone, so its likelihood is no measure for the second's
-                was, likely = likely if no > 1 else None, n[0] / max(n[1], 1.0)
+                likely = n[0] / max(n[1], 1.0)
             else:
                 sums["s"] += n
+        return sums, likely, found.where(F.col("kind") == TAIL).select("word", "c", *_PARTS) if keep else None
+
+    # first the symbols' model, a word telling its state by its symbol alone, until it gains less than GAIN
+    coded, was = stored(train.select("text").mapInArrow(tidy(_coded(few)), "sym binary")), -np.inf
+    for _ in range(ROUNDS):
+        sums, likely, _ = round_of(_expect_coded(start, move, emit), coded)
+        start, move, emit = _next(sums, share)
+        if likely - was < GAIN:
+            break
+        was = likely
+
+    # then the words' shares with it; the scores of a round's model tell what the round gained
+    z = n_all + SMOOTH * (vocab + 1)
+    base_log = np.log10((c + SMOOTH) / z)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base double, model double"
+    shares, texts = None, train.select("text")
+    for _ in range(ROUNDS):
+        sums, likely, tail = round_of(_expect(start, move, emit, all_known if shares else few, shares), texts, keep=True)
         start, move, emit = _next(sums, share)
-        tail = found.where(F.col("kind") == TAIL).select("word", "c", *_PARTS)
         got = tail.where(F.col("c") >= least).toArrow()
         at = all_known(got.column("word").to_numpy().view(np.uint64)) - WORDS
         ratio = _ratio(sums["e"], n_class)
@@ -511,15 +585,17 @@ def query(docs: DataFrame, fold: int = 1, most: int = KNOWN) -> DataFrame:
         if len(at):
             own = got.column("c").to_numpy()
             held[at] = _per_state(_unpacked(got, own), own, got.column("word").to_numpy(), ratio, whole)
-        shares = Shares(held, ratio, whole)
-        if was is not None and likely - was < GAIN:
+        first, shares = shares is None, Shares(held, ratio, whole)
+        texts = joined(train, tail, "text")
+        if first:  # it knew words by their symbols alone, so its likelihood is no measure for the next one's
+            continue
+        model = _scores(start, move, emit, all_known, shares, base_log, c > 0, z)
+        scored = stored(joined(d, tail, "doc_id", "text").mapInArrow(tidy(model), schema))
+        own = scored.where(_training(fold)).agg(F.sum("model"), F.sum("n_tokens")).first()
+        if (own[0] or 0.0) * np.log(10.0) / max(own[1] or 0, 1) - likely < GAIN:
             break
 
-    z = n_all + SMOOTH * (vocab + 1)
-    base_log = np.log10((c + SMOOTH) / z)
-    model = _scores(start, move, emit, all_known, shares, base_log, c > 0, z)
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base double, model double"
-    return joined(d, tail, "doc_id", "text").mapInArrow(model, schema).select(
+    return scored.select(
         "doc_id", (~_training(fold)).alias("held_out"), "n_tokens", "n_known",
         F.lit(n_all).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"),
     )

@@ -76,3 +76,31 @@ def test_training_ends_by_its_gain(spark, monkeypatch):
     monkeypatch.setattr(hmm, "_next", lambda *a: rounds.append(1) or once(*a))
     hmm.query(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     assert 2 < len(rounds) < hmm.ROUNDS
+
+
+def test_coded_texts_give_the_same_counts(model, monkeypatch):
+    start, move, emit, lookup, texts, seqs = model
+    monkeypatch.setattr(hmm, "TOGETHER", 20)  # several parts of a batch
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    plain, coded = ([r for b in run for r in b.to_pylist() if r["kind"] != hmm.TAIL] for run in (hmm._expect(start, move, emit, lookup)(iter([batch])), hmm._expect_coded(start, move, emit)(hmm._coded(lookup)(iter([batch])))))
+    assert [(r["kind"], r["word"]) for r in plain] == [(r["kind"], r["word"]) for r in coded]
+    assert np.allclose([r["n"] for r in plain], [r["n"] for r in coded], atol=1e-4)
+
+
+def test_most_rounds_count_symbols_alone(spark, monkeypatch):
+    """Counts of all words by state, which are what a round shuffles and writes, are made in a few rounds only."""
+    rounds = {"_expect": 0, "_expect_coded": 0}
+
+    def told(name):
+        once = getattr(hmm, name)
+
+        def run(*a):
+            rounds[name] += 1
+            return once(*a)
+
+        monkeypatch.setattr(hmm, name, run)
+
+    for name in rounds:
+        told(name)
+    hmm.query(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert rounds["_expect_coded"] > 2 and 2 <= rounds["_expect"] <= 3
