@@ -45,6 +45,8 @@ BLOCK = 512
 TOGETHER = 64
 #: Links to a partition while components are found.
 LINKS = 200_000
+#: Bits of a sieve for each thing it lets through, and bits at most.
+SIEVE, SIEVE_BITS = 16, 1 << 26
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
@@ -118,23 +120,63 @@ def sketches(u: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sets(words: int):
+def _sieve(values: DataFrame, n: int) -> np.ndarray:
+    """Bits, a power of two of them, in which those of all ``n`` longs of ``values`` are set; Spark sets them, in groups of 64."""
+    bits = 1 << min(max(6, (SIEVE * n - 1).bit_length()), SIEVE_BITS.bit_length() - 1)
+    spot = values.select(F.col(values.columns[0]).bitwiseAND(F.lit(bits - 1)).alias("spot"))
+    got = spot.groupBy(F.shiftright("spot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("of")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[got.column("at").to_numpy()] = got.column("of").to_numpy().view(np.uint64)
+    return out
+
+
+def _passes(sieve: np.ndarray, values: np.ndarray) -> np.ndarray:
+    spot = values & np.uint64(len(sieve) * 64 - 1)
+    return (sieve[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _sets(words: int, ids: np.ndarray, both: np.ndarray):
+    """Partition function: the sets of texts whose hashed id, and id with node, pass the sieves; all that are wanted do, and few others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, sizes, u in shingle_sets(b.column(0), words):
-                sizes = sizes[sizes > 0]
-                if not len(sizes):
+            own = b.column(0).to_numpy().view(np.uint64)
+            some = np.flatnonzero(_passes(ids, own))
+            texts, own = b.column(1).take(pa.array(some)), own[some]
+            for first, sizes, u in shingle_sets(texts, words):
+                h, ends = own[first : first + len(sizes)], np.cumsum(sizes)
+                full = np.flatnonzero(sizes)
+                if not len(full):
                     continue
-                ends = np.cumsum(sizes)
-                sets = [u[i:j].tobytes() for i, j in zip((ends - sizes).tolist(), ends.tolist())]
+                node = _nodes(u, (ends - sizes)[full], sizes[full])
+                keep = _passes(both, h[full] ^ node)
+                node, full = node[keep], full[keep]
+                if not len(full):
+                    continue
+                sets = [u[i:j] for i, j in zip((ends - sizes)[full].tolist(), ends[full].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_nodes(u, ends - sizes, sizes).view(np.int64)), pa.array(sizes), pa.array([x.tobytes() for x in sketches(u, sizes)], pa.binary()), pa.array(sets, pa.binary())],
+                    [pa.array(node.view(np.int64)), pa.array(sizes[full]), pa.array([x.tobytes() for x in sketches(np.concatenate(sets), sizes[full])], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
                     names=["node", "size", "sketch", "set"],
                 )
 
     return run
 
 
+def _wanted_sets(d: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """node, size, sketch, set: one row for each node of ``wanted`` (node, doc_id), and a few others.
+
+    Whole texts are shuffled nowhere: each task sifts those it reads.
+    """
+    n, own = wanted.count(), F.xxhash64("doc_id")
+    ids, both = _sieve(wanted.select(own.alias("x")), n), _sieve(wanted.select(own.bitwiseXOR(F.col("node")).alias("x")), n)
+    sets = stored(d.where("doc_id is not null").select(own.alias("own"), "text").mapInArrow(tidy(_sets(words, ids, both)), "node long, size long, sketch binary, set binary"))
+    twice = stored(sets.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"))
+    if twice.isEmpty():
+        return sets
+    # repeated rows, or copies that passed the sieves
+    return stored(sets.join(twice, "node", "left_anti").unionAll(sets.join(twice, "node", "left_semi").dropDuplicates(["node"])))
+
+
 def _confirm(num: int, den: int):
     """Cogroup function: the pairs (x, y) that are links, given the sets of their nodes, each once."""
 
@@ -161,7 +203,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, i: Column, j: Column, num: int
 
 
 def _near_pairs(num: int, den: int, every: bool):
-    """Cogroup function: pairs of nodes of two blocks that lie in different components and may be links, by size and sketch.
+    """Cogroup function: pairs of nodes of two blocks, or of one (``right`` is empty), that lie in different components and may be links, by size and sketch.
 
     All such pairs, each at the least key that both nodes have, or of each node that with the least partner.
     """
@@ -175,7 +217,7 @@ def _near_pairs(num: int, den: int, every: bool):
         return out
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        side = []
+        side, right = [], right if right.num_rows else left
         for t in (left, right):
             sketch, *rest = t.columns[-5:-1]
             side.append((np.frombuffer(b"".join(sketch.to_pylist()), np.uint64).reshape(-1, SKETCH // 64), *(c.to_numpy() for c in rest)))
@@ -214,15 +256,15 @@ def _near_pairs(num: int, den: int, every: bool):
     return run
 
 
-def _open_pairs(rows: DataFrame, num: int, den: int, every: bool) -> DataFrame:
-    """x, y: pairs of nodes across components that share a key and may be links; rows: key, node, root, size, sketch, a.
+def _open_pairs(rows: DataFrame, nodes: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+    """x, y: pairs of nodes across components that share a key and may be links; rows: key, node, root; nodes: node, size, sketch, a.
 
     Without ``every`` some pair of each node that has one, which is enough to join most components.
 
     A key's nodes fall into blocks: components of more than ``BLOCK`` nodes have
     blocks of their own, the others share some.  Each two blocks that hold
     different components are a group of their own, and no component is compared
-    with itself.
+    with itself.  Sketches join the nodes when these have their groups.
     """
     per = rows.groupBy("key", "root").agg(F.count("*").alias("n")).select("*", F.when(F.col("n") > BLOCK, F.col("root")).otherwise(F.lit(0)).alias("own"))
     shelf = stored(per.groupBy("key", "own").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")))
@@ -232,11 +274,11 @@ def _open_pairs(rows: DataFrame, num: int, den: int, every: bool) -> DataFrame:
     first, second = F.struct("own", "no"), F.struct("own2", "no2")
     tasks = stored(block.join(other, F.col("key") == F.col("key2")).where((first <= second) & ((F.col("own") != F.col("own2")) | (F.col("own") == 0))).drop("key2"))
     places = stored(per.select("key", "root", "own").join(shelf.select("key", "own", "blocks"), ["key", "own"]))
-    placed = stored(rows.join(places, ["key", "root"]).select("key", "own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("no"), "node", "root", "size", "sketch", "a"))
+    placed = stored(rows.join(places, ["key", "root"]).select("key", "own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("no"), "node", "root"))
     cell, names = ["key", "own", "no", "own2", "no2"], ["sketch", "size", "root", "node", "a"]
-    left = placed.join(tasks, ["key", "own", "no"]).select(*cell, *names)
-    again = placed.select(F.col("key").alias("key2"), F.col("own").alias("to"), F.col("no").alias("at"), *[F.col(c).alias(f"{c}2") for c in names])
-    right = again.join(tasks, (F.col("key2") == F.col("key")) & (F.col("to") == F.col("own2")) & (F.col("at") == F.col("no2"))).select(*[F.col(c).alias(f"r_{c}") for c in cell], *[f"{c}2" for c in names])
+    left = placed.join(tasks, ["key", "own", "no"]).join(nodes, "node").select(*cell, *names)
+    again = placed.select(F.col("key").alias("key2"), F.col("own").alias("to"), F.col("no").alias("at"), "node", "root")
+    right = again.join(tasks.where(first < second), (F.col("key2") == F.col("key")) & (F.col("to") == F.col("own2")) & (F.col("at") == F.col("no2"))).join(nodes, "node").select(*[F.col(c).alias(f"r_{c}") for c in cell], *[F.col(c).alias(f"{c}2") for c in names])
     near = left.groupBy(*cell).cogroup(right.groupBy(*[f"r_{c}" for c in cell])).applyInArrow(_near_pairs(num, den, every), "x long, y long")
     if every:
         return near.distinct()
@@ -300,10 +342,7 @@ def _link(d: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> D
     if buckets.isEmpty():
         return none
     wanted = stored(classes.select("node", F.col("low").alias("doc_id")).join(buckets.select("node").distinct(), "node", "left_semi"))
-    sets = d.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(tidy(_sets(words)), "node long, size long, sketch binary, set binary")
-    sets = stored(sets)
-    if sets.count() > wanted.count():  # repeated rows, or other texts with the same ids
-        sets = stored(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    sets = _wanted_sets(d, wanted, words)
     pairs = buckets.select("node", F.when(F.col("node") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other")).groupBy("node").agg(F.min("other").alias("other"))
     pairs = stored(pairs.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct())
     cells = F.lit(max(1, pairs.count() // TOGETHER))
@@ -316,8 +355,9 @@ def _link(d: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> D
         if split.isEmpty():
             break
         opened = stored(b.join(split, "bucket", "left_semi").select("node", "root").distinct())
-        rows = sides.select("node", "a", F.explode("a").alias("key")).join(opened, "node").join(sets.select("node", "size", "sketch"), "node")
-        more = stored(_open_pairs(stored(rows), num, den, every).join(pairs, ["x", "y"], "left_anti"))
+        own = stored(sides.select("node", "a").join(opened, "node").join(sets.select("node", "size", "sketch"), "node"))
+        rows, nodes = own.select(F.explode("a").alias("key"), "node", "root"), own.select("node", "size", "sketch", "a")
+        more = stored(_open_pairs(rows, nodes, num, den, every).join(pairs, ["x", "y"], "left_anti"))
         if more.isEmpty():
             continue
         blocks = F.lit(max(1, more.select(F.explode(F.array("x", "y")).alias("n")).distinct().count() // BLOCK))
