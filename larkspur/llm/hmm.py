@@ -91,8 +91,18 @@ def _symbols(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.where((rank >= 0) & (rank < WORDS), rank, WORDS + (h & np.uint64(255)).astype(np.int32))
 
 
-def _sequences(texts: pa.Array, lookup: Lookup):
-    """Yields (first, lengths, hashes, ranks) with the end token after each text."""
+class Known:
+    """The held words by rank, for texts whose ranks are stored."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+
+def _sequences(texts: pa.Array, lookup: Lookup | Known):
+    """Yields (first, lengths, hashes, ranks) with the end token after each text; of ``_coded`` texts the hashes of symbols are not given."""
+    if pa.types.is_struct(texts.type):
+        yield from _decoded(texts, lookup)
+        return
     for first, counts, h in rows_of_words(texts, endings=True):
         ends = np.cumsum(counts)
         full = np.insert(h, ends, END)
@@ -357,19 +367,52 @@ def _expect(start, move, emit, lookup: Lookup, shares: Shares | None = None):
     return run
 
 
+def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary for each row of its ``counts`` values."""
+    ends = np.concatenate([[0], np.cumsum(counts)]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def _coded(lookup: Lookup):
-    """Partition function: each text's symbols, 16 bits each."""
+    """Partition function: each text (the last column) as its symbols, 16 bits each, the ranks of words without a symbol, or -1, and the hashes of words without a rank; then the other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, lengths, h, rank in _sequences(b.column(0), lookup):
-                ends = np.concatenate([[0], np.cumsum(lengths)]) * 2
-                data = pa.py_buffer(_symbols(h, rank).astype(np.uint16))
-                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)), data])], names=["sym"])
+            for first, lengths, h, rank in _sequences(b.column(b.num_columns - 1), lookup):
+                sym, text = _symbols(h, rank), np.repeat(np.arange(len(lengths)), lengths)
+                tail, rest = sym >= WORDS, rank < 0
+                count = lambda x: np.bincount(text[x], minlength=len(lengths))
+                cols = [_binary(sym.astype(np.uint16), lengths), _binary(rank[tail].astype(np.int32), count(tail)), _binary(h[rest], count(rest))]
+                others = [b.column(i).slice(first, len(lengths)) for i in range(b.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*cols, *others], names=["sym", "tail", "rest", *b.schema.names[:-1]])
 
     return run
 
 
+def _parts(lengths: np.ndarray) -> list[np.ndarray]:
+    """Rows of coded texts that are worked on at once."""
+    done = np.cumsum(lengths, dtype=np.int64)
+    return [x for x in np.split(np.arange(len(lengths)), np.flatnonzero(np.diff(done // TOGETHER)) + 1) if len(x)]
+
+
+def _flat(column: pa.Array, part: np.ndarray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.slice(part[0], len(part)).to_pylist()), kind)
+
+
+def _decoded(texts: pa.StructArray, known: Known):
+    """``_sequences`` of texts from ``_coded``."""
+    columns = [texts.field(i) for i in range(3)]
+    lengths = pc.binary_length(columns[0]).to_numpy().astype(np.int64) // 2
+    for part in _parts(lengths):
+        sym, own, rest = (_flat(c, part, kind) for c, kind in zip(columns, (np.uint16, np.int32, np.uint64)))
+        rank, h = sym.astype(np.int32), np.zeros(len(sym), np.uint64)
+        tail = np.flatnonzero(rank >= WORDS)
+        rank[tail] = own
+        have = own >= 0
+        h[tail[have]], h[tail[~have]] = known.words[own[have]], rest
+        yield int(part[0]), lengths[part], h, rank
+
+
 def _expect_coded(start, move, emit):
     """Partition function: ``_expect`` of symbols alone, from the texts of ``_coded``."""
 
@@ -377,12 +420,10 @@ def _expect_coded(start, move, emit):
         sums = Sums(start, move, emit.shape[1])
         table = emit.astype(np.float32)
         for b in batches:
-            lengths = pc.binary_length(b.column(0)).to_numpy() // 2
-            done = np.cumsum(lengths, dtype=np.int64)
-            for part in np.split(np.arange(len(lengths)), np.flatnonzero(np.diff(done // TOGETHER)) + 1):
-                if len(part):
-                    sym = np.frombuffer(b"".join(b.column(0).slice(part[0], len(part)).to_pylist()), np.uint16).astype(np.int32)
-                    sums.add(lengths[part].astype(np.int64), sym, *_chances(table, sym))
+            lengths = pc.binary_length(b.column(0)).to_numpy().astype(np.int64) // 2
+            for part in _parts(lengths):
+                sym = _flat(b.column(0), part, np.uint16).astype(np.int32)
+                sums.add(lengths[part], sym, *_chances(table, sym))
         yield from sums.rows()
 
     return run
@@ -435,7 +476,7 @@ def _next(sums: dict, emit_prior: np.ndarray):
     return s / s.sum(), m / m.sum(1, keepdims=True), e / e.sum(1, keepdims=True)
 
 
-def _others(lookup: Lookup):
+def _others(lookup: Lookup | Known):
     """Partition function: the distinct words of each text that are not held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -531,17 +572,23 @@ def query(docs: DataFrame, fold: int = 1, most: int = KNOWN) -> DataFrame:
     few = Lookup(word[:WORDS].astype(np.int64).view(np.uint64), np.arange(len(word[:WORDS]), dtype=np.int32))
     start, move = np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.04 / (STATES - 1)) + np.eye(STATES) * (0.96 - 0.04 / (STATES - 1))
     emit = _seeded(train, few, share)
-    all_known = Lookup(word.astype(np.int64).view(np.uint64), np.arange(len(word), dtype=np.int32))
-    key = F.xxhash64("doc_id", "text").alias("key")
+    hashes = word.astype(np.int64).view(np.uint64)
+    all_known, held_words = Lookup(hashes, np.arange(len(word), dtype=np.int32)), Known(hashes)
+    # all later steps read and move these codes; words are looked up here alone
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    coded = stored(d.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(tidy(_coded(all_known)), f"sym binary, tail binary, rest binary, doc_id {id_type}, key long"))
+    text = F.struct("sym", "tail", "rest").alias("text")
+    d, symbols = coded.select("doc_id", "key", text), coded.where(_training(fold)).select("sym")
+    train = d.where(_training(fold))
     # a text's words that are not held, if training has any such words
-    others = stored(d.select(key, "text").mapInArrow(_others(all_known), "key long, word long")) if least > 1 else None
+    others = stored(d.select("key", "text").mapInArrow(_others(held_words), "key long, word long")) if least > 1 else None
 
     def joined(texts: DataFrame, tail: DataFrame, *cols: str) -> DataFrame:
         """cols of texts, and as ``met`` the expected counts of their words that are not held."""
         if others is None:
             return texts.select(*cols)
         met = others.join(tail.where(F.col("c") < least), "word").groupBy("key").agg(F.collect_list(F.struct("word", "c", *_PARTS)).alias("met"))
-        return texts.select(*cols, key).join(met, "key", "left").select(*cols, "met")
+        return texts.select(*cols, "key").join(met, "key", "left").select(*cols, "met")
 
     def round_of(model, texts: DataFrame, keep: bool = False):
         """The sums of a round over texts, its log likelihood a token, and with ``keep`` the counts of words without a symbol."""
@@ -562,9 +609,9 @@ def query(docs: DataFrame, fold: int = 1, most: int = KNOWN) -> DataFrame:
         return sums, likely, found.where(F.col("kind") == TAIL).select("word", "c", *_PARTS) if keep else None
 
     # first the symbols' model, a word telling its state by its symbol alone, until it gains less than GAIN
-    coded, was = stored(train.select("text").mapInArrow(tidy(_coded(few)), "sym binary")), -np.inf
+    was = -np.inf
     for _ in range(ROUNDS):
-        sums, likely, _ = round_of(_expect_coded(start, move, emit), coded)
+        sums, likely, _ = round_of(_expect_coded(start, move, emit), symbols)
         start, move, emit = _next(sums, share)
         if likely - was < GAIN:
             break
@@ -573,10 +620,10 @@ def query(docs: DataFrame, fold: int = 1, most: int = KNOWN) -> DataFrame:
     # then the words' shares with it; the scores of a round's model tell what the round gained
     z = n_all + SMOOTH * (vocab + 1)
     base_log = np.log10((c + SMOOTH) / z)
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base double, model double"
+    schema = f"doc_id {id_type}, n_tokens long, n_known long, base double, model double"
     shares, texts = None, train.select("text")
     for _ in range(ROUNDS):
-        sums, likely, tail = round_of(_expect(start, move, emit, all_known if shares else few, shares), texts, keep=True)
+        sums, likely, tail = round_of(_expect(start, move, emit, held_words, shares), texts, keep=True)
         start, move, emit = _next(sums, share)
         got = tail.where(F.col("c") >= least).toArrow()
         at = all_known(got.column("word").to_numpy().view(np.uint64)) - WORDS
@@ -589,7 +636,7 @@ def query(docs: DataFrame, fold: int = 1, most: int = KNOWN) -> DataFrame:
         texts = joined(train, tail, "text")
         if first:  # it knew words by their symbols alone, so its likelihood is no measure for the next one's
             continue
-        model = _scores(start, move, emit, all_known, shares, base_log, c > 0, z)
+        model = _scores(start, move, emit, held_words, shares, base_log, c > 0, z)
         scored = stored(joined(d, tail, "doc_id", "text").mapInArrow(tidy(model), schema))
         own = scored.where(_training(fold)).agg(F.sum("model"), F.sum("n_tokens")).first()
         if (own[0] or 0.0) * np.log(10.0) / max(own[1] or 0, 1) - likely < GAIN:

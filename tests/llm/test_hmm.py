@@ -104,3 +104,26 @@ def test_most_rounds_count_symbols_alone(spark, monkeypatch):
         told(name)
     hmm.query(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     assert rounds["_expect_coded"] > 2 and 2 <= rounds["_expect"] <= 3
+
+
+def test_codes_give_back_what_the_steps_need(model):
+    """Words with a symbol, held ones without, and others, read back from the stored codes; texts themselves are looked up once."""
+    _, _, _, lookup, texts, _ = model
+    held = np.random.default_rng(5).integers(0, 1 << 63, hmm.WORDS + 9).astype(np.uint64)
+    held[:6], held[-4:] = lookup.keys[lookup.values >= 0][:6], lookup.keys[lookup.values >= 0][6:10]
+    known = Lookup(held, np.arange(len(held), dtype=np.int32))
+    want = list(hmm._sequences(pa.array(texts), known))
+    [codes] = hmm._coded(known)(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])]))
+    assert codes.column("doc_id").to_pylist() == list(range(len(texts)))
+    [(first, lengths, h, rank)] = hmm._sequences(pa.StructArray.from_arrays(codes.columns[:3], ["sym", "tail", "rest"]), hmm.Known(held))
+    assert first == 0 and lengths.tolist() == want[0][1].tolist() and rank.tolist() == want[0][3].tolist()
+    tail = (rank < 0) | (rank >= hmm.WORDS)
+    assert {-1, *range(hmm.WORDS)} & set(rank.tolist()) and (rank >= hmm.WORDS).any() and h[tail].tolist() == want[0][2][tail].tolist()
+
+
+def test_no_text_takes_part_in_a_join(spark, monkeypatch):
+    """Rounds, joins and scores take stored codes."""
+    plans, keep = [], hmm.stored
+    monkeypatch.setattr(hmm, "stored", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    hmm.query(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), most=100)
+    assert any("Join" in p for p in plans) and not any("Join" in p and "text#" in p and "sym#" not in p for p in plans)
