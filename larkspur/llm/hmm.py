@@ -8,9 +8,11 @@ distribution over all texts, unknown words included.
 Training reads all training texts in each round: every partition adds up its
 expected counts, Spark sums them, and the driver turns those of symbols (at most
 WORDS + 256 rows) into the next model.  The first rounds read stored symbols and
-count these alone.  Once they gain nothing more, rounds sum all words by state:
+count these alone; they begin with what about ``WARM`` texts give, by the same rounds.
+Once they gain nothing more, rounds sum all words by state:
 those without a symbol stay a distributed table, by word its count and the states'
-parts of it, 16 bits each.  Texts are worked on in runs of ``RUN`` tokens, many at once;
+parts of it, 16 bits each.  The shares of words that no worker holds take part as soon as
+those held have theirs; only rounds of all words can end training.  Texts are worked on in runs of ``RUN`` tokens, many at once;
 transfer matrices of the runs carry the states over their edges, so training
 and scoring follow whole texts: every transition counts, and the scaled forward
 recursion is exact.  Both kinds of rounds end after ``ROUNDS``, or earlier when
@@ -37,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, tidy
+from .common import released, stored, tidy
 from .textops import Lookup, rows_of_words, word_hashes
 
 STATES = 8
@@ -49,7 +51,11 @@ RUN = 256
 ROUNDS = 100
 #: Nats a token.
 GAIN = 0.001
+#: A round of symbols that gains less than this many is followed by one that sums words too, for it may be the last.
+NEAR = 10 * GAIN
 SEEDS = 400
+#: Texts, about, whose rounds of symbols come before those over all texts.
+WARM = 8192
 END = np.uint64(0x6C6172_6B7370_7572)
 #: Words counted at once in a worker.
 BUFFER = 1 << 20
@@ -191,10 +197,18 @@ def _sums(kind: int, at: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int8)), pa.array(at.astype(np.int64)), none, none, none, n], names=["kind", "word", "c", *_PARTS, "n"])
 
 
-def _tail_sums(held: list) -> pa.RecordBatch:
-    word, rows = _merged(held)
+def _added(held: list) -> tuple[np.ndarray, np.ndarray]:
+    """``_merged`` of (ranks, states by token) pairs, a row with the number of tokens at its end."""
+    at = np.concatenate([x[0] for x in held])
+    c = np.bincount(at)
+    rank = np.flatnonzero(c)
+    states = [np.bincount(at, np.concatenate([x[1][s] for x in held]))[rank] for s in range(STATES)]
+    return rank, np.stack([*states, c[rank]], 1)
+
+
+def _tail_sums(kind: int, word: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
     c = np.rint(rows[:, STATES])
-    cols = [pa.array(np.full(len(word), TAIL, np.int8)), pa.array(word.view(np.int64)), pa.array(c.astype(np.int64)), *map(pa.array, _packed(rows, c))]
+    cols = [pa.array(np.full(len(word), kind, np.int8)), pa.array(word.view(np.int64)), pa.array(c.astype(np.int64)), *map(pa.array, _packed(rows, c))]
     return pa.RecordBatch.from_arrays([*cols, pa.nulls(len(word), pa.list_(pa.float64()))], names=["kind", "word", "c", *_PARTS, "n"])
 
 
@@ -205,10 +219,11 @@ def _summed(found: DataFrame) -> DataFrame:
     d = found.repartition("kind", "word").groupBy("kind", "word").agg(F.sum("c").alias("c"), *sums)
     again = lambda s: F.shiftleft(F.expr(f"(p{s} + c div 2) div greatest(c, 1)"), 16 * (s % 4))
     packed = [reduce(lambda x, y: x.bitwiseOR(y), [again(4 * j + i) for i in range(4)]).alias(x) for j, x in enumerate(_PARTS)]
-    return d.select("kind", "word", "c", *packed, F.when(F.col("kind") != TAIL, F.array(*[f"n{s}" for s in range(STATES)])).alias("n"))
+    return d.select("kind", "word", "c", *packed, F.when(~F.col("kind").isin(TAIL, HELD), F.array(*[f"n{s}" for s in range(STATES)])).alias("n"))
 
 
-SYMBOL, MOVE, START, TAIL, LIKELY = range(5)
+#: What a row of sums is of; ``word`` is the hash of a word that is not held (``TAIL``), the rank of one that is and has no symbol (``HELD``).
+SYMBOL, MOVE, START, TAIL, LIKELY, HELD = range(6)
 
 
 def _laid(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -346,22 +361,32 @@ def _expect(start, move, emit, lookup: Lookup, shares: Shares | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums(start, move, emit.shape[1])
         table = emit.astype(np.float32)
-        held, n_held = [], 0
+        sizes = {TAIL: 0, HELD: 0}
+        kept: dict[int, list] = {TAIL: [], HELD: []}
+
+        def out(kind):
+            got, kept[kind], sizes[kind] = kept[kind], [], 0
+            return _tail_sums(kind, *(_merged if kind == TAIL else _added)(got))
+
         for b in batches:
             own_lookup, _, own = shares.of(b.column(1) if b.num_columns > 1 else None) if shares else (None, None, None)
             for _, lengths, h, rank in _sequences(b.column(0), lookup):
                 sym = _symbols(h, rank)
                 put = (lambda prob: shares.put(prob, h, rank, _near(own_lookup, h, rank), own)) if shares else None
                 tokens, states = sums.add(lengths, sym, *_chances(table, sym, put))
-                tail = np.flatnonzero(sym[tokens] >= WORDS)
+                ranks = rank[tokens]
+                tail, held = np.flatnonzero(ranks < 0), np.flatnonzero(ranks >= WORDS)
                 if len(tail):
-                    held.append((h[tokens[tail]], np.concatenate([states[:, tail].T, np.ones((len(tail), 1), np.float32)], 1)))
-                    n_held += len(tail)
-                if n_held >= BUFFER:
-                    yield _tail_sums(held)
-                    held, n_held = [], 0
-        if held:
-            yield _tail_sums(held)
+                    kept[TAIL].append((h[tokens[tail]], np.concatenate([states[:, tail].T, np.ones((len(tail), 1), np.float32)], 1)))
+                if len(held):
+                    kept[HELD].append((ranks[held], states[:, held]))
+                for kind, more in ((TAIL, tail), (HELD, held)):
+                    sizes[kind] += len(more)
+                    if sizes[kind] >= BUFFER:
+                        yield out(kind)
+        for kind in kept:
+            if kept[kind]:
+                yield out(kind)
         yield from sums.rows()
 
     return run
@@ -429,22 +454,17 @@ def _expect_coded(start, move, emit):
     return run
 
 
-def _bags(lookup: Lookup):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, lengths, h, rank in _sequences(b.column(0), lookup):
-                sym, ends = _symbols(h, rank), np.cumsum(lengths)
-                bags = [np.unique(sym[e - n : e], return_counts=True) for n, e in zip(lengths.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in bags], pa.list_(pa.int32())), pa.array([x[1].astype(np.int32) for x in bags], pa.list_(pa.int32()))], names=["sym", "n"])
-
-    return run
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        bags = [np.unique(np.frombuffer(x, np.uint16), return_counts=True) for x in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i].astype(np.int32) for x in bags], pa.list_(pa.int32())) for i in range(2)], names=["sym", "n"])
 
 
-def _seeded(texts: DataFrame, lookup: Lookup, share: np.ndarray) -> np.ndarray:
+def _seeded(coded: DataFrame, share: np.ndarray) -> np.ndarray:
     """First emissions: texts of a bounded sample around seeds that lie far apart."""
-    ids = texts.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SEEDS)
-    some = texts.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(SEEDS)
-    got = some.select("text").mapInArrow(_bags(lookup), "sym array<int>, n array<int>").toArrow().to_pylist()
+    ids = coded.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SEEDS)
+    some = coded.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(SEEDS)
+    got = some.select("sym").mapInArrow(_bags, "sym array<int>, n array<int>").toArrow().to_pylist()
     got = sorted((r["sym"], r["n"]) for r in got)
     bags = np.zeros((len(got), len(share)), np.float32)
     for x, (sym, n) in zip(bags, got):
@@ -569,34 +589,36 @@ def query(docs: DataFrame, fold: int = 1, most: int = KNOWN) -> DataFrame:
     share[WORDS:] = whole
     share /= share.sum()
 
-    few = Lookup(word[:WORDS].astype(np.int64).view(np.uint64), np.arange(len(word[:WORDS]), dtype=np.int32))
     start, move = np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.04 / (STATES - 1)) + np.eye(STATES) * (0.96 - 0.04 / (STATES - 1))
-    emit = _seeded(train, few, share)
     hashes = word.astype(np.int64).view(np.uint64)
-    all_known, held_words = Lookup(hashes, np.arange(len(word), dtype=np.int32)), Known(hashes)
+    held_words = Known(hashes)
     # all later steps read and move these codes; words are looked up here alone
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    coded = stored(d.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(tidy(_coded(all_known)), f"sym binary, tail binary, rest binary, doc_id {id_type}, key long"))
+    coded = stored(d.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(tidy(_coded(Lookup(hashes, np.arange(len(word), dtype=np.int32)))), f"sym binary, tail binary, rest binary, doc_id {id_type}, key long"))
     text = F.struct("sym", "tail", "rest").alias("text")
     d, symbols = coded.select("doc_id", "key", text), coded.where(_training(fold)).select("sym")
     train = d.where(_training(fold))
+    emit = _seeded(coded.where(_training(fold)), share)
+    # texts alike in id and words are taken together
+    warm = stored(coded.where(_training(fold) & (F.pmod("key", F.lit(max(1, n_texts // WARM))) == 0)).select("sym").repartition(24))
+    released(docs.sparkSession)
     # a text's words that are not held, if training has any such words
     others = stored(d.select("key", "text").mapInArrow(_others(held_words), "key long, word long")) if least > 1 else None
 
-    def joined(texts: DataFrame, tail: DataFrame, *cols: str) -> DataFrame:
+    def joined(texts: DataFrame, rest: DataFrame, *cols: str) -> DataFrame:
         """cols of texts, and as ``met`` the expected counts of their words that are not held."""
         if others is None:
             return texts.select(*cols)
-        met = others.join(tail.where(F.col("c") < least), "word").groupBy("key").agg(F.collect_list(F.struct("word", "c", *_PARTS)).alias("met"))
+        met = others.join(rest, "word").groupBy("key").agg(F.collect_list(F.struct("word", "c", *_PARTS)).alias("met"))
         return texts.select(*cols, "key").join(met, "key", "left").select(*cols, "met")
 
     def round_of(model, texts: DataFrame, keep: bool = False):
-        """The sums of a round over texts, its log likelihood a token, and with ``keep`` the counts of words without a symbol."""
+        """The sums of a round over texts, its log likelihood a token, and with ``keep`` the table of all sums."""
         found = _summed(texts.mapInArrow(tidy(model), "kind byte, word long, c long, a long, b long, n array<double>"))
         found = stored(found) if keep else found
         sums = {"e": np.zeros((STATES, WORDS + CLASSES)), "m": np.zeros((STATES, STATES)), "s": np.zeros(STATES)}
         likely = 0.0
-        for r in found.where(F.col("kind") != TAIL).select("kind", "word", "n").toArrow().to_pylist():
+        for r in found.where(~F.col("kind").isin(TAIL, HELD)).select("kind", "word", "n").toArrow().to_pylist():
             n = r["n"]
             if r["kind"] == SYMBOL:
                 sums["e"][:, r["word"]] = n
@@ -606,38 +628,47 @@ def query(docs: DataFrame, fold: int = 1, most: int = KNOWN) -> DataFrame:
                 likely = n[0] / max(n[1], 1.0)
             else:
                 sums["s"] += n
-        return sums, likely, found.where(F.col("kind") == TAIL).select("word", "c", *_PARTS) if keep else None
-
-    # first the symbols' model, a word telling its state by its symbol alone, until it gains less than GAIN
-    was = -np.inf
-    for _ in range(ROUNDS):
-        sums, likely, _ = round_of(_expect_coded(start, move, emit), symbols)
-        start, move, emit = _next(sums, share)
-        if likely - was < GAIN:
-            break
-        was = likely
-
-    # then the words' shares with it; the scores of a round's model tell what the round gained
+        return sums, likely, found if keep else None
+
+    # first the symbols' model, a word telling its state by its symbol alone: on some texts, to begin nearer, until it gains less than GAIN, then on all until it gains little
+    for texts, little in ((warm, GAIN), (symbols, NEAR if n_texts >= 2 * WARM else GAIN)):
+        was = -np.inf
+        for _ in range(ROUNDS):
+            sums, likely, _ = round_of(_expect_coded(start, move, emit), texts)
+            if texts is warm and not sums["e"].any():  # no text was taken
+                break
+            start, move, emit = _next(sums, share)
+            gain, was = likely - was, likely
+            if gain < little:
+                break
+
+    # then rounds that sum words too; the first is one of symbols still, and comes again if those were near their end only; the scores of a round's model tell what the round gained
     z = n_all + SMOOTH * (vocab + 1)
     base_log = np.log10((c + SMOOTH) / z)
     schema = f"doc_id {id_type}, n_tokens long, n_known long, base double, model double"
-    shares, texts = None, train.select("text")
+    shares, texts, ready = None, train.select("text"), gain < GAIN
+    done = 0  # rounds since the symbols' model was ready
     for _ in range(ROUNDS):
-        sums, likely, tail = round_of(_expect(start, move, emit, held_words, shares), texts, keep=True)
+        sums, likely, found = round_of(_expect(start, move, emit, held_words, shares), texts, keep=True)
         start, move, emit = _next(sums, share)
-        got = tail.where(F.col("c") >= least).toArrow()
-        at = all_known(got.column("word").to_numpy().view(np.uint64)) - WORDS
+        gain, was = likely - was, likely
+        ready = ready or gain < GAIN
+        if not ready:
+            continue
         ratio = _ratio(sums["e"], n_class)
         held = np.ones((max(len(word) - WORDS, 0), STATES), np.float32)
-        if len(at):
-            own = got.column("c").to_numpy()
-            held[at] = _per_state(_unpacked(got, own), own, got.column("word").to_numpy(), ratio, whole)
-        first, shares = shares is None, Shares(held, ratio, whole)
-        texts = joined(train, tail, "text")
-        if first:  # it knew words by their symbols alone, so its likelihood is no measure for the next one's
+        for got in found.where(F.col("kind") == HELD).select("word", "c", *_PARTS).toArrow().to_batches(1 << 16):
+            rank, own = got.column(0).to_numpy(), got.column(1).to_numpy()
+            held[rank - WORDS] = _per_state(_unpacked(pa.Table.from_batches([got]), own), own, word[rank], ratio, whole)
+        shares, rest = Shares(held, ratio, whole), found.where(F.col("kind") == TAIL).select("word", "c", *_PARTS)
+        # the words that no worker holds join once the others have shares
+        texts = joined(train, rest, "text") if done else texts
+        released(docs.sparkSession)
+        done += 1
+        if done < 3:  # not all words' shares took part, if some are not held, so the likelihood is no measure for the next round's
             continue
         model = _scores(start, move, emit, held_words, shares, base_log, c > 0, z)
-        scored = stored(joined(d, tail, "doc_id", "text").mapInArrow(tidy(model), schema))
+        scored = stored(joined(d, rest, "doc_id", "text").mapInArrow(tidy(model), schema))
         own = scored.where(_training(fold)).agg(F.sum("model"), F.sum("n_tokens")).first()
         if (own[0] or 0.0) * np.log(10.0) / max(own[1] or 0, 1) - likely < GAIN:
             break

@@ -127,3 +127,37 @@ def test_no_text_takes_part_in_a_join(spark, monkeypatch):
     monkeypatch.setattr(hmm, "stored", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
     hmm.query(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), most=100)
     assert any("Join" in p for p in plans) and not any("Join" in p and "text#" in p and "sym#" not in p for p in plans)
+
+
+def test_held_words_are_summed_by_rank(model, monkeypatch):
+    """A held word without a symbol comes by its rank, another by its hash; both with the counts of its class's symbols."""
+    start, move, emit, lookup, texts, seqs = model
+    monkeypatch.setattr(hmm, "BUFFER", 8)  # several rows of a word
+    w = lookup.keys[lookup.values >= 0][np.argsort(lookup.values[lookup.values >= 0])]
+    rank = np.array([0, hmm.WORDS, hmm.WORDS + 1, hmm.WORDS + 2], np.int32)
+    some = Lookup(w[:4], rank)  # one symbol, three held words; all others are not held
+    sums = {}
+    for b in hmm._expect(start, move, np.maximum(emit, 1e-3), some)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])):
+        for r in b.to_pylist():
+            if r["kind"] in (hmm.TAIL, hmm.HELD):
+                sums[r["kind"], r["word"]] = sums.get((r["kind"], r["word"]), 0) + r["c"]
+    many = np.bincount(np.concatenate(seqs))
+    want = {(hmm.HELD, hmm.WORDS + i - 1): many[i] for i in (1, 2, 3)} | {(hmm.TAIL, int(w[i].view(np.int64))): many[i] for i in range(4, 13)}
+    assert sums == want
+
+
+def test_released_steps_leave_no_shuffle_files(spark):
+    """What finished steps shuffled is deleted once nothing refers to them."""
+    import time
+
+    from larkspur.llm.common import released
+
+    there = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    released(spark)
+    time.sleep(1)
+    before = there()
+    spark.range(1000).repartition(7, "id").write.format("noop").mode("overwrite").save()
+    for _ in range(10):
+        released(spark)
+        time.sleep(0.3)
+    assert there() <= before
